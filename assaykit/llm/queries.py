@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, config_packing, sampled_splitters, token_counts
+from . import block_naming, config_packing, sampled_splitters, segment_language, simhash_pivots, token_counts
 from ._common import Workspace, read_table
 
 
@@ -15,6 +15,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
+def op2_segment_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_language.identify_languages(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.simhash_dedup(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_splitters.shard_by_bytes(spark, read_table(spark, sf_dir, "documents"), shards=8)
 
@@ -27,7 +35,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_dedup(spark, read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_sampled_splitters, op8_config_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_segment_language, op5_simhash_pivots, op6_sampled_splitters, op8_config_packing, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -52,6 +53,12 @@ class WordCounter:
         return sum(self.words.of(WORDS.findall(text.lower())))
 
 
+@lru_cache(maxsize=1)
+def word_counter(path: str) -> WordCounter:
+    """One for each worker process; its words serve all of that worker's tasks."""
+    return WordCounter(path)
+
+
 def file_digest(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
@@ -65,7 +72,7 @@ def encode_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
     """content, text -> content, n_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = WordCounter(tokenizer_path)
+        counter = word_counter(tokenizer_path)
         for batch in batches:
             counts = [counter.count(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(counts, pa.int64())], names=["content", "n_tokens"])
