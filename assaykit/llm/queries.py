@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, config_packing, sampled_splitters, segment_language, simhash_pivots, token_counts
+from . import block_naming, config_packing, context_pii, noisy_or, sampled_splitters, segment_language, simhash_pivots, token_counts
 from ._common import Workspace, read_table
 
 
@@ -19,6 +19,10 @@ def op2_segment_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_language.identify_languages(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noisy_or.find_toxicity(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.simhash_dedup(spark, read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_splitters.shard_by_bytes(spark, read_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_pii.find_personal_data(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op8_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,7 +43,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_dedup(spark, read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_segment_language, op5_simhash_pivots, op6_sampled_splitters, op8_config_packing, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_segment_language, op3_noisy_or, op5_simhash_pivots, op6_sampled_splitters, op7_context_pii, op8_config_packing, op10_exact_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
