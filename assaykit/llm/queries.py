@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, config_packing, context_pii, noisy_or, sampled_splitters, segment_language, simhash_pivots, token_counts
+from . import block_naming, bloom_lookup, config_packing, context_pii, noisy_or, sampled_splitters, segment_language, simhash_pivots, token_counts
 from ._common import Workspace, read_table
 
 
@@ -23,6 +23,10 @@ def op3_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy_or.find_toxicity(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lookup.compare_with_edits(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.simhash_dedup(spark, read_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_segment_language, op3_noisy_or, op5_simhash_pivots, op6_sampled_splitters, op7_context_pii, op8_config_packing, op10_exact_dedup,
+        op1_token_counts, op2_segment_language, op3_noisy_or, op4_bloom_lookup, op5_simhash_pivots, op6_sampled_splitters, op7_context_pii, op8_config_packing, op10_exact_dedup,
     )
 }
 
