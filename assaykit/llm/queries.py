@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_naming, bloom_lookup, config_packing, context_pii, noisy_or, sampled_splitters, segment_language, simhash_pivots, token_counts
+from . import block_naming, bloom_lookup, config_packing, context_pii, noisy_or, sampled_splitters, segment_language, sentencepiece_backend, simhash_pivots, token_counts
 from ._common import Workspace, read_table
 
 
@@ -43,6 +43,10 @@ def op8_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_packing.pack(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_sentencepiece_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_backend.encode_and_check(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_dedup(spark, read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_segment_language, op3_noisy_or, op4_bloom_lookup, op5_simhash_pivots, op6_sampled_splitters, op7_context_pii, op8_config_packing, op10_exact_dedup,
+        op1_token_counts, op2_segment_language, op3_noisy_or, op4_bloom_lookup, op5_simhash_pivots, op6_sampled_splitters, op7_context_pii, op8_config_packing, op9_sentencepiece_backend, op10_exact_dedup,
     )
 }
 

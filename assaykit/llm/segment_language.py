@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,6 +209,10 @@ class Scorer:
         return langs, scores
 
 
+def _parts(model: SegmentationModel) -> tuple:
+    return model.languages, model.pieces, model.p
+
+
 _SCORER: dict[str, Scorer] = {}
 
 
@@ -221,7 +226,7 @@ def _scorer(name: str, parts: tuple) -> Scorer:
 
 def score_languages(docs: DataFrame, model: SegmentationModel) -> DataFrame:
     """doc_id, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p))
+    shared = docs.sparkSession.sparkContext.broadcast(_parts(model))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,3 +247,19 @@ def identify_languages(spark: SparkSession, docs: DataFrame, model_path: str) ->
     """doc_id, held_out, lang_pred, score."""
     scored = score_languages(docs, train(docs, model_path))
     return scored.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def keep_languages(docs: DataFrame, model_path: str, least_score: float) -> DataFrame:
+    """The rows of docs whose language is determined with at least that score, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(_parts(train(docs, model_path)))
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        scorer, out = _scorer(name, shared.value), []
+        values = texts.tolist()
+        for at in range(0, len(values), 128):
+            out += [lang != "und" and score >= least_score for lang, score in zip(*scorer.many(values[at : at + 128]))]
+        return pd.Series(out, dtype=bool)
+
+    return docs.filter(known("text"))
