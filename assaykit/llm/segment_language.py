@@ -52,27 +52,79 @@ def vocabulary(model_path: str) -> list[str]:
     return sorted({p for p in pieces if p and p == p.lower() and MARK not in p[1:]})
 
 
+class PieceTable:
+    """Finds pieces by a rolling 64-bit hash of their characters, for many substrings at once.
+
+    Numbers count from 1; 0 is an unknown character. A substring that is no piece could be taken
+    for one only if their hashes agree in all 64 bits.
+    """
+
+    SLOTS = 1 << 20
+
+    def __init__(self, pieces: list[str]):
+        self.longest = max(map(len, pieces), default=1)
+        self.base = np.uint64(0x9E3779B97F4A7C15)
+        self.powers = np.cumprod(np.array([1, *[self.base] * self.longest], dtype=np.uint64))
+        self.slots, self.hashes, self.tries = np.zeros(self.SLOTS, dtype=np.int32), np.zeros(len(pieces) + 1, dtype=np.uint64), 1
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i, piece in enumerate(pieces, 1):
+            by_length[len(piece)].append(i)
+        for who in by_length.values():
+            self.hashes[who] = self.roll(np.array([list(map(ord, pieces[i - 1])) for i in who], dtype=np.uint64))[:, -1]
+        for i, slot in enumerate(self.slot(self.hashes[1:]).tolist(), 1):
+            tries = 1
+            while self.slots[slot]:
+                slot, tries = (slot + 1) % self.SLOTS, tries + 1
+            self.slots[slot] = i
+            self.tries = max(self.tries, tries)
+        if len(set(self.hashes[1:].tolist())) < len(pieces):
+            raise ValueError("two pieces have one hash")
+
+    def slot(self, h):
+        return (h * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(44)
+
+    def roll(self, codes: np.ndarray) -> np.ndarray:
+        """Hashes of all beginnings of each row, from none to all of it."""
+        out = np.zeros((len(codes), codes.shape[1] + 1), dtype=np.uint64)
+        for j in range(codes.shape[1]):
+            out[:, j + 1] = out[:, j] * self.base + codes[:, j] + np.uint64(1)
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash, or -1."""
+        at = self.slot(h).astype(np.int64)
+        piece = self.slots[at]
+        out = np.where((piece > 0) & (self.hashes[piece] == h), piece, -1)
+        for _ in range(1, self.tries):
+            open_ = np.flatnonzero((out < 0) & (piece > 0))
+            if not len(open_):
+                break
+            at = (at + 1) % self.SLOTS
+            piece = self.slots[at]
+            out[open_] = np.where((piece[open_] > 0) & (self.hashes[piece[open_]] == h[open_]), piece[open_], -1)
+        return out
+
+
 class Lattice:
-    """The pieces of a batch of words: at[j][k] holds, for each word, the piece that ends at j and is k long, or 0."""
-
-    def __init__(self, words: list[str], index: dict[str, int], longest: int):
-        self.words, self.size = words, np.array([len(w) for w in words])
-        rows: dict[tuple[int, int], tuple[list, list]] = defaultdict(lambda: ([], []))
-        get = index.get
-        for r, w in enumerate(words):
-            n = len(w)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = get(w[i:j])
-                    if p is not None:
-                        who, which = rows[j, j - i]
-                        who.append(r)
-                        which.append(p)
-                    elif j == i + 1:
-                        who, which = rows[j, 1]
-                        who.append(r)
-                        which.append(0)
-        self.cells = sorted((j, k, np.array(a), np.array(b)) for (j, k), (a, b) in rows.items())
+    """The pieces of a batch of words, shortest first; cells: end, length, which words, which pieces there."""
+
+    def __init__(self, words: list[str], table: PieceTable):
+        self.words, self.size = words, np.array([len(w) for w in words], dtype=np.int64)
+        width = int(self.size.max(initial=0))
+        flat = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        codes = np.zeros((len(words), width), dtype=np.uint64)
+        codes[np.arange(width) < self.size[:, None]] = flat
+        hashes = table.roll(codes)
+        self.cells = []
+        for j in range(1, width + 1):
+            first = int(np.searchsorted(self.size, j))
+            for k in range(1, min(j, table.longest) + 1):
+                found = table.find(hashes[first:, j] - hashes[first:, j - k] * table.powers[k])
+                if k == 1:
+                    found[found < 0] = 0
+                hit = np.flatnonzero(found >= 0)
+                if len(hit):
+                    self.cells.append((j, k, hit + first, found[hit]))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """(words, ends, languages): probability of each start of a word."""
@@ -105,10 +157,12 @@ class SegmentationModel:
     pieces: list[str]
     p: np.ndarray
     index: dict[str, int] = field(init=False)
+    table: PieceTable = field(init=False)
 
     def __post_init__(self) -> None:
         self.index = {piece: i + 1 for i, piece in enumerate(self.pieces)}
-        self.longest = max(map(len, self.pieces), default=1)
+        self.table = PieceTable(self.pieces)
+        self.longest = self.table.longest
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """(words, languages): log of each word's probability, over all its segmentations."""
@@ -116,7 +170,7 @@ class SegmentationModel:
         short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
         for at in range(0, len(short), 4096):
             some = sorted(short[at : at + 4096], key=lambda i: len(words[i]))
-            lattice = Lattice([words[i] for i in some], self.index, self.longest)
+            lattice = Lattice([words[i] for i in some], self.table)
             out[some] = np.log(lattice.forward(self.p)[np.arange(len(some)), lattice.size])
         for i, w in enumerate(words):
             if len(w) > LONG_WORD:
@@ -150,7 +204,7 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = EM_R
     model = SegmentationModel(languages, pieces, np.full((len(pieces) + 1, len(languages)), FLOOR))
     words = sorted({w for c in counts.values() for w in c if len(w) <= LONG_WORD}, key=lambda w: (len(w), w))
     times = np.array([[counts[g].get(w, 0) for g in languages] for w in words], dtype=float).reshape(-1, len(languages))
-    lattices = [(Lattice(words[a : a + 8192], model.index, model.longest), times[a : a + 8192]) for a in range(0, len(words), 8192)]
+    lattices = [(Lattice(words[a : a + 8192], model.table), times[a : a + 8192]) for a in range(0, len(words), 8192)]
     p = np.full_like(model.p, 1.0 / max(1, len(pieces)))
     for _ in range(rounds):
         p[0] = FLOOR
