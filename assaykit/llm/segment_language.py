@@ -203,7 +203,7 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = EM_R
     languages = sorted(counts)
     model = SegmentationModel(languages, pieces, np.full((len(pieces) + 1, len(languages)), FLOOR))
     words = sorted({w for c in counts.values() for w in c if len(w) <= LONG_WORD}, key=lambda w: (len(w), w))
-    times = np.array([[counts[g].get(w, 0) for g in languages] for w in words], dtype=float).reshape(-1, len(languages))
+    times = np.array([[counts[g].get(w, 0) for g in languages] for w in words], dtype=float).reshape(len(words), len(languages))
     lattices = [(Lattice(words[a : a + 8192], model.table), times[a : a + 8192]) for a in range(0, len(words), 8192)]
     p = np.full_like(model.p, 1.0 / max(1, len(pieces)))
     for _ in range(rounds):
