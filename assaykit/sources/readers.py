@@ -19,8 +19,10 @@ CHOICES = "id string, question string, choices array<string>, answer_idx int, sp
 def scan_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, lines that do not fit the schema)."""
     full = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").json(path)
-    return rows.filter("_corrupt_record is null").drop("_corrupt_record"), rows.filter("_corrupt_record is not null").select("_corrupt_record")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    fits = F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()
+    return rows.filter(fits).select("r.*").drop("_corrupt_record"), rows.filter(~fits).select(F.col("value").alias("_corrupt_record"))
 
 
 def scan_trials(spark: SparkSession, path: str) -> DataFrame:

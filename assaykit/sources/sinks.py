@@ -9,8 +9,9 @@ from ..functions.text import or_not_measured
 
 
 def write_items(items: DataFrame, path: str) -> None:
-    """JSON lines by source, in item order within a file; the number of files follows the data."""
-    items.repartitionByRange("source", "item_id").sortWithinPartitions("source", "item_id").write.mode("overwrite").partitionBy("source").json(path)
+    """JSON lines in a folder for each source, in item order within a file; the number of files follows the data."""
+    rows = items.withColumn("of", F.col("source")).repartitionByRange("source", "item_id").sortWithinPartitions("source", "item_id")
+    rows.write.mode("overwrite").partitionBy("of").json(path)
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
