@@ -184,7 +184,7 @@ def compare_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     both = dealt.select(*ID, F.explode(F.expr("concat(transform(own, v -> struct(0 as v, v as key)), transform(edited, v -> struct(1 as v, v as key)))")).alias("r"))
     prints = fingerprint_strings(both.select(*ID, "r.v", "r.key", F.lit(1).cast("long").alias("c")), [*ID, "v"])
     lists = prints.groupBy(*ID).agg(F.collect_list(F.struct("v", "fingerprint")).alias("f"))
-    of = lambda v: F.coalesce(F.filter("f", lambda s: s["v"] == v)[0]["fingerprint"], F.lit(""))
+    of = lambda v: F.coalesce(F.get(F.filter("f", lambda s: s["v"] == v), F.lit(0))["fingerprint"], F.lit(""))
     out = dealt.select(*ID, "n_chars", "copies", "edited_sha256").join(lists, ID, "left").join(near, ID)
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(
