@@ -33,7 +33,7 @@ def balanced(df: DataFrame, by: list[str], label: str, seed: int, id_: str) -> D
 
 def stratified(df: DataFrame, by: str, spread: str, n: int, seed: int, id_: str = "item_id") -> DataFrame:
     """n rows of each `by`, dealt in turn from its `spread` values; adds their order as pick."""
-    ranked = _ranked(df, [by, spread], id_, seed, "_turn")
+    ranked = _ranked(df, [by, spread], id_, seed, "_turn").filter(F.col("_turn") <= n)  # later turns can't be among the first n picks
     w = Window.partitionBy(by).orderBy("_turn", spread, id_)
     return ranked.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= n).drop("_turn")
 
