@@ -18,7 +18,7 @@ import numpy as np
 #: Characters whose classes and lower case are the same in every library and Unicode version.
 OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ]")
 #: Words longer than this are not remembered.
-LONG_WORD = 64
+LONG_WORD = 32
 
 
 @lru_cache(maxsize=8)
@@ -35,26 +35,36 @@ def tokenizer(path: str):
 class Remembered:
     """word -> value, for values made in batches. When full, words not met since the last time are forgotten."""
 
-    def __init__(self, make: Callable[[list[str]], list], most: int = 400_000):
+    def __init__(self, make: Callable[[list[str]], list], most: int = 1_200_000):
         self.make, self.half, self.known, self.older = make, most // 2, {}, {}
 
-    def of(self, words: list[str]) -> list:
-        got = list(map(self.known.get, words))
-        if None not in got:
-            return got
-        met: dict[str, object] = {}
-        for w, v in zip(words, got):
-            if v is None and w not in met:
-                met[w] = self.older.get(w)
+    def learn(self, lists: list[list[str]]) -> None:
+        """Makes, in one batch, the values of all words that are not known."""
+        new: set[str] = set()
+        for words in lists:
+            if None in (got := list(map(self.known.get, words))):
+                new.update([w for w, v in zip(words, got) if v is None])
+        if new:
+            self._meet(list(new))
+
+    def _meet(self, words: list[str]) -> dict[str, object]:
+        """Values of distinct words that are not known; they are, afterwards."""
+        met = dict(zip(words, map(self.older.get, words)))
         new = [w for w, v in met.items() if v is None]
         if new:
             met.update(zip(new, self.make(new)))
-        out = [met[w] if v is None else v for w, v in zip(words, got)]
         if len(self.known) + len(met) > self.half:
             self.older, self.known = self.known, {}
         if len(met) <= self.half:
             self.known.update(met if max(map(len, met)) <= LONG_WORD else {w: v for w, v in met.items() if len(w) <= LONG_WORD})
-        return out
+        return met
+
+    def of(self, words: list[str]) -> list:
+        got = list(map(self.known.get, words))
+        if None not in got:
+            return got
+        met = self._meet(list({w for w, v in zip(words, got) if v is None}))
+        return [met[w] if v is None else v for w, v in zip(words, got)]
 
 
 class TextIds:
