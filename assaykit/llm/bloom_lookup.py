@@ -130,21 +130,21 @@ def differing(pairs: DataFrame, m: int, rounds: int = ROUNDS) -> DataFrame:
     return state
 
 
-def recover(pairs: DataFrame, work: Workspace, partitions: int, cells: int = CELLS) -> DataFrame:
-    """PAIR, plus, minus of the pairs that differ: how many keys only the one, only the other has."""
-    pairs, done, m = pairs.repartition(partitions, *ID), [], cells
+def recover(pairs: DataFrame, work: Workspace, partitions: int, cells: int = CELLS, name: str = "") -> DataFrame:
+    """PAIR, plus, minus of the pairs that differ: how many keys only the one, only the other has. Pairs are dealt by ID, so that no round moves them."""
+    done, m = [], cells
     for size in range(SIZES):
         state = differing(pairs, m)
         sums = state.groupBy(*PAIR).agg(
             *[F.sum(F.when((F.col("cell") < 0) & (F.col("c") == s), 1).otherwise(0)).alias(n) for n, s in (("plus", 1), ("minus", -1))],
             F.sum(F.when(F.col("cell") >= 0, 1).otherwise(0)).alias("left"),
         )
-        sums = work.table(sums, f"peeled{size}")
+        sums = work.table(sums, f"peeled{name}{size}")
         done.append(sums.filter("left = 0").drop("left"))
         failed = sums.filter("left > 0").select(*PAIR)
         if failed.isEmpty():
             break
-        pairs = work.table(pairs.join(failed, PAIR, "left_semi"), f"retry{size}").repartition(partitions, *ID)
+        pairs = work.table(pairs.join(failed, PAIR, "left_semi"), f"retry{name}{size}").repartition(partitions, *ID)
         m *= GROWTH
     else:
         raise RuntimeError("peeling did not end")
@@ -172,14 +172,17 @@ def compare_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = paragraph_keys(docs, work)
     of_next = keys.select(F.col("did").alias("nid"), F.col("th").alias("nth"), F.col("own").alias("other"))
-    following = keys.select(*ID, "nid", "nth", F.col("own").alias("one")).join(of_next, ["nid", "nth"]).select(*ID, F.lit(1).alias("which"), "one", "other")
+    others = work.table(keys.select(*ID, "nid", "nth").join(of_next, ["nid", "nth"]).select(*ID, "other"), "others")
     edits = keys.select(*ID, F.lit(0).alias("which"), F.col("own").alias("one"), F.col("edited").alias("other"))
-    pairs = work.table(edits.unionByName(following), "pairs")
-    found = recover(pairs, work, partitions)
-    differ = F.coalesce(F.col("plus") + F.col("minus"), F.lit(0))
-    near = pairs.select(*PAIR, F.size("one").alias("a"), F.size("other").alias("b")).join(found, PAIR, "left").withColumn("near", _likeness(F.col("a"), F.col("b"), differ))
-    near = near.groupBy(*ID).agg(F.max(F.when(F.col("which") == 0, F.col("near"))).alias("near_edited"), F.max(F.when(F.col("which") == 1, F.col("near"))).alias("near_next"))
-    near = work.table(near, "near")
+    # Neighbours share little as a rule, so their sketches start one size larger.
+    own = keys.select(*ID, F.lit(1).alias("which"), F.col("own").alias("one")).repartition(partitions, *ID)
+    following = own.join(others.repartition(partitions, *ID), ID).select(*PAIR, "one", "other")
+    found = recover(edits.repartition(partitions, *ID), work, partitions, name="edits").unionByName(recover(following, work, partitions, CELLS * GROWTH, "next"))
+    sizes = keys.select(*ID, F.size("own").alias("a"), F.size("edited").alias("b0")).join(others.select(*ID, F.size("other").alias("b1")), ID)
+    differ = found.groupBy(*ID).agg(*[F.sum(F.when(F.col("which") == w, F.col("plus") + F.col("minus"))).alias(f"d{w}") for w in (0, 1)])
+    near = sizes.join(differ, ID, "left")
+    likeness = [_likeness(F.col("a"), F.col(f"b{w}"), F.coalesce(F.col(f"d{w}"), F.lit(0))).alias(n) for w, n in ((0, "near_edited"), (1, "near_next"))]
+    near = work.table(near.select(*ID, *likeness), "near")
     dealt = keys.repartition(partitions, *ID)
     both = dealt.select(*ID, F.explode(F.expr("concat(transform(own, v -> struct(0 as v, v as key)), transform(edited, v -> struct(1 as v, v as key)))")).alias("r"))
     prints = fingerprint_strings(both.select(*ID, "r.v", "r.key", F.lit(1).cast("long").alias("c")), [*ID, "v"])
