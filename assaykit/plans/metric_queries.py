@@ -255,7 +255,8 @@ def a30_paired_difference(t: Tables) -> DataFrame:
     ok = lambda m: F.max(F.when((F.col("model") == m) & F.col("ok"), 1.0).otherwise(0.0))
     rows = t.scored.groupBy("item_id", "template_id").agg((ok("m-large") - ok("m-small")).alias("v"))
     means = bootstrap.resampled_means(rows, "template_id", "v")
-    return bootstrap.interval(means, ["template_id"]).join(means.groupBy("template_id").agg((F.percentile("mean", F.lit(0.025)) > 0).alias("better")), "template_id")
+    low, high = F.percentile("mean", F.lit(0.025)), F.percentile("mean", F.lit(0.975))
+    return means.groupBy("template_id").agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), (low > 0).alias("better"))
 
 
 @query(
