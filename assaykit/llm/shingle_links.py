@@ -5,10 +5,13 @@ of 0.8, so the groups here are those of simhash_pivots joined with links of such
 share a band of min-wise hashes of their five-word shingles; each is verified on the two texts'
 whole shingle sets.
 
-A band's bucket may hold thousands of near copies. Its members are paired with two of them only;
+A band's bucket may hold thousands of near copies. Its members are paired with two of them first;
 those of a small bucket with all. For each document, the partner that it shares the most bands
 with is verified first; what the links so far join is not compared again, only pairs between
-different components are. All is linear in the number of documents.
+different components are. Where members of a large bucket are then still in several components,
+more and more of them are compared with the bucket's other components, those that meet the most
+others first, until every pair that the links leave apart has been tried. All is linear in the
+number of documents but for buckets whose members resemble each other too little to be linked.
 
 Defined results: a text of fewer than five words is one shingle; a null or empty text has none and
 is linked by its fingerprint only; rows repeated whole are one; a null doc_id comes last when a
@@ -18,11 +21,12 @@ group's survivor is chosen; an empty table gives no rows; other columns are kept
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simhash_pivots
@@ -32,6 +36,8 @@ from .components import connected_components
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 #: Members of a bucket that are paired with each other.
 SMALL = 8
+#: Members of a large bucket that are compared with its other components in the first turn; each turn takes TIMES as many, TURN at most.
+FIRST, TIMES, TURN = 4, 8, 512
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -86,8 +92,8 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, th long, s array<long>")
 
 
-def _candidates(rows: DataFrame, work: Workspace) -> DataFrame:
-    """u < v, and how many bands they meet in; rows: vid, bands."""
+def _candidates(rows: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """u < v, and how many bands they meet in; rows: vid, bands. Beside them the members of large buckets that were not paired with all."""
     each = rows.select("vid", F.posexplode("bands").alias("b", "k"))
     picks = [F.min("vid").alias("r0"), F.min_by("vid", F.xxhash64("vid", F.lit(1))).alias("r1")]
     buckets = work.table(each.groupBy("b", "k").agg(F.count("*").alias("n"), *picks).filter("n > 1"), "band_buckets")
@@ -96,7 +102,8 @@ def _candidates(rows: DataFrame, work: Workspace) -> DataFrame:
     few = members.filter(F.col("n") <= SMALL).select("b", "k", "vid")
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.vid") < F.col("y.vid")))
     both = stars.unionByName(pairs.select(F.col("x.vid").alias("vid"), F.col("y.vid").alias("r"))).filter("vid <> r")
-    return both.groupBy(F.least("vid", "r").alias("u"), F.greatest("vid", "r").alias("v")).agg(F.count("*").alias("n"))
+    large = members.filter((F.col("n") > SMALL) & (F.col("vid") != F.col("r0")) & (F.col("vid") != F.col("r1"))).select("b", "k", "vid", "n")
+    return both.groupBy(F.least("vid", "r").alias("u"), F.greatest("vid", "r").alias("v")).agg(F.count("*").alias("n")), large
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -109,6 +116,48 @@ def _labels(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     return connected_components(edges, work, name).select(F.col("v").alias("vid"), "c")
 
 
+def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with c, the component of vid."""
+    return rows.join(groups, "vid", "left").withColumn("c", F.coalesce("c", "vid"))
+
+
+def _between(large: DataFrame, groups: DataFrame, sets: DataFrame, work: Workspace, similarity: float) -> DataFrame:
+    """groups (vid, c), with components joined that share a large bucket and hold a similar pair in it; large: b, k, vid, n.
+
+    A member that had its turn has been compared with all others outside its component, so a bucket is
+    done when those that had none are all in one component.
+    """
+    sizes = sets.select("vid", F.size("s").alias("size"))
+    # Buckets of one component go before anything is sorted or joined.
+    left, weights = large, None
+    for turn in count():
+        named = work.table(_named(left, groups), f"large_named{turn}")
+        shares = named.groupBy("b", "k", "c").agg(F.count("*").alias("m"))
+        mixed = shares.groupBy("b", "k").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("b", "k", "top")
+        rows = named.join(mixed, ["b", "k"])
+        if weights is None:
+            weights = work.table(rows.groupBy("vid").agg(F.sum("n").alias("w")).join(sizes, "vid"), "large_weights")
+            rows = rows.drop("n").join(weights, "vid")
+        rows = work.table(rows, f"large_rows{turn}")
+        if rows.isEmpty():
+            return groups
+        outside = (F.col("c") == F.col("top")) if turn else F.lit(False)
+        first = Window.partitionBy("b", "k").orderBy(outside, F.desc("w"), "vid")
+        picked = rows.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= min(TURN, FIRST * TIMES**turn))
+        picked = work.table(picked.select("b", "k", F.col("vid").alias("r"), F.col("c").alias("rc"), F.col("size").alias("rsize")), f"large_picked{turn}")
+        alike = F.least("size", "rsize") >= similarity * F.greatest("size", "rsize")
+        met = rows.join(picked, ["b", "k"]).filter((F.col("c") != F.col("rc")) & alike)
+        pairs = work.table(met.select(F.least("vid", "r").alias("u"), F.greatest("vid", "r").alias("v")).distinct(), f"large_pairs{turn}")
+        links = work.table(_verified(pairs, sets, similarity), f"large_links{turn}")
+        if not links.isEmpty():
+            ends = _named(_named(links.withColumnRenamed("u", "vid"), groups).select(F.col("c").alias("cu"), F.col("v").alias("vid")), groups)
+            joined = ends.select(F.least("c", "cu").alias("u"), F.greatest("c", "cu").alias("v")).distinct()
+            above = work.table(_labels(joined, work, f"large{turn}"), f"large_above{turn}")
+            below = groups.join(above.select(F.col("vid").alias("c"), F.col("c").alias("to")), "c", "left").select("vid", F.coalesce("to", "c").alias("c"))
+            groups = work.table(below.unionByName(above), f"large_groups{turn}")
+        left = rows.join(picked.select("b", "k", F.col("r").alias("vid")), ["b", "k", "vid"], "left_anti").drop("c", "top")
+
+
 def near_copy_groups(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, work: Workspace | None = None) -> DataFrame:
     """doc_id, th, c of each distinct (doc_id, text): equal c, one group."""
     work = work or Workspace(spark, "near-copies")
@@ -124,7 +173,8 @@ def near_copy_groups(spark: SparkSession, docs: DataFrame, similarity: float = S
     stars = rows.select("vid", "fp").join(hub_of, "fp").filter("vid <> hub").select(F.least("vid", "hub").alias("u"), F.greatest("vid", "hub").alias("v"))
     stars = work.table(stars, "stars")
     # Candidates between different groups, by bands.
-    pairs = work.table(_candidates(rows.select("vid", "bands"), work), "candidates")
+    pairs, large = _candidates(rows.select("vid", "bands"), work)
+    pairs = work.table(pairs, "candidates")
     paired = work.table(pairs.select(F.explode(F.array("u", "v")).alias("vid")).distinct(), "paired")
     wanted = rows.select("doc_id", "th", "vid").join(paired, "vid")
     texts = join_same(row_keys(docs), wanted.hint("shuffle_hash"), ["doc_id", "th"], "left_semi")
@@ -135,7 +185,8 @@ def near_copy_groups(spark: SparkSession, docs: DataFrame, similarity: float = S
     left = pairs.join(groups.select(F.col("vid").alias("u"), F.col("c").alias("cu")), "u", "left").join(groups.select(F.col("vid").alias("v"), F.col("c").alias("cv")), "v", "left")
     left = left.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
     rest = work.table(_verified(left, sets, similarity), "links_rest")
-    final = _labels(found.unionByName(rest).distinct(), work, "all") if not rest.isEmpty() else groups
+    final = work.table(_labels(found.unionByName(rest).distinct(), work, "all"), "groups_all") if not rest.isEmpty() else groups
+    final = _between(large, final, sets, work, similarity)
     return rows.join(final, "vid", "left").select("doc_id", "th", F.coalesce("c", "vid").alias("c"))
 
 

@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 
-from assaykit.llm.shingle_links import bands, drop_near_copies, near_copy_groups, shingles
+from assaykit.llm._common import Workspace
+from assaykit.llm.shingle_links import _between, bands, drop_near_copies, near_copy_groups, shingles
 from assaykit.llm.simhash_pivots import fingerprints
 
 from .conftest import table
@@ -69,3 +70,37 @@ def test_odd_rows(spark, odd, empty):
     assert len(left) <= len(rows)
     assert sum(r.doc_id == 1 for r in left) == 1 and not any(r.doc_id == 6 for r in left)
     assert drop_near_copies(spark, empty).count() == 0
+
+
+def test_copies_that_resemble_only_the_hub(spark):
+    """400 edited copies of one text, each similar to it and to few or none of the others, which large buckets hold."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1000, " ".join(words))]
+    for i in range(400):
+        copy = list(words)
+        for at in range(0, 400, 50):
+            copy[at + r.randrange(4, 46)] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    sets = [set(shingles(t).tolist()) for _, t in rows]
+    like = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(1, 60) for b in range(a)]
+    assert min(len(sets[0] & s) / len(sets[0] | s) for s in sets) >= 0.8 and sum(x >= 0.8 for x in like) < 0.2 * len(like)
+    want = sorted(sorted(g) for g in brute(rows))
+    got = defaultdict(list)
+    for g in near_copy_groups(spark, table(spark, rows)).collect():
+        got[g.c].append(g.doc_id)
+    assert sorted(map(sorted, got.values())) == want
+
+
+def test_a_large_bucket_is_compared_whole(spark):
+    """Members of one large bucket, most of them unlike all others; the similar pairs are among those that come last."""
+    r = random.Random(5)
+    texts = [" ".join(f"v{r.randrange(10**6)}" for _ in range(60)) for _ in range(300)]
+    for i in range(0, 80, 2):
+        texts[i + 1] = texts[i] + " end"
+    rows = [(i, t) for i, t in enumerate(texts)]
+    large = spark.createDataFrame([(0, 1, i, i) for i in range(300)], "b int, k long, vid long, n long")
+    sets = spark.createDataFrame([(i, shingles(t).view(np.int64).tolist()) for i, t in rows], "vid long, s array<long>")
+    none = spark.createDataFrame([], "vid long, c long")
+    got = _between(large, none, sets, Workspace(spark, "test"), 0.8).collect()
+    assert sorted((g.vid, g.c) for g in got) == [(i + 1, i) for i in range(0, 80, 2)]
