@@ -1,16 +1,20 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers. Those entities are
-the seeds of a bootstrap. Each seed and each other token that looks like an identifier is an
-instance; the words to its left, or left and right, with the token's shape, are the patterns
-that it occurs in. On the graph of patterns and instances, Spark scores in turns:
+the seeds of a bootstrap. Each seed and each other token, or run of tokens, that looks like an
+identifier is an instance; the words to its left, or left and right, are the contexts that it
+occurs in. A context makes three patterns: with the instance's exact shape, with its family
+(digits, digits with letters, or an address), and alone. That alone counts only where seeds of
+several families show that the context doesn't go with one. On the graph of patterns and
+instances, Spark scores in turns:
 
 * a pattern by the mean score of its distinct instances, smoothed towards nought;
-* an instance that is no seed by the noisy-or of its confident patterns.
+* an instance that is no seed by the noisy-or of its contexts, each by its most confident pattern.
 
-After ROUNDS turns, patterns with enough seeds and a high score are believed, and the tokens in
-their contexts, wherever they occur, are personal data of kind `context`. One scan of the texts
-gives entities and candidate tokens; the graph holds no text beyond those tokens' contexts.
+Patterns with enough seeds and a high score are believed, and their instances are seeds of the
+next turn's patterns. After ROUNDS turns, what stands in the contexts of believed patterns,
+wherever it occurs, is personal data of kind `context`. One scan of the texts
+gives entities and candidates; the graph holds no text beyond their contexts.
 
 Defined results: a null or empty text has no spans; texts of any length are read whole; equal
 texts get equal spans; matches of one kind don't overlap, those of different kinds may;
@@ -24,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Workspace, fresh, join_same, row_keys
@@ -43,8 +47,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS, DIGIT = re.compile(r"[0-9]+"), re.compile(r"[0-9]")
 EDGES = "\"'`.,;:!?()[]{}<>|*$&#=/\\"
+#: Of these, what ends a run of tokens.
+ENDS = EDGES.translate({ord("("): None, ord(")"): None})
 
-FOUND = "doc_id long, th long, spans array<struct<kind:string,start:int,stop:int>>, seen array<struct<start:int,stop:int,token:string,seed:boolean,patterns:array<string>>>"
+FOUND = "doc_id long, th long, spans array<struct<kind:string,start:int,stop:int>>, seen array<struct<start:int,stop:int,token:string,seed:boolean,shape:string,family:string,contexts:array<string>>>"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -88,22 +94,50 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in token))
 
 
-def _patterns(text: str, start: int, stop: int) -> list[str]:
+def family(token: str) -> str:
+    """What a shape comes down to: an address, digits with letters, or digits."""
+    return "@" if "@" in token else "a9" if any(map(str.isalpha, token)) else "9"
+
+
+def _contexts(text: str, start: int, stop: int) -> list[str]:
     """Lexical contexts of a span; a side without two words beside it has none."""
     left = [DIGIT.sub("0", w.lower()) for w in text[max(0, start - REACH) : start].split()][-2:]
     right = [DIGIT.sub("0", w.lower()) for w in text[stop : stop + REACH].split()][:1]
-    kind = shape(text[start:stop])
     out = []
     if len(left) == 2:
-        out.append(f"{left[0]} {left[1]} _ {kind}")
+        out.append(f"{left[0]} {left[1]} _")
     if left and right:
-        out.append(f"{left[-1]} _ {right[0]} {kind}")
+        out.append(f"{left[-1]} _ {right[0]}")
     return out
 
 
+def _patterns(s: str) -> Column:
+    """context, pattern, wide of each pattern of an instance; wide: of the context alone."""
+    each = lambda c, kind, wide: F.struct(c.alias("context"), F.concat_ws(" ", c, kind).alias("pattern"), F.lit(wide).alias("wide"))
+    kinds = [(F.concat(F.lit("="), f"{s}.shape"), False), (F.concat(F.lit("~"), f"{s}.family"), False), (F.lit("*"), True)]
+    return F.flatten(F.transform(f"{s}.contexts", lambda c: F.array(*[each(c, kind, wide) for kind, wide in kinds])))
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit, bare of punctuation, that touch no base span."""
+    """Tokens with a digit, and runs of such with one space between them, bare of punctuation, that touch no base span.
+
+    Of those that overlap, a run comes after its tokens.
+    """
     done, spans = 0, sorted((a, b) for _, a, b in taken)
+    first, last, parts = 0, -2, 0
+
+    def bare(a: int, b: int) -> tuple[int, int]:
+        while a < b and text[a] in EDGES:
+            a += 1
+        while a < b and text[b - 1] in EDGES:
+            b -= 1
+        return a, b
+
+    def touches(a: int, b: int) -> bool:
+        return any(x < b and a < y for x, y in spans)
+
+    def free(a: int, b: int) -> bool:
+        return SHORTEST <= b - a <= LONGEST and not touches(a, b)
     for m in DIGITS.finditer(text):
         if m.start() < done:
             continue
@@ -113,12 +147,18 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[i
         while b < len(text) and not text[b].isspace():
             b += 1
         done = b
-        while a < b and text[a] in EDGES:
-            a += 1
-        while a < b and text[b - 1] in EDGES:
-            b -= 1
-        if SHORTEST <= b - a <= LONGEST and not any(x < b and a < y for x, y in spans):
+        # Punctuation other than brackets ends a run, and so does a base span.
+        if parts and a == last + 1 and text[last] in " \xa0" and text[last - 1] not in ENDS and text[a] not in ENDS and not touches(a, b):
+            parts, last = parts + 1, b
+        else:
+            if parts > 1 and free(*bare(first, last)):
+                yield bare(first, last)
+            first, last, parts = a, b, int(not touches(a, b))
+        a, b = bare(a, b)
+        if free(a, b):
             yield a, b
+    if parts > 1 and free(*bare(first, last)):
+        yield bare(first, last)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -126,7 +166,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))]
-        kinds.append(pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("token", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])))
+        kinds.append(pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("token", pa.string()), ("seed", pa.bool_()), ("shape", pa.string()), ("family", pa.string()), ("contexts", pa.list_(pa.string()))])))
         for batch in batches:
             spans, seen = [], []
             for value in batch.column("text"):
@@ -134,7 +174,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 tokens = [(a, b, True) for _, a, b in base] + ([(a, b, False) for a, b in candidates(text, base)] if DIGIT.search(text) else [])
                 spans.append([{"kind": k, "start": a, "stop": b} for k, a, b in base])
-                seen.append([{"start": a, "stop": b, "token": text[a:b].lower(), "seed": s, "patterns": _patterns(text, a, b)} for a, b, s in tokens])
+                seen.append([{"start": a, "stop": b, "token": text[a:b].lower(), "seed": s, "shape": shape(text[a:b]), "family": family(text[a:b]), "contexts": _contexts(text, a, b)} for a, b, s in tokens])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(spans, kinds[0]), pa.array(seen, kinds[1])], names=["doc_id", "th", "spans", "seen"])
 
     return row_keys(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "th").mapInArrow(run, FOUND)
@@ -142,19 +182,30 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def believed_patterns(found: DataFrame, work: Workspace, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
     """pattern, score of the patterns that are believed after some turns on the graph."""
-    each = found.select(F.explode("seen").alias("s")).select(F.explode("s.patterns").alias("pattern"), F.col("s.token").alias("token"), F.col("s.seed").alias("seed"))
-    edges = each.groupBy("pattern", "token").agg(F.max("seed").alias("seed"))
-    # Only patterns that a seed induces take part.
-    induced = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).filter("seeds > 0")
-    edges = work.table(edges.join(induced, "pattern"), "edges")
-    scores = edges.select("token", F.col("seed").cast("double").alias("score")).groupBy("token").agg(F.max("score").alias("score"))
+    each = found.select(F.explode("seen").alias("s")).select(F.explode(_patterns("s")).alias("p"), F.col("s.token").alias("token"), F.col("s.family").alias("family"), F.col("s.seed").alias("seed"))
+    edges = each.groupBy("p.context", "p.pattern", "p.wide", "token", "family").agg(F.max("seed").alias("seed"))
+    # A pattern that no seed induces and that too few instances have can never be believed, nor lend a score.
+    able = edges.groupBy("pattern").agg(F.max("seed").alias("induced"), F.count("*").alias("n")).filter(F.col("induced") | (F.col("n") >= least_seeds)).select("pattern")
+    edges = work.table(edges.join(able, "pattern"), "edges")
+    scores = edges.groupBy("token").agg(F.max("seed").alias("sown")).withColumn("score", F.col("sown").cast("double"))
+    good = (F.col("seeds") >= least_seeds) & (F.col("confidence") >= least_score)
     for r in range(rounds):
         scores = work.table(scores, f"instances{r}")
-        patterns = edges.join(scores, "token").groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(SMOOTHING))).alias("confidence"), F.max("seeds").alias("seeds"))
+        mean = F.sum("score") / (F.count("*") + F.lit(SMOOTHING))
+        families = F.count_distinct(F.when(F.col("sown"), F.col("family")))
+        patterns = edges.join(scores, "token").groupBy("pattern").agg(F.when(~F.max("wide") | (families > 1), mean).otherwise(0.0).alias("confidence"), F.sum(F.col("sown").cast("int")).alias("seeds"))
         patterns = work.table(patterns, f"patterns{r}")
         doubt = F.when(F.col("confidence") >= CONFIDENT, F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))).otherwise(0.0)
-        scores = edges.join(patterns.drop("seeds"), "pattern").groupBy("token").agg(F.when(F.max("seed"), 1.0).otherwise(-F.expm1(F.sum(doubt))).alias("score"))
-    return patterns.filter((F.col("seeds") >= least_seeds) & (F.col("confidence") >= least_score)).select("pattern", F.col("confidence").alias("score"))
+        held = edges.join(patterns, "pattern").groupBy("token", "context").agg(F.max("seed").alias("seed"), F.min(doubt).alias("doubt"), F.max(good).alias("good"))
+        scores = held.groupBy("token").agg((F.max("seed") | F.max("good")).alias("sown"), F.when(F.max("seed"), 1.0).otherwise(-F.expm1(F.sum("doubt"))).alias("score"))
+    return patterns.filter(good).select("pattern", F.col("confidence").alias("score"))
+
+
+def _apart(spans: str) -> Column:
+    """Of spans that overlap, the one that starts first, and of those the longest."""
+    order = F.array_sort(spans, lambda a, b: F.when(a["start"] == b["start"], b["stop"] - a["stop"]).otherwise(a["start"] - b["start"]))
+    none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
+    return F.aggregate(order, none, lambda out, s: F.when((F.size(out) == 0) | (F.try_element_at(out, F.lit(-1))["stop"] <= s["start"]), F.concat(out, F.array(s))).otherwise(out))
 
 
 def find_spans(spark: SparkSession, docs: DataFrame, work: Workspace | None = None) -> DataFrame:
@@ -162,8 +213,8 @@ def find_spans(spark: SparkSession, docs: DataFrame, work: Workspace | None = No
     work = work or Workspace(spark, "pii")
     found = work.table(scan(docs).withColumn("row", F.monotonically_increasing_id()), "found")
     good = work.table(believed_patterns(found, work), "believed")
-    tokens = found.select("row", F.explode("seen").alias("s")).filter("not s.seed").select("row", "s.start", "s.stop", F.explode("s.patterns").alias("pattern"))
-    more = tokens.join(good, "pattern", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit(CONTEXT).alias("kind"), "start", "stop"))).alias("more"))
+    tokens = found.select("row", F.explode("seen").alias("s")).filter("not s.seed").select("row", "s.start", "s.stop", F.explode(_patterns("s")).alias("p")).select("row", "start", "stop", "p.pattern")
+    more = tokens.join(good, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct(F.lit(CONTEXT).alias("kind"), "start", "stop")).alias("more")).withColumn("more", _apart("more"))
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
     return found.drop("seen").join(more, "row", "left").select("doc_id", "th", "spans", F.coalesce("more", none).alias("more"))
 

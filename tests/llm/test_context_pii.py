@@ -54,6 +54,31 @@ def test_contexts_of_seeds_discover_identifiers(spark):
     assert found[0].spans == "card:15:31"
 
 
+def test_contexts_find_identifiers_of_other_shapes(spark):
+    """A short number where phones stand, found by their family; spaced ones; a code in contexts that discovered numbers, not base kinds, have sown."""
+    rows = [(i, f"my phone is +1 (555) 123-{4000 + i} call soon") for i in range(30)]
+    rows += [(100, "my phone is 555-0134 call soon"), (101, "my phone is 555 0134 call soon"), (102, "the part is 555-0134 in stock")]
+    rows += [(200 + i, f"my phone is 555-{2000 + i} call soon") for i in range(8)]
+    rows += [(300 + i, f"reach desk number 555-{2000 + i} at night") for i in range(8)] + [(350, "reach desk number 777-1234 at night")]
+    found = {r.doc_id: r.spans for r in find_personal_data(spark, table(spark, rows)).collect()}
+    assert found[100] == "context:12:20" and found[101] == "context:12:20" and found[102] == ""
+    assert found[350] == "context:18:26"
+
+
+def test_a_context_alone_needs_seeds_of_several_families(spark):
+    mails = [(i, f"contact me at user{i}@mail.example.org or") for i in range(20)]
+    phones = [(50 + i, f"contact me at +1 (555) 123-{4000 + i} or") for i in range(20)]
+    code = [(99, "contact me at AB12-cd34 or")]
+    assert {r.doc_id: r.spans for r in find_personal_data(spark, table(spark, mails + code)).collect()}[99] == ""
+    assert {r.doc_id: r.spans for r in find_personal_data(spark, table(spark, mails + phones + code)).collect()}[99] == "context:14:23"
+
+
+def test_candidates_span_several_tokens():
+    text = "call 555 0134 now, or 12 34, 56 78 90 1 or a@b.org 123 4567."
+    found = [text[a:b] for a, b in candidates(text, base_spans(text))]
+    assert found == ["555 0134", "56 78 90 1", "123 4567"]
+
+
 def luhn_numbers(n):
     out, k = [], 0
     while len(out) < n:
