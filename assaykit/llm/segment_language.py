@@ -41,6 +41,8 @@ POOLED, FLOOR = 200.0, 1e-9
 #: Words of a text that count as independent evidence when its score becomes a probability.
 EVIDENCE = 16
 LONG_WORD, KNOWN_WORDS = 48, 400_000
+#: A forward value below this has lost digits or all of itself; such a word is scored with scaling.
+LEAST_VALUE = 1e-250
 
 
 def vocabulary(model_path: str) -> list[str]:
@@ -171,25 +173,29 @@ class SegmentationModel:
         for at in range(0, len(short), 4096):
             some = sorted(short[at : at + 4096], key=lambda i: len(words[i]))
             lattice = Lattice([words[i] for i in some], self.table)
-            out[some] = np.log(lattice.forward(self.p)[np.arange(len(some)), lattice.size])
+            value = lattice.forward(self.p)[np.arange(len(some)), lattice.size]
+            exact = value.min(axis=1, initial=1.0) >= LEAST_VALUE
+            rows = np.array(some, dtype=np.int64)
+            out[rows[exact]] = np.log(value[exact])
+            for i in rows[~exact]:
+                out[i] = self._log_long(words[i])
         for i, w in enumerate(words):
             if len(w) > LONG_WORD:
                 out[i] = self._log_long(w)
         return out
 
     def _log_long(self, word: str) -> np.ndarray:
-        """As above with the forward values scaled at each character, for a word of any length."""
-        recent, scale = [np.ones(len(self.languages))], 0.0
+        """As above with each language's forward values scaled at each character, for a word of any length."""
+        recent, scale = [np.ones(len(self.languages))], np.zeros(len(self.languages))
         for j in range(1, len(word) + 1):
             now = np.zeros(len(self.languages))
             for k in range(1, min(j, self.longest) + 1):
                 i = self.index.get(word[j - k : j], 0 if k == 1 else None)
                 if i is not None:
                     now += recent[-k] * self.p[i]
-            top = now.max()
-            scale += np.log(top)
-            recent = [r / top for r in recent[-self.longest :]] + [now / top]
-        return np.log(np.maximum(recent[-1], 1e-300)) + scale
+            scale += np.log(now)
+            recent = [r / now for r in recent[-self.longest :]] + [np.ones_like(now)]
+        return scale
 
     def score(self, words: list[str], logs: np.ndarray) -> tuple[str, float]:
         total = logs.sum(axis=0)

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 
-from assaykit.llm.segment_language import PieceTable, SegmentationModel, fit, identify_languages, keep_languages, vocabulary
+from assaykit.llm.segment_language import PieceTable, Scorer, SegmentationModel, fit, identify_languages, keep_languages, vocabulary
 
 from .conftest import table
 
@@ -90,3 +90,16 @@ def test_without_labels_or_rows(spark, empty):
 def test_an_empty_model_knows_no_language():
     model = SegmentationModel([], PIECES, np.zeros((len(PIECES) + 1, 0)))
     assert model.log_words(["▁ab"]).shape == (1, 0)
+
+
+def test_runs_of_unknown_characters_keep_finite_scores():
+    """Words whose plain forward value is nought or nearly so: scored as if scaled, at every length."""
+    model = fit({"de": {"▁der": 5, "▁hund": 5}, "en": {"▁the": 5, "▁dog": 5}}, [*PIECES, "▁der", "▁hund", "▁the", "▁dog"])
+    words = ["▁" + "☃" * n for n in range(20, 61)]
+    logs = model.log_words(words)
+    assert np.isfinite(logs).all()
+    assert np.allclose(logs, [model._log_long(w) for w in words])
+    for n in range(30, 61):
+        (lang,), (score,) = Scorer(model).many(["the dog " * 20 + "☃" * n])
+        plain = Scorer(model).many(["the dog " * 20])
+        assert lang == plain[0][0] == "en" and 0 <= score <= 1 and abs(score - plain[1][0]) < 0.05
