@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -21,9 +23,23 @@ OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ]")
 LONG_WORD = 32
 
 
+@contextmanager
+def library_threads(on: bool) -> Iterator[None]:
+    """Whether the library's batch calls inside use its threads; the setting is put back afterwards."""
+    name = "TOKENIZERS_PARALLELISM"
+    before = os.environ.get(name)
+    os.environ[name] = "true" if on else "false"
+    try:
+        yield
+    finally:
+        if before is None:
+            del os.environ[name]
+        else:
+            os.environ[name] = before
+
+
 @lru_cache(maxsize=8)
 def tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path)
@@ -32,6 +48,12 @@ def tokenizer(path: str):
     return loaded
 
 
+def batch_ids(library, words: list[str], threads: bool = False) -> list[list[int]]:
+    """Ids of each word by one call; without threads of the library's own where Spark's tasks fill the cores."""
+    with library_threads(threads):
+        return [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
+
+
 class Remembered:
     """word -> value, for values made in batches. When full, words not met since the last time are forgotten."""
 
@@ -67,61 +89,42 @@ class Remembered:
         return [met[w] if v is None else v for w, v in zip(words, got)]
 
 
-class TextIds:
-    """ids(text): what Tokenizer.encode(text, add_special_tokens=False) gives, as a uint32 array.
+#: How byte-level files cut texts of OTHER's complement (a fixed value of theirs).
+BYTE_LEVEL_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
-    A byte-level BPE file whose merges stand in the order of their ids has a second, faster
-    encoder in tiktoken, built from the same file; it serves texts of OTHER's complement without
-    very long words, and is compared with the library on the first text of each task.
-    """
 
-    def __init__(self, path: str):
-        self.library, self.fast = tokenizer(path), _ranked(path)
-        self.compared = self.fast is None
+def _cuts_by_words(path: str) -> bool:
+    """Whether a file's texts are cut as above before any merge, and nothing else changes them."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return plain and not spec.get("normalizer") and not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
 
-    def plain(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or OTHER.search(text) or SPACES.search(text) or (len(text) > 500 and max(map(len, text.split()), default=0) > 500):
-            return self.plain(text)
-        got = self.fast.encode_to_numpy(text, allowed_special="all")
-        if not self.compared:
-            if not np.array_equal(got, self.plain(text)):
-                raise ValueError("the two encoders disagree")
-            self.compared = True
-        return got
+class TextIds:
+    """ids(text): what Tokenizer.encode(text, add_special_tokens=False) gives, as a uint32 array; every id comes from the library."""
 
+    def __init__(self, path: str):
+        self.library, self.by_word = tokenizer(path), _cuts_by_words(path)
+        added = self.library.get_added_tokens_decoder().values()
+        self.whole = re.compile("|".join([OTHER.pattern, *(re.escape(t.content) for t in added)]))
+        self.words = Remembered(lambda new: [array("I", ids).tobytes() for ids in batch_ids(self.library, new)])
 
-SPACES = re.compile(r"\s{300}")
-#: How byte-level files cut words (a fixed value of theirs).
-BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of each; the words that are new go to the library in one batch."""
+        lists = [None if not self.by_word or self.whole.search(t) else BYTE_LEVEL_WORDS.findall(t) for t in texts]
+        self.words.learn([words for words in lists if words])
+        return [self.plain(t) if words is None else np.frombuffer(b"".join(self.words.of(words)), dtype=np.uint32) for t, words in zip(texts, lists)]
 
-def _byte_of() -> dict[str, int]:
-    """The printable stand-ins of bytes in byte-level files."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    def ids(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
 
 
-@lru_cache(maxsize=4)
-def _ranked(path: str):
-    """The tiktoken encoder of a byte-level BPE file, or None if its ids don't follow its merges."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    if not plain or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-        return None
-    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
-        return None
-    ids, at = model["vocab"], _byte_of()
-    order = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    if order != sorted(order):
-        return None
-    import tiktoken
-
-    ranks = {bytes(at[c] for c in token): i for token, i in ids.items() if token not in added}
-    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens=added)
+@lru_cache(maxsize=2)
+def text_ids(path: str) -> TextIds:
+    """One for each worker process, whose words serve all of its tasks."""
+    return TextIds(path)

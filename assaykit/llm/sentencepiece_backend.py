@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import row_keys
-from ._vocab import Remembered
+from ._vocab import Remembered, batch_ids
 
 MARK = "▁"
 #: Piece types and model types of the published protobuf schema (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Threads of the library that parity is held against; the tokenizers library has a pool of its own.
+THREADS = 2
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -150,8 +152,8 @@ class Codec:
     def _new(self, words: list[str]) -> list[bytes]:
         """Words as they stand in the text, a space in front of each; those that the reference encodes otherwise are noted."""
         bare = [w[1:] for w in words]
-        ids = [e.ids for e in self.library.encode_batch_fast(bare, add_special_tokens=False)]
-        same = self.reference.encode(bare, num_threads=1)
+        ids = batch_ids(self.library, bare, threads=True)
+        same = self.reference.encode(bare, num_threads=THREADS)
         # A marker alone is a text's end; the libraries see an empty text there.
         if ids != same:
             self.differ.update(w for w, i, s in zip(words, ids, same) if i != s)

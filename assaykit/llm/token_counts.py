@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Workspace, join_same
-from ._vocab import OTHER, Remembered, tokenizer
+from ._vocab import OTHER, Remembered, batch_ids, tokenizer
 
 CACHE = "content string, tokenizer string, n_tokens long"
 #: Words as the tokenizer's pre-tokenizer cuts them (fixed values of its file).
@@ -39,7 +39,7 @@ class WordCounter:
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self.words = Remembered(lambda new: [len(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)])
+        self.words = Remembered(lambda new: list(map(len, batch_ids(self.library, new))))
 
     def count(self, text: str) -> int:
         if OTHER.search(text):

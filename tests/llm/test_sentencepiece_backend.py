@@ -1,6 +1,10 @@
+import os
 import random
 import struct
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -82,3 +86,24 @@ def test_handmade_models_of_both_kinds(tmp_path, kind, squeeze):
         ids, _ = tokens.encode(text)
         assert ids.tolist() == library.encode(text), repr(text)
         assert tokens.decode(ids.tolist()) == library.decode(ids.tolist()), repr(text)
+
+
+def test_batches_run_on_the_librarys_threads():
+    """In a fresh process that has encoded without threads before, a batch starts the library's pool."""
+    code = (
+        "import psutil, random, os\n"
+        "from assaykit.llm._vocab import batch_ids, tokenizer\n"
+        "import public_tokenizers\n"
+        "t = tokenizer(public_tokenizers.path('byte_bpe_50k.json'))\n"
+        "words = [''.join(random.choice('abcdefgh') for _ in range(12)) for _ in range(4000)]\n"
+        "alone = batch_ids(t, words)\n"
+        "before = psutil.Process().num_threads()\n"
+        "assert batch_ids(t, words, threads=True) == alone\n"
+        "after = psutil.Process().num_threads()\n"
+        "assert 'TOKENIZERS_PARALLELISM' not in os.environ\n"
+        "print(before, after)\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], env=env, check=True)
+    before, after = map(int, out.stdout.split())
+    assert after > before or os.cpu_count() == 1
