@@ -1,7 +1,9 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame operations only.
 
-A text's paragraphs are its lines; a line longer than LONG_LINE code points counts as several,
-cut at white space where it has any. Each paragraph's digest, with the number of times that the
+A text's paragraphs are its lines, and parts of lines: a part ends where a word ends in one of the
+letters PART_ENDS, wherever the line began, so that an insertion changes the parts that it touches
+and no others. A part longer than LONG_PART code points is cut there, at white space where it has
+any. Each paragraph's digest, with the number of times that the
 text has it, is a key. A sketch deals every key to three cells; a cell holds a count, the keys'
 exclusive or, and that of their checksums. Two versions' sketches subtract cell by cell: what
 they share cancels. A cell that is left with one key gives that key away; taking it out of its
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 
 from ._common import Workspace, row_keys
 
-LONG_LINE = 128
-PARAGRAPHS = rf"[^\n]{{1,{LONG_LINE}}}(?=\s|$)|[^\n]{{1,{LONG_LINE}}}"
+#: About one word in eight of European prose ends in one of these.
+PART_ENDS, LONG_PART = "dlm", 256
+PARAGRAPHS = rf"[^\n]{{1,{LONG_PART}}}?(?:[{PART_ENDS}](?=[ \t\r])|(?![^\n]))|[^\n]{{1,{LONG_PART}}}(?=[ \t\r])|[^\n]{{1,{LONG_PART}}}"
 #: Cells of a first sketch, how many times more a retry has, rounds of peeling for each size, and sizes.
 CELLS, GROWTH, ROUNDS, SIZES = 48, 4, 6, 16
 ID = ["did", "th"]

@@ -5,8 +5,7 @@ its first letters, so that an unseen word counts by the forms that it shares. A
 of its sentences: one minus the product of their complements. Only documents are labelled; the
 gradient of the document's likelihood falls on each sentence by its own probability, so the
 training finds the sentences that explain the label. Weights are fitted to a bounded sample of
-labelled documents, with an L1 penalty that leaves most at nought; features that few
-sampled documents hold are not considered.
+labelled documents. Every feature of the sample is considered; an L1 penalty leaves most at nought.
 
 A sentence ends at `.`, `!` or `?` or a line's end. A document without words is one empty
 sentence.
@@ -22,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,9 +37,7 @@ PREFIXES = (4, 5, 6)
 KNOWN_WORDS = 400_000
 #: Labelled documents of each class that are read to fit the weights, about, and the share of a class needed to act.
 SAMPLE_DOCS, THRESHOLD = 1500, 0.3
-#: Sampled documents that must hold a feature, and how many features are considered, by how surely the classes differ in it.
-LEAST_DOCS, MOST_FEATURES = 6, 1500
-ROUNDS, RATE, PENALTY = 250, 0.3, 2e-4
+ROUNDS, RATE, PENALTY = 250, 0.3, 3e-4
 
 
 def features(word: str) -> list[str]:
@@ -98,38 +94,33 @@ def fit(texts: list[str], labels: list[int], rows_each: list[float], rounds: int
     y, each = np.array(labels, dtype=float), np.array(rows_each, dtype=float)
     if not len(y):
         return ToxicityModel(-50.0, {})
-    split = [[set(WORD.findall(t.lower())) for t in SENTENCE.findall(text)] or [set()] for text in texts]
-    held, toxic = Counter(), Counter()
-    for sentences, label in zip(split, labels):
-        found = {f for word in set().union(*sentences) for f in features(word)}
-        held.update(found)
-        if label:
-            toxic.update(found)
-    n, n_toxic = len(y), int(y.sum())
-    n_clean = n - n_toxic
-
-    def sureness(f: str) -> float:
-        p = held[f] / n
-        return abs(toxic[f] / max(1, n_toxic) - (held[f] - toxic[f]) / max(1, n_clean)) / math.sqrt(max(p * (1 - p), 1e-9))
-
-    words = sorted((f for f, k in held.items() if k >= LEAST_DOCS), key=lambda f: (-sureness(f), f))[:MOST_FEATURES]
-    index = {w: i for i, w in enumerate(words)}
-    # Sentences as rows of a sparse matrix: how many distinct words have the feature.
-    doc_of = np.repeat(np.arange(n), [len(s) for s in split])
-    pairs = [(r, index[f]) for r, s in enumerate(s for sentences in split for s in sentences) for w in sorted(s) for f in features(w) if f in index]
-    row, col = (np.array(x, dtype=np.int64) for x in (zip(*pairs) if pairs else ([], [])))
+    # Sentences as rows of a sparse matrix of words, and words as rows of one of features.
+    numbers: dict[str, int] = {}
+    rows, sentences_of = [], []
+    for text in texts:
+        found = SENTENCE.findall(text) or [""]
+        sentences_of.append(len(found))
+        rows += [np.fromiter((numbers.setdefault(w, len(numbers)) for w in dict.fromkeys(WORD.findall(t.lower()))), dtype=np.int32) for t in found]
+    n, doc_of = len(y), np.repeat(np.arange(len(y)), sentences_of)
+    row, word = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+    index: dict[str, int] = {}
+    kinds = [[index.setdefault(f, len(index)) for f in features(w)] for w in numbers]
+    of, col = np.repeat(np.arange(len(kinds)), [len(k) for k in kinds]), np.array([f for k in kinds for f in k], dtype=np.int64)
+    words = list(index)
     share = each / each.sum()
     rate = float((share * y).sum())
     bias = np.log(max(rate, 1e-4)) - np.log(max(len(doc_of) / n, 1.0)) - 2.0
     w, sq_w, sq_b = np.zeros(len(words)), np.full(len(words), 1e-8), 1e-8
     for _ in range(rounds):
-        z = bias + np.bincount(row, weights=w[col], minlength=len(doc_of))
+        of_word = np.bincount(of, weights=w[col], minlength=len(kinds))
+        z = bias + np.bincount(row, weights=of_word[word], minlength=len(doc_of))
         p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
         none = np.bincount(doc_of, weights=np.log1p(-p), minlength=n)
         doc = np.clip(-np.expm1(none), 1e-9, 1 - 1e-12)
         # d(-log likelihood)/dz of a sentence: p for a clean document, -p (1 - P) / P for a toxic one.
         g = (share * np.where(y == 1, -(1 - doc) / doc, 1.0))[doc_of] * p
-        gw, gb = np.bincount(col, weights=g[row], minlength=len(words)), g.sum()
+        each_word = np.bincount(word, weights=g[row], minlength=len(kinds))
+        gw, gb = np.bincount(col, weights=each_word[of], minlength=len(words)), g.sum()
         sq_w, sq_b = sq_w + gw**2, sq_b + gb**2
         step = RATE / np.sqrt(sq_w)
         w = w - step * gw

@@ -103,9 +103,12 @@ def _split(rows: DataFrame, work: Workspace, shards: int, rounds: int = 8) -> tu
         sums = dealt.groupBy("bin").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
         bins = [x.asDict() for x in sums.collect()]
         full = [b for b in bins if (b["bytes"] > most_bytes or b["rows"] > most_rows) and (b["low"] != b["high"] or b["low"] in huge) and b["rows"] > 1]
-        if not full or r == rounds:
+        if not full:
             break
-        inside = dealt.filter(F.col("bin").isin([b["bin"] for b in full])) if len(full) < 1000 else dealt
+        if r == rounds:
+            raise RuntimeError(f"{len(full)} ranges are still overfull")
+        # One row for each full range, of which there are as many as ranges at most.
+        inside = dealt.join(F.broadcast(dealt.sparkSession.createDataFrame([(b["bin"],) for b in full], "bin long")), "bin", "left_semi")
         extra = sum(int(b["bytes"] // max(most_bytes, 1)) + 1 for b in full) * 2
         found: dict[int, list] = {}
         at = sorted(cuts)

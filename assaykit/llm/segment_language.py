@@ -197,6 +197,37 @@ class SegmentationModel:
             recent = [r / now for r in recent[-self.longest :]] + [np.ones_like(now)]
         return scale
 
+    def add_expected(self, word: str, p: np.ndarray, times: np.ndarray, seen: np.ndarray) -> None:
+        """Adds to `seen` how often each piece is expected in a word of any length, values scaled at each character from both ends.
+
+        What is held at a time is one scaled value for each character and language.
+        """
+        n, known = len(word), self.index.get
+        ahead, scale = np.ones((n + 1, p.shape[1])), np.ones((n + 1, p.shape[1]))
+        fits = [[(k, i) for k in range(1, min(j, self.longest) + 1) if (i := known(word[j - k : j], 0 if k == 1 else None)) is not None] for j in range(n + 1)]
+        for j in range(1, n + 1):
+            # Values at earlier characters are in units of their own scales.
+            now, unit = np.zeros(p.shape[1]), np.ones(p.shape[1])
+            at = j - 1
+            for k, i in fits[j]:
+                while at > j - k:
+                    unit = unit / scale[at]
+                    at -= 1
+                now += ahead[j - k] * unit * p[i]
+            scale[j] = np.maximum(now, 1e-300)
+            ahead[j] = now / scale[j]
+        back = np.zeros((n + 1, p.shape[1]))
+        back[n] = 1.0
+        for j in range(n, 0, -1):
+            unit, at = 1.0 / scale[j], j - 1
+            for k, i in fits[j]:
+                while at > j - k:
+                    unit = unit / scale[at]
+                    at -= 1
+                share = p[i] * back[j] * unit
+                seen[i] += times * ahead[j - k] * share
+                back[j - k] += share
+
     def score(self, words: list[str], logs: np.ndarray) -> tuple[str, float]:
         total = logs.sum(axis=0)
         eased = (total - total.max()) * min(1.0, EVIDENCE / max(1, len(words)))
@@ -208,13 +239,17 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = EM_R
     """counts: for each language, how often each word (with its mark) occurs."""
     languages = sorted(counts)
     model = SegmentationModel(languages, pieces, np.full((len(pieces) + 1, len(languages)), FLOOR))
-    words = sorted({w for c in counts.values() for w in c if len(w) <= LONG_WORD}, key=lambda w: (len(w), w))
-    times = np.array([[counts[g].get(w, 0) for g in languages] for w in words], dtype=float).reshape(len(words), len(languages))
+    every = sorted({w for c in counts.values() for w in c}, key=lambda w: (len(w), w))
+    each = np.array([[counts[g].get(w, 0) for g in languages] for w in every], dtype=float).reshape(len(every), len(languages))
+    short = sum(len(w) <= LONG_WORD for w in every)
+    words, times = every[:short], each[:short]
     lattices = [(Lattice(words[a : a + 8192], model.table), times[a : a + 8192]) for a in range(0, len(words), 8192)]
     p = np.full_like(model.p, 1.0 / max(1, len(pieces)))
     for _ in range(rounds):
         p[0] = FLOOR
         seen = sum((lattice.expected(p, t) for lattice, t in lattices), np.zeros_like(p))
+        for word, t in zip(every[short:], each[short:]):
+            model.add_expected(word, p, t, seen)
         seen[0] = 0
         pooled = seen.sum(axis=1, keepdims=True) / max(seen.sum(), 1e-300)
         p = np.maximum((seen + POOLED * pooled) / (seen.sum(axis=0) + POOLED), FLOOR)

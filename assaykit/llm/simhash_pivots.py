@@ -7,7 +7,9 @@ grouped by the connected components of those links.
 Pivot distance tables: each distinct fingerprint's Hamming distances to PIVOTS reference
 fingerprints are computed once. By the triangle inequality two fingerprints within the radius
 differ by at most the radius in every coordinate, so pairs with a larger difference are
-discarded; survivors are verified bit by bit. Pairs come from buckets: 64 bits in b blocks, and
+discarded; survivors are verified bit by bit. No link is made but of pairs that the pivots let
+through. Distances to random references lie near half the bits for all fingerprints alike, so the
+table alone would leave a fixed share of all pairs; those that it is asked about come from buckets: 64 bits in b blocks, and
 every choice of b - radius blocks is a key. Fingerprints within the radius agree on all blocks
 but `radius` at most, so they share a bucket. b grows with the number of fingerprints, so that
 chance company in a bucket stays rare.
@@ -131,13 +133,34 @@ def distance_table(fp: Column, refs: list[int]) -> list[Column]:
     return out
 
 
+def pivot_bound(radius: int) -> int:
+    """How far coordinates of a pair within the radius may differ: by the triangle inequality, as much."""
+    return radius
+
+
 def near(a: str, b: str, radius: int, refs: int) -> Column:
     """Condition of a pair of aliased rows: no coordinate differs by more than the radius, nor do the fingerprints."""
     worst = F.greatest(*[
         F.abs(F.shiftright(F.col(f"{a}.t{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(127)) - F.shiftright(F.col(f"{b}.t{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(127)))
         for i in range(refs)
     ])
-    return (worst <= radius) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius)
+    return (worst <= pivot_bound(radius)) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius)
+
+
+def survives(u: str, v: str, radius: int, refs: list[int]) -> Column:
+    """The same condition of a row that holds both fingerprints: the table's rows of two are made on the spot."""
+    def apart(a: str, b: str, r: int) -> Column:
+        return F.abs(F.bit_count(F.col(a).bitwiseXOR(F.lit(r))) - F.bit_count(F.col(b).bitwiseXOR(F.lit(r))))
+
+    return (F.greatest(*[apart(u, v, r) for r in refs]) <= pivot_bound(radius)) & (F.bit_count(F.col(u).bitwiseXOR(F.col(v))) <= radius)
+
+
+def discarded(pairs: DataFrame, radius: int = RADIUS, refs: int = PIVOTS) -> DataFrame:
+    """Of pairs u, v: n, how many the pivots discard, how many bits decide, and how many link."""
+    near_ = F.greatest(*[F.abs(F.bit_count(F.col("u").bitwiseXOR(F.lit(r))) - F.bit_count(F.col("v").bitwiseXOR(F.lit(r)))) for r in pivots(refs)]) <= radius
+    both = survives("u", "v", radius, pivots(refs))
+    count = lambda c, name: F.sum(c.cast("long")).alias(name)
+    return pairs.agg(F.count("*").alias("n"), count(~near_, "by_pivots"), count(near_ & ~both, "by_bits"), count(both, "linked"))
 
 
 def block_masks(n: int, radius: int) -> list[int]:
@@ -177,7 +200,7 @@ def links(prints: DataFrame, work: Workspace, radius: int = RADIUS, refs: int =
     pairs = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
     dense = members.filter(F.col("n") > small)
     stars = dense.select("fp", F.explode(F.array(*[f"r{i}" for i in range(REPRESENTATIVES)])).alias("r"))
-    stars = stars.filter((F.col("fp") != F.col("r")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("r"))) <= radius))
+    stars = stars.filter((F.col("fp") != F.col("r")) & survives("fp", "r", radius, pivots(refs)))
     stars = stars.select(F.least("fp", "r").alias("u"), F.greatest("fp", "r").alias("v")).distinct()
     found = work.table(pairs.unionByName(stars).distinct(), "links0")
     if dense.isEmpty():
@@ -201,7 +224,7 @@ def _between(dense: DataFrame, components: DataFrame, t: list[str], work: Worksp
     many = rows.filter(F.col("outside") > few).select("fp").distinct()
     points = many.select("fp", F.explode(_around(F.col("fp"), radius // 2)).alias("point"))
     met = points.groupBy("point").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("point", "low")
-    shared = points.join(met, "point").filter("fp != low").select(F.col("low").alias("u"), F.col("fp").alias("v"))
+    shared = points.join(met, "point").filter((F.col("fp") != F.col("low")) & survives("fp", "low", radius, pivots(refs))).select(F.col("low").alias("u"), F.col("fp").alias("v"))
     return work.table(out.unionByName(shared).distinct(), "links1")
 
 

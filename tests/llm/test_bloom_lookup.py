@@ -1,17 +1,26 @@
 import hashlib
-import re
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from assaykit.llm._common import Workspace
-from assaykit.llm.bloom_lookup import CELLS, LONG_LINE, compare_with_edits, recover
+from assaykit.llm.bloom_lookup import CELLS, LONG_PART, PART_ENDS, compare_with_edits, paragraph_hashes, recover
 
 from .conftest import table
 
-PARAGRAPHS = re.compile(rf"[^\n]{{1,{LONG_LINE}}}(?=\s|$)|[^\n]{{1,{LONG_LINE}}}")
+def parts(line):
+    """A line's parts: up to the first word that ends in a letter of PART_ENDS; of the first LONG_PART characters, up to the last blank, if there is none."""
+    while line:
+        ends = [i for i in range(1, min(LONG_PART, len(line) - 1) + 1) if line[i] in PART_ENDS and line[i + 1 : i + 2] in {" ", "\t", "\r"}]
+        blanks = [i for i in range(1, min(LONG_PART, len(line) - 1) + 1) if line[i] in " \t\r"]
+        n = ends[0] + 1 if ends else len(line) if len(line) <= LONG_PART else blanks[-1] if blanks else LONG_PART
+        yield line[:n]
+        line = line[n:]
 
 
 def keys(text):
-    return set(Counter(p for p in (x.strip(" \t\r") for x in PARAGRAPHS.findall(text)) if p).items())
+    return set(Counter(p for line in text.split("\n") for p in (x.strip(" \t\r") for x in parts(line)) if p).items())
 
 
 def likeness(a, b):
@@ -74,3 +83,17 @@ def test_large_differences_are_retried_until_they_peel(spark):
     assert max(a + b for a, b in sizes) > CELLS
     got = {r.did: (r.plus, r.minus) for r in recover(pairs, Workspace(spark, "t"), 4).collect()}
     assert {i: got.get(i, (0, 0)) for i in range(len(sizes))} == dict(enumerate(sizes))
+
+
+def test_an_insertion_into_one_line_changes_few_parts(spark):
+    """Three words put at the start or inside of a line of 2,000 characters and more."""
+    r = random.Random(8)
+    letters = "etaoinshrdlumcwfgypb"
+    rows = []
+    for i in range(40):
+        words = ["".join(r.choices(letters, weights=range(20, 0, -1), k=r.randrange(2, 9))) for _ in range(420)]
+        at = 0 if i % 2 else r.randrange(len(words))
+        rows.append((" ".join(words), " ".join([*words[:at], "three new words", *words[at:]])))
+    df = spark.createDataFrame(rows, "a string, b string").select(paragraph_hashes("a").alias("a"), paragraph_hashes("b").alias("b"))
+    near = df.select((F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("n"))
+    assert near.agg(F.min("n")).first()[0] > 0.9

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 
-from assaykit.llm.segment_language import PieceTable, Scorer, SegmentationModel, fit, identify_languages, keep_languages, vocabulary
+from assaykit.llm.segment_language import Lattice, PieceTable, Scorer, SegmentationModel, fit, identify_languages, keep_languages, vocabulary
 
 from .conftest import table
 
@@ -103,3 +103,16 @@ def test_runs_of_unknown_characters_keep_finite_scores():
         (lang,), (score,) = Scorer(model).many(["the dog " * 20 + "☃" * n])
         plain = Scorer(model).many(["the dog " * 20])
         assert lang == plain[0][0] == "en" and 0 <= score <= 1 and abs(score - plain[1][0]) < 0.05
+
+
+def test_long_words_take_part_in_the_fit():
+    """Expected pieces of a word, scaled at each character, are those of the plain forward and backward pass; a long word moves the model."""
+    model = fit(WORDS, PIECES)
+    for word in ("▁abba", "▁zabq", "▁bbababab", "▁"):
+        times = np.array([2.0, 3.0])
+        scaled = np.zeros_like(model.p)
+        model.add_expected(word, model.p, times, scaled)
+        assert np.allclose(scaled, Lattice([word], model.table).expected(model.p, times[None, :]), rtol=1e-9)
+    long = {"x": {**WORDS["x"], "▁" + "ab" * 3000: 5}, "y": WORDS["y"]}
+    moved = fit(long, PIECES)
+    assert np.isfinite(moved.p).all() and moved.p[moved.index["ab"], 0] > model.p[model.index["ab"], 0]

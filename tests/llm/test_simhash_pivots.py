@@ -6,7 +6,8 @@ import xxhash
 
 from assaykit.llm._common import Workspace
 from assaykit.llm.components import connected_components
-from assaykit.llm.simhash_pivots import block_masks, fingerprints, links, simhash_dedup
+from assaykit.llm import simhash_pivots
+from assaykit.llm.simhash_pivots import block_masks, discarded, fingerprints, links, simhash_dedup
 
 
 def fingerprint(text):
@@ -123,3 +124,30 @@ def test_odd_rows(spark, odd):
 
 def test_empty_table(spark, empty):
     assert simhash_dedup(spark, empty).count() == 0
+
+
+def test_pivots_discard_before_bits_are_compared(spark):
+    """Of random pairs nearly all go by the table; of pairs within the radius none does."""
+    r = random.Random(6)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    far, close = [], []
+    for _ in range(4000):
+        a = r.getrandbits(64)
+        far.append((signed(a), signed(r.getrandbits(64))))
+        b = a
+        for bit in r.sample(range(64), r.randrange(5)):
+            b ^= 1 << bit
+        close.append((signed(a), signed(b)))
+    got = discarded(spark.createDataFrame(far, "u long, v long")).first()
+    assert got.by_pivots > 0.99 * got.n and got.linked == 0
+    got = discarded(spark.createDataFrame(close, "u long, v long")).first()
+    assert (got.by_pivots, got.by_bits, got.linked) == (0, 0, 4000)
+
+
+def test_no_link_passes_by_the_pivots(spark, monkeypatch):
+    """With a table that denies every pair, nothing is linked: neither in small buckets nor in dense ones, nor by shared points."""
+    prints = near_prints(3, 4, 60, 50)
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    monkeypatch.setattr(simhash_pivots, "pivot_bound", lambda radius: -1)
+    for small, few in ((32, 256), (4, 0), (4, 256)):
+        assert simhash_pivots.links(df, Workspace(spark, "t"), small=small, few=few).count() == 0
