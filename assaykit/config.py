@@ -1,4 +1,4 @@
-"""Run parameters."""
+"""Run parameters; the registered queries and their SQL twins take their limits from the defaults."""
 
 from __future__ import annotations
 
@@ -15,6 +15,9 @@ class RunConfig:
     bins: int = 15
     replicates: int = 1000
     audit_per_source: int = 50
+    stratified_dev: int = 2000
+    thinking: int = 200
+    spot_checks: int = 5
     template_target: int = 500
     drop_at: float = 0.95
     teacher_ece: float = 0.05

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def _zero() -> Column:
     return F.lit(0.0).cast("double")
 
@@ -49,8 +48,10 @@ def brier(probs: Column | str, gold: Column | str) -> Column:
 
 
 def nll(probs: Column | str, gold: Column | str) -> Column:
+    """Null where the gold is null or no option's index."""
     g = F.col(gold) if isinstance(gold, str) else gold
-    return -F.log(F.greatest(F.element_at(probs, g + 1), F.lit(1e-12)))
+    p = F.get(probs, g)
+    return F.when(p.isNotNull(), -F.log(F.greatest(p, F.lit(1e-12))))
 
 
 def expected_level(probs: Column | str) -> Column:
@@ -59,9 +60,9 @@ def expected_level(probs: Column | str) -> Column:
 
 
 def min_k(logprobs: Column | str, share: float = 0.2) -> Column:
-    """Mean of the lowest ceil(share * n) token log-probabilities."""
+    """Mean of the lowest ceil(share * n) token log-probabilities; null where there are no tokens."""
     k = F.ceil(F.size(logprobs) * F.lit(share).cast("double")).cast("int")
-    return array_total(F.slice(F.array_sort(logprobs), F.lit(1), k)) / k
+    return F.try_divide(array_total(F.slice(F.array_sort(logprobs), F.lit(1), F.greatest(k, F.lit(0)))), k)
 
 
 def residual_fill(keys: Column | str, topk: Column | str) -> Column:

@@ -1,13 +1,17 @@
 """Bootstrap intervals.
 
-`resample` draws with replacement by hash: draw j of replicate b takes the row whose rank is
-hash(b, group, j) mod n. It reproduces in any engine. The replicates are summed as they are
-drawn, so a replicate and group are one row after the map-side combine; ranks are joined on
-(group, rank), which spreads evenly.
-
-`poisson` weights each row of each replicate by a Poisson(1) number from the row's own hash. It
-needs no rank and no join, so it is the one to take for large tables; a resample's size then
-varies, which makes it an approximation.
+`poisson_means`, the one to take, weights each row of each replicate by a Poisson(1) number from
+the row's own hash. It needs no rank and no join: each task sums its rows by group and replicate,
+and only those sums are shuffled. A resample's size varies. One digest serves eight replicates. A
+replicate whose weights are all nought, which happens in groups of a few rows, has no mean and is
+left out of the interval.
+
+`resampled_means` draws with replacement by hash: draw j of replicate b takes the row whose rank is
+hash(b, group, j) mod n. Its resamples have the table's size, but it ranks each group in one task
+and joins every draw, so it is for groups of a few thousand rows and for comparison.
+
+Null values count in neither's means; an empty table gives no rows; rows that share an id get the
+same weights.
 """
 
 from __future__ import annotations
@@ -15,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket, unit
+from ..functions.hashing import bucket
 
 REPLICATES = 1000
+#: 32-bit numbers in a digest.
+WORDS = 8
 #: Cumulative Poisson(1) probabilities at 0, 1, ..., 7.
 POISSON_STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
@@ -42,9 +48,12 @@ def interval(means: DataFrame, by: list[str]) -> DataFrame:
 
 
 def poisson_means(scored: DataFrame, group: str, value: str, id_: str = "item_id", n: int = REPLICATES) -> DataFrame:
-    """group, b, mean under Poisson(1) weights."""
-    rows = scored.select(group, id_, F.col(value).cast("double").alias("v")).crossJoin(_replicates(scored.sparkSession, n))
-    u = unit(F.lit("poisson"), F.col("b").cast("string"), id_)
-    weight = sum(((u >= F.lit(step)).cast("int") for step in POISSON_STEPS), F.lit(0))
-    rows = rows.withColumn("w", weight)
-    return rows.groupBy(group, "b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"))
+    """group, b, mean under Poisson(1) weights; mean is null where all weights are nought."""
+    rows = scored.select(group, F.col(id_).cast("string").alias("_id"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    blocks = rows.select(group, "_id", "v", F.explode(F.sequence(F.lit(0), F.lit(-(-n // WORDS) - 1))).alias("_block"))
+    digest = blocks.select(group, "v", "_block", F.sha2(F.concat_ws("|", F.lit("poisson"), F.col("_block").cast("string"), "_id"), 256).alias("_h"))
+    each = digest.select(group, "v", "_block", "_h", F.explode(F.array(*[F.lit(j) for j in range(WORDS)])).alias("_j"))
+    u = F.conv(F.substring("_h", F.col("_j") * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+    each = each.select(group, "v", (F.col("_block") * WORDS + F.col("_j")).cast("long").alias("b"), u.alias("_u")).filter(F.col("b") < n)
+    weight = sum(((F.col("_u") >= F.lit(step)).cast("int") for step in POISSON_STEPS), F.lit(0))
+    return each.groupBy(group, "b").agg(F.sum(weight * F.col("v")).alias("_s"), F.sum(weight).alias("_w")).select(group, "b", F.try_divide("_s", F.col("_w")).alias("mean"))

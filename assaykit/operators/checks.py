@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Digests listed together, about.
+MOST_LISTED = 4096
+
 
 def split_leaks(items: DataFrame) -> DataFrame:
     """Records that stand in more than one split."""
@@ -30,7 +33,14 @@ def rebuild_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def content_hash(rows: DataFrame, by: list[str], column: str) -> DataFrame:
-    """Order-free digest of a column's values: SHA-256 of the sorted values' own digests, folded by prefix so that no task holds a group whole."""
+    """Order-free digest of a column's values: SHA-256 of the sorted values' own digests, folded by prefix so that no task holds a group whole.
+
+    The prefix has two hex digits up to a million rows, and one more for each 16 times as many, so a
+    list stays at some thousands. Null values are left out; an empty table gives no rows.
+    """
+    digits, n = 2, rows.count()
+    while n > MOST_LISTED << 4 * digits:
+        digits += 1
     digest = F.sha2(F.col(column).cast("string"), 256)
-    parts = rows.groupBy(*by, F.substring(digest, 1, 2).alias("_p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ""), 256).alias("_h"))
+    parts = rows.groupBy(*by, F.substring(digest, 1, digits).alias("_p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ""), 256).alias("_h"))
     return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda s: s["_h"]), ""), 256).alias("sha256"))

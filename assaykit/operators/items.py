@@ -26,19 +26,24 @@ def fixed_options(*labels: str) -> Column:
 
 def as_items(
     records: DataFrame, *, source: str, record_id: Column, record_date: Column, template: str, qtype: str, state: Column, question: str,
-    options: Column, gold: Column, seed: int, tier: str = "fresh", skill: str = "reading", license_: str = "UNKNOWN",
+    options: Column, gold: Column, seed: int, tier: str = "fresh", skill: str = "reading", license_: str = "UNKNOWN", split: Column | None = None,
 ) -> DataFrame:
-    """Records with a gold become items; choices are put in a seeded order, levels keep theirs."""
+    """Records with a gold become items; choices are put in a seeded order, levels keep theirs.
+
+    split: where a record goes by its own columns; by a hash of its id if not given. One row makes
+    one item at most, so rows repeated make items of one id; a null gold makes none.
+    """
+    given = F.lit(None).cast("string") if split is None else split
     rows = records.select(
         F.lit(tier).alias("tier"), F.lit(source).alias("source"), record_id.cast("string").alias("source_record_id"),
         F.lit(None).cast("string").alias("source_url"), F.lit(license_).alias("source_license"), record_date.cast("date").alias("record_date"),
         F.lit(template).alias("template_id"), F.lit(skill).alias("skill"), F.lit(qtype).alias("qtype"), state.alias("state"),
-        F.lit(question).alias("question"), options.alias("options"), gold.alias("gold"),
+        F.lit(question).alias("question"), options.alias("options"), gold.alias("gold"), given.alias("split"),
     ).filter(F.col("gold").isNotNull())
     rows = rows.withColumn("item_id", stable_id("source", "source_record_id", "template_id", F.lit(str(seed))))
     if qtype == "choice":
         rows = rows.withColumn("options", hash_order("options", F.lit(str(seed)), F.col("item_id")))
-    rows = rows.withColumn("split", F.when(bucket("source_record_id") % 5 == 0, "dev").otherwise("test"))
+    rows = rows.withColumn("split", F.coalesce("split", F.when(bucket("source_record_id") % 5 == 0, "dev").otherwise("test")))
     return rows.withColumn("meta", F.create_map(F.lit("seed"), F.lit(str(seed))))
 
 
@@ -96,17 +101,33 @@ def _label(records: DataFrame, template: str, qtype: str, question: str, options
     )
 
 
+#: Values of a vocabulary that travel to every task as one row.
+MOST_VALUES = 100_000
+
+
+def vocabulary_ring(values: DataFrame, column: str, ahead: int, seed: int, name: str) -> DataFrame:
+    """One row: distinct values in the order of their seeded hashes, the first `ahead` again at the end. More than MOST_VALUES are refused."""
+    n = values.count()
+    if n > MOST_VALUES:
+        raise ValueError(f"{n} values are no vocabulary")
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), column), 256)
+    order = F.transform(F.array_sort(F.collect_list(F.struct(digest.alias("h"), F.col(column).alias("c")))), lambda r: r["c"])
+    return values.agg(order.alias("_o")).select(F.concat("_o", F.slice("_o", 1, ahead)).alias(name))
+
+
 def label_class(records: DataFrame, seed: int, others: int = 3) -> DataFrame:
-    """Distractors are other classes of the same build, by seeded hash."""
-    classes = records.select(F.element_at("pharm_class", 1).alias("c")).filter("c is not null").distinct()
-    # One value per pharmacologic class, a vocabulary of at most a few thousand, whatever the number of labels.
-    every = classes.agg(F.array_sort(F.collect_set("c")).alias("classes"))
-    gold = F.element_at("pharm_class", 1)
-    drawn = F.transform(
-        F.filter("classes", lambda c: c != gold), lambda c: F.struct(F.sha2(F.concat_ws("|", F.lit(str(seed)), "set_id", c), 256).alias("h"), c.alias("c"))
-    )
-    labels = F.concat(F.array(gold), F.transform(F.slice(F.array_sort(drawn), 1, others), lambda r: r["c"]))
-    return _label(records.crossJoin(F.broadcast(every)), "label_class", "choice", "Which class does this drug belong to?", options_of(labels), gold, seed, "class")
+    """Distractors are other classes of the same build: those that follow a point of the record's own on a ring of all classes.
+
+    A record without a class, or with an empty list of them, has no item. The ring is ordered by
+    seeded hash once, so a record looks at a few of its places only.
+    """
+    classes = records.select(F.get("pharm_class", F.lit(0)).alias("c")).filter("c is not null").distinct()
+    ring = vocabulary_ring(classes, "c", others + 1, seed, "ring")
+    gold = F.get("pharm_class", F.lit(0))
+    at = (bucket(F.lit(str(seed)), "set_id") % F.greatest(F.size("ring") - others - 1, F.lit(1))).cast("int") + 1
+    drawn = F.slice(F.filter(F.slice("ring", at, F.lit(others + 1)), lambda c: c != gold), 1, others)
+    labels = F.concat(F.array(gold), F.array_distinct(drawn))
+    return _label(records.crossJoin(F.broadcast(ring)), "label_class", "choice", "Which class does this drug belong to?", options_of(labels), gold, seed, "class")
 
 
 def label_boxed(records: DataFrame, seed: int) -> DataFrame:

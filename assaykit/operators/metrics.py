@@ -59,6 +59,19 @@ def ece(scored: DataFrame, by: list[str]) -> DataFrame:
     return bins.groupBy(*by).agg(F.sum("n").alias("n"), F.round(gap, 6).alias("ece"))
 
 
+def summary(scored: DataFrame, by: list[str]) -> DataFrame:
+    """n, accuracy, mean Brier score and calibration error from one aggregate by bin; null scores count in none of the means."""
+    ok = F.col("ok").cast("double")
+    bins = scored.groupBy(*by, bin15("conf").alias("bin")).agg(
+        F.count("*").alias("n"), F.count(ok).alias("told"), F.sum(ok).alias("right"), F.avg("conf").alias("c"), F.sum("brier").alias("b"), F.count("brier").alias("nb")
+    )
+    gap = F.sum(F.col("n") * F.abs(F.try_divide("right", F.col("told")) - F.col("c"))) / F.sum("n")
+    return bins.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.round(F.try_divide(F.sum("right"), F.sum("told")), 6).alias("accuracy"),
+        F.round(F.try_divide(F.sum("b"), F.sum("nb")), 6).alias("brier"), F.round(gap, 6).alias("ece"),
+    )
+
+
 def quantiles(rows: DataFrame, by: list[str], column: str, at: dict[str, float]) -> DataFrame:
     """Exact interpolated percentiles."""
     return rows.groupBy(*by).agg(*[F.round(F.percentile(column, F.lit(p)), 6).alias(name) for name, p in at.items()])

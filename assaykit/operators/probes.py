@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_order, stable_id
-from .sampling import distractors
 
 NOTA = "None of the above"
 
@@ -27,10 +26,16 @@ def none_of_the_above(items: DataFrame) -> DataFrame:
 
 def candidate_counts(items: DataFrame, counts: tuple[int, ...], seed: int) -> DataFrame:
     """For each k up to the number of options: the gold and k - 1 distractors, in seeded order."""
-    rows = items.withColumn("parent_id", F.col("item_id")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in counts]))).filter(F.size("options") >= F.col("k"))
-    gold = F.filter("options", lambda o: o["key"] == F.col("gold"))
-    chosen = F.concat(gold, distractors("options", F.col("gold"), F.col("k") - 1, F.lit(f"k{seed}"), F.col("parent_id")))
-    rows = rows.withColumn("options", chosen).withColumn("options", hash_order("options", F.lit(f"order{seed}"), F.col("parent_id")))
+    rows = items.withColumn("parent_id", F.col("item_id"))
+    # Options are hashed once; each k takes a prefix of the wrong ones and sorts by the second hash.
+    digest = lambda salt, o: F.sha2(F.concat_ws("|", F.lit(f"{salt}{seed}"), F.col("parent_id"), o["key"]), 256)
+    placed = lambda o: F.struct(digest("order", o).alias("at"), o.alias("o"))
+    wrong = F.transform(F.filter("options", lambda o: o["key"] != F.col("gold")), lambda o: F.struct(digest("k", o).alias("h"), placed(o).alias("p")))
+    right = F.transform(F.filter("options", lambda o: o["key"] == F.col("gold")), placed)
+    rows = rows.withColumn("_wrong", F.transform(F.array_sort(wrong), lambda r: r["p"])).withColumn("_right", right)
+    rows = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in counts]))).filter(F.size("options") >= F.col("k"))
+    chosen = F.array_sort(F.concat("_right", F.slice("_wrong", F.lit(1), F.col("k") - 1)))
+    rows = rows.withColumn("options", F.transform(chosen, lambda r: r["o"])).drop("_wrong", "_right")
     return rows.withColumn("variant", F.concat(F.lit("k"), F.col("k").cast("string"))).withColumn("item_id", stable_id("parent_id", "variant"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.bootstrap import POISSON_STEPS
+
 
 def bucket(*parts: str) -> str:
     """32-bit hash of the parts joined by a bar."""
@@ -12,10 +14,16 @@ def unit(*parts: str) -> str:
     return f"(CAST({bucket(*parts)} AS DOUBLE) / 4294967296e0)"
 
 
-def share(cond: str) -> str:
-    return f"avg(CASE WHEN {cond} THEN 1e0 ELSE 0e0 END)"
+def poisson_means(rows: str, group: str, n: int = 1000) -> str:
+    """group, b, mean of rows (group, item_id, v) under Poisson weights; eight replicates take one digest."""
+    steps = " + ".join(f"CASE WHEN u >= {step!r}e0 THEN 1 ELSE 0 END" for step in POISSON_STEPS)
+    digest = f"SELECT {group}, v, k, sha256('poisson|' || k || '|' || item_id) AS h FROM {rows} CROSS JOIN range({n // 8}) r(k)"
+    word = f"SELECT {group}, v, k * 8 + j AS b, CAST(CAST('0x' || substr(h, j * 8 + 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 AS u FROM ({digest}) CROSS JOIN range(8) s(j)"
+    return f"(SELECT {group}, b, sum(w * v) / nullif(sum(w), 0) AS mean FROM (SELECT {group}, v, b, {steps} AS w FROM ({word})) GROUP BY ALL)"
 
 
+def share(cond: str) -> str:
+    return f"avg(CASE WHEN {cond} THEN 1e0 ELSE 0e0 END)"
 
 
 def pick(values: list[str | None], key: str) -> str:
@@ -67,7 +75,7 @@ CTE = {
          p_brand AS pharm_class, CASE WHEN p_size < 10 THEN 'risk' END AS boxed_warning, p_type AS route
   FROM part""",
     "papers": """
-  SELECT CAST(doc_id AS VARCHAR) AS pmid, CAST(DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) AS DATE) AS entry_date, 'On ' || source AS title, substr(text, 1, 200) AS abstract,
+  SELECT CAST(doc_id AS VARCHAR) AS pmid, CAST(DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) AS DATE) AS entry_date, 'On ' || source AS title, text AS abstract,
          doc_id % 4 AS pub, doc_id % 3 AS tag, 'Topic ' || (doc_id % 7) AS topic, CASE WHEN doc_id % 7 < 4 THEN 1 ELSE 2 END AS level
   FROM documents""",
     "brands": """

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import RunConfig
 from ..functions import text as X
 from ..functions.hashing import bucket, hash_order
-from ..operators import checks, items, probes, sampling
+from ..operators import checks, items, passages, probes, sampling
 from ..sources.adapters import SEED, Tables
 from . import base_sql as S
 from .registry import query
 
+RUN = RunConfig()
 KEYS = ["item_id", "source_record_id", "split", "state", "options", "gold"]
 
 
@@ -65,7 +67,9 @@ def p05_trial_healthy(t: Tables) -> DataFrame:
     return _flat(items.trial_healthy(t.trials, SEED))
 
 
-_OTHERS = f"""list_concat([pharm_class], (SELECT list(c ORDER BY sha256('{SEED}|' || set_id || '|' || c))[1:3] FROM (SELECT DISTINCT pharm_class AS c FROM drug_labels) x WHERE c <> pharm_class))"""
+_RING = f"(SELECT list_concat(l, l[1:4]) FROM (SELECT list(c ORDER BY sha256('{SEED}|' || c)) AS l FROM (SELECT DISTINCT pharm_class AS c FROM drug_labels)))"
+_AT = f"CAST({S.bucket(chr(39) + str(SEED) + chr(39), 'set_id')} % (len({_RING}) - 4) AS BIGINT)"
+_OTHERS = f"list_concat([pharm_class], list_filter({_RING}[{_AT} + 1:{_AT} + 4], lambda c: c <> pharm_class)[1:3])"
 
 
 @query(_item_sql("labels", "drug_labels", "set_id", "label_class", "replace(s_boxed || chr(10) || s_ind || chr(10) || s_route, pharm_class, '')", "pharm_class", _OTHERS), "drug_labels")
@@ -92,14 +96,14 @@ _TYPES = "['meta-analysis', 'systematic review', 'randomized controlled trial',
 
 
 @query(
-    _item_sql("pubmed", "papers", "pmid", "paper_type", "title || chr(10) || abstract", "CASE pub WHEN 0 THEN 'case report' WHEN 1 THEN 'randomized controlled trial' WHEN 2 THEN 'meta-analysis' ELSE 'other' END", _TYPES),
+    _item_sql("pubmed", "papers", "pmid", "paper_type", "concat_ws(chr(10), title, abstract)", "CASE pub WHEN 0 THEN 'case report' WHEN 1 THEN 'randomized controlled trial' WHEN 2 THEN 'meta-analysis' ELSE 'other' END", _TYPES),
     "papers",
 )
 def p09_paper_type(t: Tables) -> DataFrame:
     return _flat(items.paper_type(t.papers, SEED))
 
 
-@query(_item_sql("pubmed", "papers", "pmid", "paper_humans", "title || chr(10) || abstract", "CASE tag WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END", None, "yes,no"), "papers")
+@query(_item_sql("pubmed", "papers", "pmid", "paper_humans", "concat_ws(chr(10), title, abstract)", "CASE tag WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END", None, "yes,no"), "papers")
 def p10_paper_humans(t: Tables) -> DataFrame:
     return _flat(items.paper_humans(t.papers, SEED))
 
@@ -107,7 +111,7 @@ def p10_paper_humans(t: Tables) -> DataFrame:
 _TOPICS = f"""list_concat([topic], (SELECT list(c ORDER BY sha256('{SEED}|' || pmid || '|' || c))[1:3] FROM (SELECT DISTINCT topic AS c, level AS l FROM papers) x WHERE c <> topic AND l = level))"""
 
 
-@query(_item_sql("pubmed", "papers", "pmid", "paper_topic", "title || chr(10) || abstract", "topic", _TOPICS), "papers")
+@query(_item_sql("pubmed", "papers", "pmid", "paper_topic", "concat_ws(chr(10), title, abstract)", "topic", _TOPICS), "papers")
 def p11_paper_topic(t: Tables) -> DataFrame:
     return _flat(items.paper_topic(t.papers, SEED))
 
@@ -259,20 +263,8 @@ def f10_low_confidence(t: Tables) -> DataFrame:
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def j10_relevance(t: Tables) -> DataFrame:
-    """Which documents hold a benchmark passage.
-
-    The benchmark is a fixed question set, met by every text: a broadcast while it is under
-    `most` characters, blocks of it in turn beyond that.
-    """
-    asked = t.read("benchmark").select("item_id", F.col("text").alias("passage"))
-    docs, most = t.read("documents").select("doc_id", "text"), 64 << 20
-    blocks = max(1, -(-(asked.agg(F.sum(F.length("passage"))).first()[0] or 0) // most))
-    out = None
-    for b in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        hit = docs.join(F.broadcast(block), F.contains("text", "passage")).select("doc_id", "item_id")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    """Which documents hold a benchmark passage."""
+    return passages.holders(t.read("documents").select("doc_id", "text"), t.read("benchmark").select("item_id", F.col("text").alias("passage")))
 
 
 @query("SELECT nct_id, w.start AS start FROM trials JOIN (SELECT CAST(max(first_posted) - 365 AS DATE) AS s, CAST(CAST(max(first_posted) - 365 AS DATE) AS VARCHAR) AS start FROM trials) w ON first_posted >= w.s", "trials")
@@ -303,23 +295,26 @@ def j22_screen_marks(t: Tables) -> DataFrame:
     return t.items.join(F.broadcast(drop_rule(screen).select("template_id", "dropped")), "template_id", "left").select("item_id", "template_id", "dropped")
 
 
-def _rank_sql(by: str, n: int, seed: int = SEED, rows: str = "items", where: str = "true") -> str:
+_IN = "split = '{}'"
+
+
+def _rank_sql(by: str, seed: int = SEED, rows: str = "items", where: str = "true") -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY sha256('{seed}|' || item_id), item_id) AS r FROM {rows} WHERE {where})"
 
 
-@query(f"SELECT item_id, source, template_id FROM {_rank_sql('template_id', 100, where=chr(115) + 'plit = ' + chr(39) + 'test' + chr(39))} WHERE r <= 100", "items")
+@query(f"SELECT item_id, source, template_id FROM {_rank_sql('source', where=_IN.format('test'))} WHERE r <= {RUN.test_cap}", "items")
 def w01_cap_test(t: Tables) -> DataFrame:
-    return sampling.cap(t.items.filter("split = 'test'"), ["template_id"], 100, SEED).select("item_id", "source", "template_id")
+    return sampling.cap(t.items.filter("split = 'test'"), ["source"], RUN.test_cap, SEED).select("item_id", "source", "template_id")
 
 
-@query(f"SELECT item_id, source FROM {_rank_sql('source', 5, where=chr(115) + 'plit = ' + chr(39) + 'dev' + chr(39))} WHERE r <= 5", "items")
+@query(f"SELECT item_id, source FROM {_rank_sql('source', where=_IN.format('dev'))} WHERE r <= {RUN.dev_cap}", "items")
 def w02_cap_dev(t: Tables) -> DataFrame:
-    return sampling.cap(t.items.filter("split = 'dev'"), ["source"], 5, SEED).select("item_id", "source")
+    return sampling.cap(t.items.filter("split = 'dev'"), ["source"], RUN.dev_cap, SEED).select("item_id", "source")
 
 
-@query(f"SELECT item_id, source FROM {_rank_sql('source', 20, 11)} WHERE r <= 20", "items")
+@query(f"SELECT item_id, source FROM {_rank_sql('source', 11)} WHERE r <= {RUN.contamination_cap}", "items")
 def w03_contamination_sample(t: Tables) -> DataFrame:
-    return sampling.cap(t.items, ["source"], 20, 11).select("item_id", "source")
+    return sampling.cap(t.items, ["source"], RUN.contamination_cap, 11).select("item_id", "source")
 
 
 @query(
@@ -336,30 +331,30 @@ _TURN = "(SELECT *, row_number() OVER (PARTITION BY {by}, {spread} ORDER BY sha2
 
 @query(
     f"""SELECT item_id, source, template_id, pick FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY turn, template_id, item_id) AS pick
-    FROM {_TURN.format(by='source', spread='template_id', split='test')}) WHERE pick <= 50""",
+    FROM {_TURN.format(by='source', spread='template_id', split='test')}) WHERE pick <= {RUN.audit_per_source}""",
     "items",
 )
 def w05_audit_sample(t: Tables) -> DataFrame:
-    return sampling.stratified(t.items.filter("split = 'test'"), "source", "template_id", 50, SEED).select("item_id", "source", "template_id", F.col("pick").cast("long").alias("pick"))
+    return sampling.stratified(t.items.filter("split = 'test'"), "source", "template_id", RUN.audit_per_source, SEED).select("item_id", "source", "template_id", F.col("pick").cast("long").alias("pick"))
 
 
 @query(
     f"""SELECT item_id, template_id, source, pick FROM (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY turn, source, item_id) AS pick
-    FROM {_TURN.format(by='template_id', spread='source', split='dev')}) WHERE pick <= 60""",
+    FROM {_TURN.format(by='template_id', spread='source', split='dev')}) WHERE pick <= {RUN.stratified_dev}""",
     "items",
 )
 def w06_stratified_dev(t: Tables) -> DataFrame:
-    return sampling.stratified(t.items.filter("split = 'dev'"), "template_id", "source", 60, SEED).select("item_id", "template_id", "source", F.col("pick").cast("long").alias("pick"))
+    return sampling.stratified(t.items.filter("split = 'dev'"), "template_id", "source", RUN.stratified_dev, SEED).select("item_id", "template_id", "source", F.col("pick").cast("long").alias("pick"))
 
 
 @query(
     f"""SELECT item_id FROM (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY turn, source, item_id) AS pick
-    FROM {_TURN.format(by='template_id', spread='source', split='dev')}) WHERE pick <= 20""",
+    FROM {_TURN.format(by='template_id', spread='source', split='dev')}) WHERE pick <= {RUN.thinking}""",
     "items",
 )
 def w07_thinking_subset(t: Tables) -> DataFrame:
     """A prefix of the order of W6, so the same items."""
-    return sampling.stratified(t.items.filter("split = 'dev'"), "template_id", "source", 20, SEED).select("item_id")
+    return sampling.stratified(t.items.filter("split = 'dev'"), "template_id", "source", RUN.thinking, SEED).select("item_id")
 
 
 @query(f"SELECT CASE WHEN {S.bucket('CAST(o_orderkey AS VARCHAR)')} % 5 = 0 THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY ALL")
@@ -418,7 +413,17 @@ def _answer(prefix: str, options: Column) -> Column:
     return F.array_max(ranked)["k"]
 
 
-@query()
+def _answer_sql(options: str, parent: str) -> str:
+    h = S.bucket("'m'", parent, "o", "CASE WHEN i <= 5 THEN 'near' ELSE 'far' END")
+    return f"(SELECT arg_max(o, ({h}, o)) FROM (SELECT unnest({options}) AS o, generate_subscripts({options}, 1) AS i))"
+
+
+@query(
+    f"""SELECT 'm' AS model, count(*) AS n, round(avg(CASE WHEN a <> b THEN 1e0 ELSE 0e0 END), 6) AS flip_rate FROM (
+    SELECT {_answer_sql('options', 'item_id')} AS a, {_answer_sql('shown', 'item_id')} AS b FROM (
+    SELECT item_id, options, (SELECT list(o ORDER BY sha256('shuffle8|' || item_id || '|' || o)) FROM (SELECT unnest(options) AS o)) AS shown FROM brands))""",
+    "brands",
+)
 def a09_flip_rate(t: Tables) -> DataFrame:
     base = t.brands.withColumn("parent_id", F.col("item_id"))
     varied = probes.shuffled(t.brands, 8)
@@ -426,7 +431,13 @@ def a09_flip_rate(t: Tables) -> DataFrame:
     return probes.flip_rate(said(base), said(varied), ["model"])
 
 
-@query()
+@query(
+    f"""SELECT k, count(*) AS n, round(avg(CASE WHEN {_answer_sql('shown', 'parent_id')} = gold THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM (
+    SELECT parent_id, k, gold, (SELECT list(o ORDER BY sha256('order7|' || parent_id || '|' || o)) FROM (SELECT unnest(opts) AS o)) AS shown FROM (
+    SELECT item_id AS parent_id, k, gold, list_concat([gold], (SELECT coalesce(list(o ORDER BY sha256('k7|' || item_id || '|' || o))[1:k - 1], []) FROM (SELECT unnest(options) AS o) x WHERE o <> gold)) AS opts
+    FROM brands CROSS JOIN (VALUES (2), (4), (8), (16)) v(k) WHERE len(options) >= k)) GROUP BY k""",
+    "brands",
+)
 def a10_candidate_degradation(t: Tables) -> DataFrame:
     rows = probes.candidate_counts(t.brands, (2, 4, 8, 16), SEED)
     right = (_answer("m", F.col("options")) == F.col("gold")).cast("double")

@@ -66,31 +66,21 @@ def a07_latency(t: Tables) -> DataFrame:
     return metrics.quantiles(t.read("events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
-_ONE = "(SELECT template_id, item_id, CASE WHEN ok THEN 1e0 ELSE 0e0 END AS v, row_number() OVER (PARTITION BY template_id ORDER BY item_id) - 1 AS rank, count(*) OVER (PARTITION BY template_id) AS n FROM scored WHERE model = 'm-mid')"
-_MEANS = f"""SELECT d.template_id, d.b, avg(o.v) AS mean FROM
-  (SELECT template_id, b, {S.bucket('CAST(b AS VARCHAR)', 'template_id', 'CAST(rank AS VARCHAR)')} % n AS rank FROM {_ONE} CROSS JOIN range(1000) r(b)) d
-  JOIN {_ONE} o USING (template_id, rank) GROUP BY ALL"""
+_ONE = "(SELECT template_id, source, item_id, CASE WHEN ok THEN 1e0 ELSE 0e0 END AS v FROM scored WHERE model = 'm-mid')"
+_INTERVAL = "round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high"
 
 
-@query(f"SELECT template_id, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM ({_MEANS}) GROUP BY template_id", "scored")
+@query(f"SELECT template_id, {_INTERVAL} FROM {S.poisson_means(_ONE, 'template_id')} GROUP BY template_id", "scored")
 def a08_bootstrap_interval(t: Tables) -> DataFrame:
     rows = t.scored.filter("model = 'm-mid'")
-    return bootstrap.interval(bootstrap.resampled_means(rows, "template_id", "ok"), ["template_id"])
+    return bootstrap.interval(bootstrap.poisson_means(rows, "template_id", "ok"), ["template_id"])
 
 
-_STEPS = " + ".join(f"CASE WHEN {S.unit(chr(39) + 'poisson' + chr(39), 'CAST(b AS VARCHAR)', 'item_id')} >= {step!r}e0 THEN 1 ELSE 0 END" for step in bootstrap.POISSON_STEPS)
-
-
-@query(
-    f"""SELECT template_id, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM (
-    SELECT template_id, b, sum(w * v) / sum(w) AS mean FROM (SELECT template_id, b, v, {_STEPS} AS w FROM {_ONE} CROSS JOIN range(200) r(b)) GROUP BY ALL) GROUP BY template_id""",
-    "scored",
-)
+@query(f"SELECT source, {_INTERVAL} FROM {S.poisson_means(_ONE, 'source')} GROUP BY source", "scored")
 def a08_bootstrap_poisson(t: Tables) -> DataFrame:
+    """The same by source, where groups are small."""
     rows = t.scored.filter("model = 'm-mid'")
-    return bootstrap.interval(bootstrap.poisson_means(rows, "template_id", "ok", n=200), ["template_id"])
-
-
+    return bootstrap.interval(bootstrap.poisson_means(rows, "source", "ok"), ["source"])
 
 
 @query(
@@ -234,27 +224,21 @@ def a28_reliability(t: Tables) -> DataFrame:
     "scored",
 )
 def a29_source_ablation(t: Tables) -> DataFrame:
-    """Accuracy on all sources less that without one, from sums by source."""
+    """Accuracy on all sources less that without one, from sums by source; null for a model that has one source."""
     each = t.scored.groupBy("model", "source").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("double")).alias("s"))
     whole = each.groupBy("model").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"))
     out = each.join(whole, "model")
-    return out.select("model", "source", F.round(F.col("s_all") / F.col("n_all") - (F.col("s_all") - F.col("s")) / (F.col("n_all") - F.col("n")), 6).alias("marginal"))
+    return out.select("model", "source", F.round(F.col("s_all") / F.col("n_all") - F.try_divide(F.col("s_all") - F.col("s"), F.col("n_all") - F.col("n")), 6).alias("marginal"))
 
 
 _PAIR = "(SELECT item_id, template_id, max(CASE WHEN model = 'm-large' AND ok THEN 1e0 ELSE 0e0 END) - max(CASE WHEN model = 'm-small' AND ok THEN 1e0 ELSE 0e0 END) AS v FROM scored GROUP BY ALL)"
-_PRANK = f"(SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY item_id) - 1 AS rank, count(*) OVER (PARTITION BY template_id) AS n FROM {_PAIR})"
 
 
-@query(
-    f"""SELECT template_id, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, quantile_cont(mean, 0.025) > 0 AS better FROM (
-    SELECT d.template_id, d.b, avg(o.v) AS mean FROM (SELECT template_id, b, {S.bucket('CAST(b AS VARCHAR)', 'template_id', 'CAST(rank AS VARCHAR)')} % n AS rank
-    FROM {_PRANK} CROSS JOIN range(1000) r(b)) d JOIN {_PRANK} o USING (template_id, rank) GROUP BY ALL) GROUP BY template_id""",
-    "scored",
-)
+@query(f"SELECT template_id, {_INTERVAL}, quantile_cont(mean, 0.025) > 0 AS better FROM {S.poisson_means(_PAIR, 'template_id')} GROUP BY template_id", "scored")
 def a30_paired_difference(t: Tables) -> DataFrame:
     ok = lambda m: F.max(F.when((F.col("model") == m) & F.col("ok"), 1.0).otherwise(0.0))
     rows = t.scored.groupBy("item_id", "template_id").agg((ok("m-large") - ok("m-small")).alias("v"))
-    means = bootstrap.resampled_means(rows, "template_id", "v")
+    means = bootstrap.poisson_means(rows, "template_id", "v")
     low, high = F.percentile("mean", F.lit(0.025)), F.percentile("mean", F.lit(0.975))
     return means.groupBy("template_id").agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), (low > 0).alias("better"))
 
@@ -337,8 +321,9 @@ def a37_confidently_wrong(t: Tables) -> DataFrame:
     f"SELECT model, template_id, round(avg(label_mass), 6) AS mass, round({S.share('ok')}, 6) AS accuracy, avg(label_mass) < 0.8e0 OR {S.share('ok')} < 0.5e0 AS alarm FROM scored GROUP BY ALL", "scored"
 )
 def a38_readout_alarm(t: Tables) -> DataFrame:
-    mass, acc = F.avg("label_mass"), F.avg(F.col("ok").cast("double"))
-    return t.scored.groupBy("model", "template_id").agg(F.round(mass, 6).alias("mass"), F.round(acc, 6).alias("accuracy"), ((mass < 0.8) | (acc < 0.5)).alias("alarm"))
+    """Readable mass, and accuracy against chance among the options."""
+    mass, acc, chance = F.avg("label_mass"), F.avg(F.col("ok").cast("double")), F.avg(F.try_divide(F.lit(1.0), F.size("probs")))
+    return t.scored.groupBy("model", "template_id").agg(F.round(mass, 6).alias("mass"), F.round(acc, 6).alias("accuracy"), ((mass < 0.8) | (acc < chance)).alias("alarm"))
 
 
 @query("SELECT item_id, model, split, gold, ok FROM scored WHERE supported", "scored")

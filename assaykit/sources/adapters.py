@@ -114,7 +114,7 @@ class Tables:
         tag = F.when(k % 3 == 0, "Humans").when(k % 3 == 1, "Animals").otherwise("Plants")
         return d.select(
             k.cast("string").alias("pmid"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 366).cast("int")).alias("entry_date"),
-            F.concat(F.lit("On "), F.col("source")).alias("title"), F.substring("text", 1, 200).alias("abstract"),
+            F.concat(F.lit("On "), F.col("source")).alias("title"), F.col("text").alias("abstract"),
             F.when(k % 4 == 0, F.array(F.lit("observational"), F.lit("case report"))).when(k % 4 == 1, F.array(F.lit("randomized controlled trial"))).when(k % 4 == 2, F.array(F.lit("meta-analysis"), F.lit("systematic review"))).otherwise(F.array(F.lit("letter"))).alias("pub_types"),
             F.array(
                 F.struct(tag.alias("name"), F.lit("Z01").alias("tree"), F.lit(False).alias("major")),

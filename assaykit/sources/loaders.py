@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket
@@ -24,15 +24,19 @@ def _split(official: Column, record: Column, carve: int) -> Column:
 
 
 def choice_items(rows: DataFrame, source: str, template: str, seed: int, carve: int = 10) -> DataFrame:
-    """id, question, choices, answer_idx, split -> choice items."""
-    gold = F.get("choices", F.col("answer_idx"))
-    out = as_items(
-        rows.withColumn("_official", F.col("split")), source=source, record_id=F.col("id"), record_date=F.lit(None).cast("date"), template=template, qtype="choice",
-        state=F.col("question"), question="", options=options_of(F.col("choices")), gold=gold, seed=seed, tier="established",
+    """id, question, choices, answer_idx, split -> choice items, one for each row whose answer is one of its choices.
+
+    A record whose id stands in several official splits is a test record in all its rows, so that
+    none is trained on (its rows meet by id); a null id, choice or answer makes no item.
+    """
+    rows = rows.filter("id is not null")
+    tested = F.max(F.col("split").isin("validation", "test")).over(Window.partitionBy("id"))
+    rows = rows.withColumn("_official", F.when(tested, "test").otherwise(F.col("split")))
+    return as_items(
+        rows, source=source, record_id=F.col("id"), record_date=F.lit(None).cast("date"), template=template, qtype="choice",
+        state=F.col("question"), question="", options=options_of(F.col("choices")), gold=F.get("choices", F.col("answer_idx")), seed=seed, tier="established",
+        split=_split(F.col("_official"), F.col("id").cast("string"), carve),
     )
-    official = rows.select(F.col("id").cast("string").alias("source_record_id"), F.col("split").alias("_official"))
-    out = out.join(official, "source_record_id")
-    return out.withColumn("split", _split(F.col("_official"), F.col("source_record_id"), carve)).drop("_official")
 
 
 def labelled_items(rows: DataFrame, source: str, template: str, labels: tuple[str, ...], seed: int) -> DataFrame:

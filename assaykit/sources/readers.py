@@ -25,20 +25,80 @@ def scan_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
     return rows.filter(fits).select("r.*").drop("_corrupt_record"), rows.filter(~fits).select(F.col("value").alias("_corrupt_record"))
 
 
-def scan_trials(spark: SparkSession, path: str) -> DataFrame:
-    return scan_json(spark, path, TRIALS)[0]
+#: Fields of a trial record in the registry's public interface, second version (fixed names).
+STUDY = """protocolSection struct<
+ identificationModule:struct<nctId:string,briefTitle:string>,
+ statusModule:struct<studyFirstPostDateStruct:struct<date:string>,lastUpdatePostDateStruct:struct<date:string>>,
+ descriptionModule:struct<briefSummary:string,detailedDescription:string>,
+ conditionsModule:struct<conditions:array<string>>,
+ designModule:struct<phases:array<string>,designInfo:struct<allocation:string,primaryPurpose:string>>,
+ armsInterventionsModule:struct<interventions:array<struct<type:string>>>,
+ eligibilityModule:struct<eligibilityCriteria:string,healthyVolunteers:boolean>>"""
+#: Fields of a drug label in the public label interface (fixed names).
+SPL = """set_id string, effective_time string, boxed_warning array<string>, indications_and_usage array<string>, warnings array<string>,
+ adverse_reactions array<string>, dosage_and_administration array<string>, description array<string>,
+ openfda struct<pharm_class_epc:array<string>,route:array<string>>"""
+SECTIONS = ("boxed_warning", "indications_and_usage", "warnings", "adverse_reactions", "dosage_and_administration", "description")
+
+
+def scan_trials(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(trial records in the normalised schema, lines that are none).
+
+    A record of several phases, or of none, has a null phase; a first or last date that is no
+    whole day is null.
+    """
+    raw, bad = scan_json(spark, path, STUDY)
+    p = "protocolSection"
+    design, status = f"{p}.designModule", f"{p}.statusModule"
+    phase = F.when(F.size(f"{design}.phases") == 1, F.regexp_replace(F.get(f"{design}.phases", F.lit(0)), "^PHASE([0-9])$", "Phase $1"))
+    kinds = F.array_distinct(F.transform(f"{p}.armsInterventionsModule.interventions", lambda i: i["type"]))
+    rows = raw.select(
+        F.col(f"{p}.identificationModule.nctId").alias("nct_id"), F.col(f"{p}.identificationModule.briefTitle").alias("title"),
+        F.col(f"{p}.descriptionModule.briefSummary").alias("brief_summary"), F.col(f"{p}.descriptionModule.detailedDescription").alias("detailed_description"),
+        F.col(f"{p}.conditionsModule.conditions").alias("conditions"), F.when(phase.startswith("Phase "), phase).alias("phase"), F.col(f"{design}.designInfo.allocation").alias("allocation"),
+        F.col(f"{design}.designInfo.primaryPurpose").alias("primary_purpose"), kinds.alias("intervention_types"),
+        F.col(f"{p}.eligibilityModule.healthyVolunteers").alias("healthy_volunteers"), F.col(f"{p}.eligibilityModule.eligibilityCriteria").alias("eligibility_text"),
+        F.try_to_date(F.col(f"{status}.studyFirstPostDateStruct.date"), "yyyy-MM-dd").alias("first_posted"),
+        F.try_to_date(F.col(f"{status}.lastUpdatePostDateStruct.date"), "yyyy-MM-dd").alias("last_updated"),
+    )
+    return _identified(rows, bad, "nct_id")
+
+
+def scan_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(drug labels in the normalised schema, lines that are none). Sections that a label lacks are absent from its map."""
+    raw, bad = scan_json(spark, path, SPL)
+    each = F.array(*[F.struct(F.lit(s).alias("k"), F.array_join(s, "\n").alias("v")) for s in SECTIONS])
+    rows = raw.select(
+        "set_id", F.try_to_date("effective_time", "yyyyMMdd").alias("effective_date"),
+        F.map_from_entries(F.filter(each, lambda e: e["v"].isNotNull())).alias("sections"), F.col("openfda.pharm_class_epc").alias("pharm_class"),
+        F.array_join("boxed_warning", "\n").alias("boxed_warning"), F.col("openfda.route").alias("route"),
+    )
+    return _identified(rows, bad, "set_id")
+
+
+def _identified(rows: DataFrame, bad: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """A record without its id is set aside like a malformed line."""
+    none = rows.filter(F.col(key).isNull()).select(F.to_json(F.struct(*rows.columns)).alias("_corrupt_record"))
+    return rows.filter(F.col(key).isNotNull()), bad.unionByName(none)
+
+
+def scan_normalised_trials(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Records already in the normalised schema, and lines that are none."""
+    return scan_json(spark, path, TRIALS)
 
 
-def scan_labels(spark: SparkSession, path: str) -> DataFrame:
-    return scan_json(spark, path, LABELS)[0]
+def scan_normalised_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return scan_json(spark, path, LABELS)
 
 
-def scan_teacher(spark: SparkSession, path: str) -> DataFrame:
-    return scan_json(spark, path, TEACHER)[0]
+def scan_teacher(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(teacher outputs, lines that are none)."""
+    return scan_json(spark, path, TEACHER)
 
 
-def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    return scan_json(spark, path, VERDICT)[0]
+def read_verdicts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(audit verdicts, lines that are none)."""
+    return scan_json(spark, path, VERDICT)
 
 
 def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -84,9 +144,9 @@ def scan_qrels(spark: SparkSession, queries: str, corpus: str, qrels: str) -> Da
     return graded.join(asked, "query_id").join(found, "doc_id")
 
 
-def scan_choices(spark: SparkSession, path: str) -> DataFrame:
-    """Multiple-choice rows: id, question, choices, answer_idx, split."""
-    return scan_json(spark, path, CHOICES)[0]
+def scan_choices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(multiple-choice rows: id, question, choices, answer_idx, split; lines that are none)."""
+    return scan_json(spark, path, CHOICES)
 
 
 def fenced_block(spark: SparkSession, path: str, heading: str) -> DataFrame:

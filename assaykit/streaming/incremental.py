@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
 def build_incrementally(
     spark: SparkSession, landing: str, schema: str, template: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, id_: str = "item_id"
 ) -> StreamingQuery:
-    """Reads what is new, makes items, keeps one of each id, appends, and ends when the folder is read."""
+    """Reads what is new, makes items, appends those whose id is not yet in `out`, and ends when the folder is read.
+
+    What is known is the output itself, so no id is held as state, and a batch that is run again
+    after a failure adds nothing twice. Of rows that share an id one is kept; null ids count as one.
+    """
     records = spark.readStream.schema(schema).json(landing)
-    items = template(records).dropDuplicates([id_])
-    return items.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def append(batch: DataFrame, _: int) -> None:
+        new = batch.dropDuplicates([id_])
+        try:
+            known = batch.sparkSession.read.schema(batch.schema).parquet(out).select(F.col(id_).alias("_known"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        else:
+            new = new.join(known, F.col(id_).eqNullSafe(F.col("_known")), "left_anti")
+        new.write.mode("append").parquet(out)
+
+    return template(records).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
