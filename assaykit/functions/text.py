@@ -36,6 +36,11 @@ def claim_id(n: Column) -> Column:
     return F.format_string("C%03d", n)
 
 
+def session_log(n: Column) -> Column:
+    """session_001.log, session_002.log, ..."""
+    return F.format_string("session_%03d.log", n)
+
+
 def or_not_measured(value: Column, reason: str) -> Column:
     """A cell that is never null."""
     return F.coalesce(value.cast("string"), F.lit(f"NOT MEASURED — {reason}"))

@@ -24,6 +24,11 @@ def write_summary(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_audit(sample: DataFrame, path: str) -> None:
+    """JSON lines for the people who judge the sample; a sample is small by its size for each source."""
+    sample.coalesce(1).write.mode("overwrite").json(path)
+
+
 def to_markdown(rows: DataFrame, reason: str = "no value", most: int = 10_000) -> str:
     """A Markdown table of a summary; nulls become a marker."""
     cells = rows.select(*[or_not_measured(F.col(c), reason).alias(c) for c in rows.columns]).limit(most + 1).collect()
