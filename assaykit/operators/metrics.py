@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probs import argmax, bin15, brier, nll
+from .quantiles import exact_quantiles
 
 
 def score(items: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def summary(scored: DataFrame, by: list[str]) -> DataFrame:
 
 def quantiles(rows: DataFrame, by: list[str], column: str, at: dict[str, float]) -> DataFrame:
     """Exact interpolated percentiles."""
-    return rows.groupBy(*by).agg(*[F.round(F.percentile(column, F.lit(p)), 6).alias(name) for name, p in at.items()])
+    return exact_quantiles(rows, by, column, at)
 
 
 def coverage(items: DataFrame, predictions: DataFrame, by: list[str]) -> DataFrame:

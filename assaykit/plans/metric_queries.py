@@ -56,9 +56,8 @@ def a05_ece(t: Tables) -> DataFrame:
 )
 def a06_label_mass(t: Tables) -> DataFrame:
     m = F.col("label_mass")
-    return t.predictions.groupBy("model").agg(
-        F.round(F.min(m), 6).alias("low"), F.round(F.avg(m), 6).alias("mean"), F.round(F.percentile(m, F.lit(0.05)), 6).alias("p05"), F.round(F.percentile(m, F.lit(0.5)), 6).alias("p50")
-    )
+    ends = t.predictions.groupBy("model").agg(F.round(F.min(m), 6).alias("low"), F.round(F.avg(m), 6).alias("mean"))
+    return ends.join(metrics.quantiles(t.predictions, ["model"], "label_mass", {"p05": 0.05, "p50": 0.5}), "model")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
