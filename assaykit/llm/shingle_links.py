@@ -77,7 +77,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, th, s."""
+    """vid, s."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,10 +86,9 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
                 sets = [shingles(t.as_py()).view(np.int64) for t in some.column("text")]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 s = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("th"), s], names=["doc_id", "th", "s"])
+                yield pa.RecordBatch.from_arrays([some.column("vid"), s], names=["vid", "s"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "text")
-    return rows.mapInArrow(run, "doc_id long, th long, s array<long>")
+    return docs.select("vid", "text").mapInArrow(run, "vid long, s array<long>")
 
 
 def _candidates(rows: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -161,8 +160,9 @@ def _between(large: DataFrame, groups: DataFrame, sets: DataFrame, work: Workspa
 def near_copy_groups(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, work: Workspace | None = None) -> DataFrame:
     """doc_id, th, c of each distinct (doc_id, text): equal c, one group."""
     work = work or Workspace(spark, "near-copies")
-    vid = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("doc_id").isNull(), "th").alias("vid")
-    rows = work.table(_scan(docs).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "fp", "bands", vid), "rows")
+    # Vertices are numbered as they are written, so no two share a number; the table keeps the numbers of tasks that are run again apart.
+    rows = _scan(docs).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "fp", "bands", F.monotonically_increasing_id().alias("vid"))
+    rows = work.table(rows, "rows")
     # Groups of fingerprints, as stars.
     prints = work.table(rows.groupBy("fp").agg(F.min("vid").alias("low"), F.count("*").alias("n")), "prints")
     of = connected_components(simhash_pivots.links(prints, work), work, "prints").withColumnRenamed("v", "fp")
@@ -177,8 +177,8 @@ def near_copy_groups(spark: SparkSession, docs: DataFrame, similarity: float = S
     pairs = work.table(pairs, "candidates")
     paired = work.table(pairs.select(F.explode(F.array("u", "v")).alias("vid")).distinct(), "paired")
     wanted = rows.select("doc_id", "th", "vid").join(paired, "vid")
-    texts = join_same(row_keys(docs), wanted.hint("shuffle_hash"), ["doc_id", "th"], "left_semi")
-    sets = work.table(_shingle_sets(texts).dropDuplicates(["doc_id", "th"]).select("s", vid), "sets")
+    texts = join_same(row_keys(docs), wanted.hint("shuffle_hash"), ["doc_id", "th"])
+    sets = work.table(_shingle_sets(texts).dropDuplicates(["vid"]), "sets")
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
     found = work.table(stars.unionByName(_verified(best, sets, similarity)).distinct(), "links_best")
     groups = work.table(_labels(found, work, "best"), "groups_best")
