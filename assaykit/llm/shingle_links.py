@@ -9,9 +9,8 @@ A band's bucket may hold thousands of near copies. Its members are paired with t
 those of a small bucket with all. For each document, the partner that it shares the most bands
 with is verified first; what the links so far join is not compared again, only pairs between
 different components are. Where members of a large bucket are then still in several components,
-more and more of them are compared with the bucket's other components, those that meet the most
-others first, until every pair that the links leave apart has been tried. All is linear in the
-number of documents but for buckets whose members resemble each other too little to be linked.
+the few that meet the most others are compared with the bucket's other components, and what that
+leaves apart is joined exactly, on the rarest shingles of which similar sets must share one.
 
 Defined results: a text of fewer than five words is one shingle; a null or empty text has none and
 is linked by its fingerprint only; rows repeated whole are one; a null doc_id comes last when a
@@ -21,7 +20,6 @@ group's survivor is chosen; an empty table gives no rows; other columns are kept
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +34,8 @@ from .components import connected_components
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
 #: Members of a bucket that are paired with each other.
 SMALL = 8
-#: Members of a large bucket that are compared with its other components in the first turn; each turn takes TIMES as many, TURN at most.
-FIRST, TIMES, TURN = 4, 8, 512
+#: Members of a large bucket that are compared with its other components first; places of a shared shingle's rows.
+FIRST, SALTS = 4, 16
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 FACTORS = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -120,41 +118,68 @@ def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, "vid", "left").withColumn("c", F.coalesce("c", "vid"))
 
 
-def _between(large: DataFrame, groups: DataFrame, sets: DataFrame, work: Workspace, similarity: float) -> DataFrame:
-    """groups (vid, c), with components joined that share a large bucket and hold a similar pair in it; large: b, k, vid, n.
+def _joined(groups: DataFrame, links: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """groups (vid, c) with the components joined that links (u, v) lie between."""
+    if links.isEmpty():
+        return groups
+    ends = _named(_named(links.withColumnRenamed("u", "vid"), groups).select(F.col("c").alias("cu"), F.col("v").alias("vid")), groups)
+    pairs = ends.select(F.least("c", "cu").alias("u"), F.greatest("c", "cu").alias("v")).distinct()
+    above = work.table(_labels(pairs, work, name), f"{name}_above")
+    below = groups.join(above.select(F.col("vid").alias("c"), F.col("c").alias("to")), "c", "left").select("vid", F.coalesce("to", "c").alias("c"))
+    return work.table(below.unionByName(above), f"{name}_groups")
+
+
+def _mixed(large: DataFrame, groups: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The rows of large in buckets of several components, with c, and top, the bucket's component of most members."""
+    named = work.table(_named(large, groups), f"{name}_named")
+    shares = named.groupBy("b", "k", "c").agg(F.count("*").alias("m"))
+    mixed = shares.groupBy("b", "k").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("b", "k", "top")
+    return work.table(named.join(mixed, ["b", "k"]), f"{name}_rows")
+
 
-    A member that had its turn has been compared with all others outside its component, so a bucket is
-    done when those that had none are all in one component.
+def _rare_pairs(rows: DataFrame, sets: DataFrame, work: Workspace, similarity: float) -> DataFrame:
+    """u < v of different components, one outside its bucket's largest, that can reach the similarity by their rarest shingles.
+
+    Two sets of p and q shingles that reach it share at least `same` of them, so in any one order of
+    all shingles they share one among the first p - same + 1 and q - same + 1. The order is by rarity
+    among the members here: those that differ from all others by more than the similarity allows have
+    shingles of their own there, and meet nobody.
     """
+    of = rows.groupBy("vid", "c").agg(F.max(F.col("c") != F.col("top")).alias("out"))
+    each = of.join(sets, "vid").select("vid", "c", "out", F.size("s").alias("size"), F.explode("s").alias("h")).withColumn("salt", F.pmod("vid", F.lit(SALTS)).cast("int"))
+    each = work.table(each, "rare_each")
+    # A shingle may be in a third of all members: its rows meet their count in SALTS places.
+    shared = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    at = F.row_number().over(Window.partitionBy("vid").orderBy(F.coalesce("df", F.lit(1)), "h"))
+    ranked = each.join(shared, ["h", "salt"], "left").withColumn("at", at)
+    ranked = ranked.filter(F.col("df").isNotNull() & (F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1))
+    ranked = work.table(ranked.select("h", "vid", "c", "out", "size", "at"), "rare_ranked")
+    same = F.ceil((F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-9)
+    within = (F.col("x.at") <= F.col("x.size") - same + 1) & (F.col("y.at") <= F.col("y.size") - same + 1)
+    met = ranked.filter("out").alias("x").join(ranked.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & within)
+    return met.select(F.least("x.vid", "y.vid").alias("u"), F.greatest("x.vid", "y.vid").alias("v")).distinct()
+
+
+def _between(large: DataFrame, groups: DataFrame, sets: DataFrame, work: Workspace, similarity: float) -> DataFrame:
+    """groups (vid, c), with components joined that share a large bucket and hold a similar pair in it; large: b, k, vid, n."""
+    rows = _mixed(large, groups, work, "large")
+    if rows.isEmpty():
+        return groups
     sizes = sets.select("vid", F.size("s").alias("size"))
-    # Buckets of one component go before anything is sorted or joined.
-    left, weights = large, None
-    for turn in count():
-        named = work.table(_named(left, groups), f"large_named{turn}")
-        shares = named.groupBy("b", "k", "c").agg(F.count("*").alias("m"))
-        mixed = shares.groupBy("b", "k").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("b", "k", "top")
-        rows = named.join(mixed, ["b", "k"])
-        if weights is None:
-            weights = work.table(rows.groupBy("vid").agg(F.sum("n").alias("w")).join(sizes, "vid"), "large_weights")
-            rows = rows.drop("n").join(weights, "vid")
-        rows = work.table(rows, f"large_rows{turn}")
-        if rows.isEmpty():
-            return groups
-        outside = (F.col("c") == F.col("top")) if turn else F.lit(False)
-        first = Window.partitionBy("b", "k").orderBy(outside, F.desc("w"), "vid")
-        picked = rows.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= min(TURN, FIRST * TIMES**turn))
-        picked = work.table(picked.select("b", "k", F.col("vid").alias("r"), F.col("c").alias("rc"), F.col("size").alias("rsize")), f"large_picked{turn}")
-        alike = F.least("size", "rsize") >= similarity * F.greatest("size", "rsize")
-        met = rows.join(picked, ["b", "k"]).filter((F.col("c") != F.col("rc")) & alike)
-        pairs = work.table(met.select(F.least("vid", "r").alias("u"), F.greatest("vid", "r").alias("v")).distinct(), f"large_pairs{turn}")
-        links = work.table(_verified(pairs, sets, similarity), f"large_links{turn}")
-        if not links.isEmpty():
-            ends = _named(_named(links.withColumnRenamed("u", "vid"), groups).select(F.col("c").alias("cu"), F.col("v").alias("vid")), groups)
-            joined = ends.select(F.least("c", "cu").alias("u"), F.greatest("c", "cu").alias("v")).distinct()
-            above = work.table(_labels(joined, work, f"large{turn}"), f"large_above{turn}")
-            below = groups.join(above.select(F.col("vid").alias("c"), F.col("c").alias("to")), "c", "left").select("vid", F.coalesce("to", "c").alias("c"))
-            groups = work.table(below.unionByName(above), f"large_groups{turn}")
-        left = rows.join(picked.select("b", "k", F.col("r").alias("vid")), ["b", "k", "vid"], "left_anti").drop("c", "top")
+    weights = rows.groupBy("vid").agg(F.sum("n").alias("w")).join(sizes, "vid")
+    sized = work.table(rows.drop("n").join(weights, "vid"), "large_sized")
+    first = Window.partitionBy("b", "k").orderBy(F.desc("w"), "vid")
+    picked = sized.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= FIRST)
+    picked = work.table(picked.select("b", "k", F.col("vid").alias("r"), F.col("c").alias("rc"), F.col("size").alias("rsize")), "large_picked")
+    alike = F.least("size", "rsize") >= similarity * F.greatest("size", "rsize")
+    met = sized.join(picked, ["b", "k"]).filter((F.col("c") != F.col("rc")) & alike)
+    pairs = work.table(met.select(F.least("vid", "r").alias("u"), F.greatest("vid", "r").alias("v")).distinct(), "large_pairs")
+    groups = _joined(groups, work.table(_verified(pairs, sets, similarity), "large_links"), work, "large")
+    rows = _mixed(rows.select("b", "k", "vid"), groups, work, "rest")
+    if rows.isEmpty():
+        return groups
+    pairs = work.table(_rare_pairs(rows, sets, work, similarity), "rare_pairs")
+    return _joined(groups, work.table(_verified(pairs, sets, similarity), "rare_links"), work, "rare")
 
 
 def near_copy_groups(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, work: Workspace | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 
 from assaykit.llm._common import Workspace
+from assaykit.llm import shingle_links
 from assaykit.llm.shingle_links import _between, bands, drop_near_copies, near_copy_groups, shingles
 from assaykit.llm.simhash_pivots import fingerprints
 
@@ -104,3 +105,14 @@ def test_a_large_bucket_is_compared_whole(spark):
     none = spark.createDataFrame([], "vid long, c long")
     got = _between(large, none, sets, Workspace(spark, "test"), 0.8).collect()
     assert sorted((g.vid, g.c) for g in got) == [(i + 1, i) for i in range(0, 80, 2)]
+
+
+def test_rare_shingles_meet_every_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    base = list(range(60))
+    texts = [sorted(set(rng.choice(base, rng.integers(40, 60), replace=False).tolist()) | {1000 + int(x) for x in rng.integers(0, 40, rng.integers(0, 12))}) for _ in range(90)]
+    rows = spark.createDataFrame([(0, 1, i, i // 3, 0) for i in range(90)], "b int, k long, vid long, c long, top long")
+    sets = spark.createDataFrame(list(enumerate(texts)), "vid long, s array<long>")
+    got = {(r.u, r.v) for r in shingle_links._rare_pairs(rows, sets, Workspace(spark, "rare"), 0.8).collect()}
+    near = {(i, j) for i in range(90) for j in range(i + 1, 90) if i // 3 != j // 3 and len(set(texts[i]) & set(texts[j])) >= 0.8 * len(set(texts[i]) | set(texts[j]))}
+    assert near and near <= got
