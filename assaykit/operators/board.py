@@ -1,24 +1,85 @@
-"""The task board and the claims ledger."""
+"""Task boards and the claims ledger.
+
+A task has a board, an id, a pos on its board, a status and deps, ids of the same board; "all" in deps
+stands for every other task of it.
+
+Defined results: an id that stands on a board more than once is its first row's; a dep that the board
+does not have is unknown, and its task never ready; a task on a cycle is never ready either; a null
+board is a board; a task without an id is no task; an empty board gives no rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import same
+
+
+def parse_board(tables: DataFrame, board: str = "section") -> DataFrame:
+    """board, pos, id, deps, status, reason of the rows of Markdown tables with the columns id, deps and status."""
+    field = lambda name: F.trim(F.coalesce(F.col("fields")[name], F.lit("")))
+    named = F.filter(F.transform(F.split(field("deps"), ","), lambda d: F.trim(d)), lambda d: ~d.isin("", "—", "-"))
+    status = F.regexp_extract(field("status"), r"^([A-Z_]*)", 1)
+    return tables.select(F.col(board).alias("board"), F.col("row").alias("pos"), field("id").alias("id"), named.alias("deps"), status.alias("status"), F.regexp_extract(field("status"), r"^BLOCKED\s*—\s*(.*)$", 1).alias("reason")).filter("id <> ''")
+
+
+def _tasks(board: DataFrame) -> DataFrame:
+    """One row per board and id."""
+    return board.filter("id is not null").groupBy("board", "id").agg(F.min_by(F.struct("pos", "deps", "status"), "pos").alias("t")).select("board", "id", "t.*")
+
+
+def dependencies(board: DataFrame) -> DataFrame:
+    """board, id, dep, dep_status of each direct dependency; dep_status is null where the board has no such task."""
+    tasks = _tasks(board)
+    ids = tasks.select("board", F.col("id").alias("dep"), F.coalesce("status", F.lit("")).alias("dep_status"))
+    named = same(tasks.select("board", "id", F.explode(F.array_distinct(F.filter("deps", lambda d: d != "all"))).alias("dep")), ids, ["board", "dep"], "left")
+    every = same(tasks.filter(F.array_contains("deps", "all")).select("board", "id"), ids, ["board"]).filter("id <> dep")  # the tasks of one board
+    return named.unionByName(every).distinct()
+
 
 def eligible(board: DataFrame) -> DataFrame:
-    """PENDING tasks whose dependencies are all DONE, in board order. "all" in deps stands for every other task."""
-    ids = board.select(F.col("id").alias("dep"), F.col("status").alias("dep_status"))
-    pending = board.filter("status = 'PENDING'")
-    every = pending.filter(F.array_contains("deps", "all")).select("pos", "id").join(ids, F.col("id") != F.col("dep"))  # a board is a few dozen rows
-    named = pending.filter(~F.array_contains("deps", "all")).select("pos", "id", F.explode_outer("deps").alias("dep")).join(ids, "dep", "left")
-    rows = every.select("pos", "id", "dep", "dep_status").unionByName(named.select("pos", "id", "dep", "dep_status"))
-    ok = F.col("dep").isNull() | F.coalesce(F.col("dep_status") == "DONE", F.lit(False))
-    return rows.groupBy("pos", "id").agg(F.bool_and(ok).alias("ready")).filter("ready").select("pos", "id").orderBy("pos")
+    """board, pos, id of PENDING tasks whose dependencies are all DONE."""
+    waiting = dependencies(board).filter(F.coalesce(F.col("dep_status") != "DONE", F.lit(True))).select("board", "id").distinct()
+    pending = _tasks(board).filter("status = 'PENDING'").select("board", "pos", "id")
+    return same(pending, waiting, ["board", "id"], "left_anti")
 
 
 def next_task(board: DataFrame) -> DataFrame:
-    return eligible(board).limit(1)
+    """The first eligible task of each board."""
+    return eligible(board).groupBy("board").agg(F.min_by(F.struct("pos", "id"), "pos").alias("t")).select("board", "t.pos", "t.id")
+
+
+def closure(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], rounds: int = 64) -> DataFrame:
+    """All pairs (board, id, dep) that a chain of edges joins; keep(df) writes a frame and reads it again.
+
+    Each round joins the pairs found so far with each other, so chains double in length.
+    """
+    pairs, n = keep(edges.select("board", "id", "dep").distinct()), -1
+    for _ in range(rounds):
+        if (now := pairs.count()) == n:
+            return pairs
+        n = now
+        onward = pairs.select("board", F.col("id").alias("dep"), F.col("dep").alias("beyond"))
+        pairs = keep(pairs.unionByName(same(pairs, onward, ["board", "dep"]).select("board", "id", F.col("beyond").alias("dep"))).distinct())
+    raise RuntimeError("dependencies did not settle")
+
+
+def dependency_report(board: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """board, id, needs (tasks that it needs, directly or not, itself left out), open (of these not DONE), unknown (ids the board lacks, its own deps only), cycle (it needs itself)."""
+    edges = keep(dependencies(board))
+    tasks = _tasks(board)
+    unknown = edges.filter("dep_status is null").groupBy("board", "id").agg(F.array_sort(F.collect_set("dep")).alias("unknown"))
+    known = edges.filter("dep_status is not null")
+    ids = tasks.select("board", F.col("id").alias("dep"), F.coalesce("status", F.lit("")).alias("dep_status"))
+    reach = same(closure(known, keep), ids, ["board", "dep"])
+    other = F.col("id") != F.col("dep")
+    counts = reach.groupBy("board", "id").agg(F.count(F.when(other, 1)).alias("needs"), F.count(F.when(other & (F.col("dep_status") != "DONE"), 1)).alias("open"), F.bool_or(~other).alias("cycle"))
+    out = same(same(tasks.select("board", "id"), counts, ["board", "id"], "left"), unknown, ["board", "id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("board", "id", zero("needs"), zero("open"), F.coalesce("unknown", F.array().cast("array<string>")).alias("unknown"), F.coalesce("cycle", F.lit(False)).alias("cycle"))
 
 
 def append_claims(ledger: DataFrame, claims: DataFrame, order: str) -> DataFrame:

@@ -1,45 +1,106 @@
 """Bootstrap intervals.
 
-`poisson_means`, the one to take, weights each row of each replicate by a Poisson(1) number from
-the row's own hash. It needs no rank and no join: each task sums its rows by group and replicate,
-and only those sums are shuffled. A resample's size varies. One digest serves eight replicates. A
-replicate whose weights are all nought, which happens in groups of a few rows, has no mean and is
-left out of the interval.
-
-`resampled_means` draws with replacement by hash: draw j of replicate b takes the row whose rank is
-hash(b, group, j) mod n. Its resamples have the table's size, but it ranks each group in one task
-and joins every draw, so it is for groups of a few thousand rows and for comparison.
-
-Null values count in neither's means; an empty table gives no rows; rows that share an id get the
-same weights.
+`exact_means` draws resamples of exactly the group's size. A group's values, in order, are cut into
+leaves of LEAF ranks. Each leaf finds its own number of draws: from the root of a binary tree over the
+leaves down, a node's draws are split by a binomial number from a generator seeded with the node, so
+every leaf on the way comes to the same split and no two leaves have to meet. Inside a leaf draw j of
+replicate b takes the rank that a word of a digest names. A leaf of one value needs no draws. Ranks come
+from running totals of the values' counts; no group is ranked in one task and no draw is joined. The
+result depends on the values alone, never on partitions.
+
+`poisson_means` weights each row of each replicate by a Poisson(1) number from the row's own hash. It
+needs no ranks: each task sums its rows by group and replicate, and only those sums are shuffled. A
+resample's size varies. One digest serves eight replicates. A replicate whose weights are all nought,
+which happens in groups of a few rows, has no mean and is left out of the interval.
+
+Null values count in neither's means; a group of null values only has no row; an empty table gives no
+rows; rows that share an id get the same Poisson weights, and are rows of their own in exact resamples.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket
+from .prefix import running_totals, same
 
 REPLICATES = 1000
+#: Ranks of a leaf.
+LEAF = 4096
 #: 32-bit numbers in a digest.
 WORDS = 8
 #: Cumulative Poisson(1) probabilities at 0, 1, ..., 7.
 POISSON_STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
 
-def _replicates(spark: SparkSession, n: int) -> DataFrame:
-    return F.broadcast(spark.range(n).select(F.col("id").alias("b")))  # n rows, a parameter
+def _key(*parts: object) -> int:
+    return int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:16], "big")
+
+
+@lru_cache(maxsize=4096)
+def _split(group: str, size: int, leaf: int, lo: int, hi: int, n: int) -> np.ndarray:
+    """Draws of each of n replicates that fall to leaves lo to hi - 1 of a group of `size` ranks."""
+    if lo == 0 and hi * leaf >= size:
+        return np.full(n, size, dtype=np.int64)
+    # The parent's range is the one that a walk from the root comes through.
+    a, b = 0, -(-size // leaf)
+    while True:
+        mid = (a + b) // 2
+        left, right = (a, mid), (mid, b)
+        if (lo, hi) in (left, right):
+            break
+        a, b = left if hi <= mid else right
+    whole = _split(group, size, leaf, a, b, n)
+    mass = lambda x, y: min(size, y * leaf) - x * leaf
+    drawn = np.random.Generator(np.random.Philox(key=_key("split", group, a, b))).binomial(whole, mass(a, mid) / mass(a, b))
+    return drawn if (lo, hi) == left else whole - drawn
+
+
+def leaf_draws(group: str, size: int, at: int, n: int, leaf: int = LEAF) -> np.ndarray:
+    """How many of each replicate's draws fall to a leaf."""
+    return _split(group, size, leaf, at, at + 1, n)
+
+
+def leaf_sums(group: str, size: int, at: int, values: np.ndarray, counts: np.ndarray, n: int, leaf: int = LEAF) -> np.ndarray:
+    """Sum of the values that each of n replicates draws from a leaf; values in order, each so many times."""
+    draws = leaf_draws(group, size, at, n, leaf)
+    if len(values) == 1:
+        return draws * values[0]
+    ranks, out = np.repeat(values, counts), np.zeros(n)
+    for b, k in enumerate(draws.tolist()):
+        head = f"draw|{group}|{at}|{b}|"
+        words = np.frombuffer(b"".join(hashlib.sha256(f"{head}{i}".encode()).digest() for i in range(-(-k // WORDS))), dtype=">u4")[:k]
+        out[b] = ranks[words % len(ranks)].sum()
+    return out
+
+
+def exact_means(scored: DataFrame, group: str, value: str, n: int = REPLICATES, leaf: int = LEAF) -> DataFrame:
+    """group, b, mean of resamples of exactly each group's number of values."""
+    rows = scored.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    values = rows.groupBy("g", "v").agg(F.count("*").alias("c"))
+    sizes = values.groupBy("g").agg(F.sum("c").alias("size"))
+    ranked = running_totals(values, ["g"], "v", {"start": "c"})
+    # A value's ranks may lie in several leaves.
+    pieces = ranked.withColumn("at", F.explode(F.sequence(F.floor(F.col("start") / leaf), F.floor((F.col("start") + F.col("c") - 1) / leaf))))
+    inside = F.least(F.col("start") + F.col("c"), (F.col("at") + 1) * leaf) - F.greatest(F.col("start"), F.col("at") * leaf)
+    leaves = pieces.groupBy("g", "at").agg(F.array_sort(F.collect_list(F.struct("v", inside.cast("long").alias("k")))).alias("p"))  # at most `leaf` pieces
+    leaves = same(leaves, sizes, ["g"]).select("g", F.coalesce(F.col("g").cast("string"), F.lit("")).alias("name"), "size", "at", F.col("p.v").alias("v"), F.col("p.k").alias("k"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(*(batch.column(c).to_pylist() for c in ("name", "size", "at", "v", "k")))
+            sums = [leaf_sums(name, size, at, np.array(v), np.array(k), n, leaf) for name, size, at, v, k in each]
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("size"), pa.array(sums, pa.list_(pa.float64()))], names=["g", "size", "s"])
 
-def resampled_means(scored: DataFrame, group: str, value: str, id_: str = "item_id", n: int = REPLICATES) -> DataFrame:
-    """group, b, mean."""
-    w = Window.partitionBy(group).orderBy(id_)
-    ranked = scored.select(group, F.col(value).cast("double").alias("v"), (F.row_number().over(w) - 1).cast("long").alias("rank"))
-    sizes = scored.groupBy(group).agg(F.count("*").alias("n"))
-    slots = ranked.drop("v").join(F.broadcast(sizes), group).crossJoin(_replicates(scored.sparkSession, n))
-    drawn = slots.select(group, "b", (bucket(F.col("b").cast("string"), group, F.col("rank").cast("string")) % F.col("n")).alias("rank"))
-    return drawn.join(ranked, [group, "rank"]).groupBy(group, "b").agg(F.avg("v").alias("mean"))
+    summed = leaves.mapInArrow(run, f"g {rows.schema['g'].dataType.simpleString()}, size long, s array<double>")
+    each = summed.select("g", "size", F.posexplode("s").alias("b", "s"))
+    return each.groupBy("g", "b").agg((F.sum("s") / F.max("size")).alias("mean")).select(F.col("g").alias(group), F.col("b").cast("long").alias("b"), "mean")
 
 
 def interval(means: DataFrame, by: list[str]) -> DataFrame:

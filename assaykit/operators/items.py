@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket, hash_order, stable_id
 from ..functions.text import without
+from .prefix import running_totals, same
 
 YES_NO = ("yes", "no")
 
@@ -101,33 +102,31 @@ def _label(records: DataFrame, template: str, qtype: str, question: str, options
     )
 
 
-#: Values of a vocabulary that travel to every task as one row.
-MOST_VALUES = 100_000
+def ring_distractors(records: DataFrame, id_: str, gold: str, by: list[str], others: int, seed: int) -> DataFrame:
+    """records with others: up to so many golds of other records of the same `by`.
 
-
-def vocabulary_ring(values: DataFrame, column: str, ahead: int, seed: int, name: str) -> DataFrame:
-    """One row: distinct values in the order of their seeded hashes, the first `ahead` again at the end. More than MOST_VALUES are refused."""
-    n = values.count()
-    if n > MOST_VALUES:
-        raise ValueError(f"{n} values are no vocabulary")
-    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), column), 256)
-    order = F.transform(F.array_sort(F.collect_list(F.struct(digest.alias("h"), F.col(column).alias("c")))), lambda r: r["c"])
-    return values.agg(order.alias("_o")).select(F.concat("_o", F.slice("_o", 1, ahead)).alias(name))
+    The distinct golds of a group stand on a ring in the order of their seeded hashes. A record visits
+    others + 1 places, a start and a step of its own, and leaves its own gold out; the places are joined
+    to the ring, so no record sees a whole vocabulary. Golds are kept from records without an id or gold.
+    """
+    h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), "_value"), 256), 1, 15), 16, 10).cast("long")
+    values = records.filter(F.col(gold).isNotNull()).select(*by, F.col(gold).alias("_value")).distinct().withColumn("_h", h)
+    ring = running_totals(values.withColumn("_one", F.lit(1)), by, "_h", {"_place": "_one"}).select(*by, "_value", F.col("_place").cast("long").alias("_place"))
+    sizes = values.groupBy(*by).agg(F.count("*").alias("_n"))
+    asked = same(records.select(*by, id_, gold).filter(F.col(gold).isNotNull()).distinct(), sizes, by)
+    start, widest = bucket(F.lit(str(seed)), F.lit("start"), id_) % F.col("_n"), F.greatest(F.floor((F.col("_n") - 1) / others), F.lit(1))
+    step = 1 + bucket(F.lit(str(seed)), F.lit("step"), id_) % widest
+    visits = F.transform(F.sequence(F.lit(0), F.lit(others)), lambda i: F.struct(((start + i * step) % F.col("_n")).cast("long").alias("_place"), i.alias("_turn")))
+    met = same(asked.select(*by, id_, gold, F.inline(visits)), ring, [*by, "_place"]).filter(F.col("_value") != F.col(gold))
+    first = met.groupBy(*by, id_, gold, "_value").agg(F.min("_turn").alias("_turn"))
+    drawn = first.groupBy(*by, id_, gold).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_turn", "_value"))), lambda r: r["_value"]), 1, others).alias("others"))
+    return same(records, drawn, [*by, id_, gold], "left").withColumn("others", F.coalesce("others", F.array().cast("array<string>")))
 
 
 def label_class(records: DataFrame, seed: int, others: int = 3) -> DataFrame:
-    """Distractors are other classes of the same build: those that follow a point of the record's own on a ring of all classes.
-
-    A record without a class, or with an empty list of them, has no item. The ring is ordered by
-    seeded hash once, so a record looks at a few of its places only.
-    """
-    classes = records.select(F.get("pharm_class", F.lit(0)).alias("c")).filter("c is not null").distinct()
-    ring = vocabulary_ring(classes, "c", others + 1, seed, "ring")
-    gold = F.get("pharm_class", F.lit(0))
-    at = (bucket(F.lit(str(seed)), "set_id") % F.greatest(F.size("ring") - others - 1, F.lit(1))).cast("int") + 1
-    drawn = F.slice(F.filter(F.slice("ring", at, F.lit(others + 1)), lambda c: c != gold), 1, others)
-    labels = F.concat(F.array(gold), F.array_distinct(drawn))
-    return _label(records.crossJoin(F.broadcast(ring)), "label_class", "choice", "Which class does this drug belong to?", options_of(labels), gold, seed, "class")
+    """Distractors are other classes of the same build. A record without a class, or with an empty list of them, has no item."""
+    rows = ring_distractors(records.withColumn("_gold", F.get("pharm_class", F.lit(0))), "set_id", "_gold", [], others, seed)
+    return _label(rows, "label_class", "choice", "Which class does this drug belong to?", options_of(F.concat(F.array("_gold"), "others")), F.col("_gold"), seed, "class")
 
 
 def label_boxed(records: DataFrame, seed: int) -> DataFrame:
@@ -166,16 +165,8 @@ def paper_humans(records: DataFrame, seed: int) -> DataFrame:
 
 
 def paper_topic(records: DataFrame, seed: int, others: int = 3) -> DataFrame:
-    """The first major topic; distractors share its level of the tree, by seeded hash."""
-    level = lambda tree: F.size(F.split(tree, r"\."))
-    major = F.filter("mesh", lambda m: m["major"])
-    rows = records.withColumn("first", F.get(major, F.lit(0)))
-    rows = rows.filter("first is not null").withColumn("topic", F.col("first.name")).withColumn("level", level(F.col("first.tree")))
-    # Topics of a level: a vocabulary's size, whatever the number of papers.
-    topics = rows.select("level", "topic").distinct().groupBy("level").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
-    rows = rows.join(topics, "level")
-    drawn = F.transform(
-        F.filter("topics", lambda t: t != F.col("topic")), lambda t: F.struct(F.sha2(F.concat_ws("|", F.lit(str(seed)), "pmid", t), 256).alias("h"), t.alias("t"))
-    )
-    labels = F.concat(F.array("topic"), F.transform(F.slice(F.array_sort(drawn), 1, others), lambda r: r["t"]))
-    return _paper(rows, "paper_topic", "choice", "Which is its major topic?", options_of(labels), F.col("topic"), seed)
+    """The first major topic; distractors are topics of its level of the tree."""
+    first = F.get(F.filter("mesh", lambda m: m["major"]), F.lit(0))
+    rows = records.withColumn("_first", first).filter("_first is not null").withColumn("_topic", F.col("_first.name")).withColumn("_level", F.size(F.split(F.col("_first.tree"), r"\.")))
+    rows = ring_distractors(rows, "pmid", "_topic", ["_level"], others, seed)
+    return _paper(rows, "paper_topic", "choice", "Which is its major topic?", options_of(F.concat(F.array("_topic"), "others")), F.col("_topic"), seed)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ..operators.bootstrap import POISSON_STEPS
+from ..operators.calibration import COLDEST, HOTTEST
+from ..operators.screen import PENALTY, PLACES, RATE, STEPS
 
 
 def bucket(*parts: str) -> str:
@@ -93,3 +95,49 @@ def twin(body: str, *names: str) -> str:
             if n not in order:
                 order.append(n)
     return ("WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in order) + "\n" if order else "") + body
+
+
+def exact_means(rows: str, group: str, n: int = 1000) -> str:
+    """group, b, mean of rows (group, v) under resamples of the group's size; for groups of one leaf of ranks."""
+    ranked = f"SELECT {group}, v, row_number() OVER (PARTITION BY {group} ORDER BY v) - 1 AS r FROM {rows} WHERE v IS NOT NULL"
+    sizes = f"SELECT {group}, count(v) AS size FROM {rows} GROUP BY {group} HAVING count(v) > 0"
+    digest = f"SELECT {group}, size, b, k, sha256('draw|' || {group} || '|0|' || b || '|' || k) AS h FROM (SELECT {group}, size, unnest(range((size + 7) // 8)) AS k FROM ({sizes})) CROSS JOIN range({n}) x(b)"
+    word = f"SELECT {group}, b, CAST('0x' || substr(h, j * 8 + 1, 8) AS BIGINT) % size AS r FROM ({digest}) CROSS JOIN range(8) s(j) WHERE k * 8 + j < size"
+    return f"(SELECT {group}, b, avg(v) AS mean FROM ({word}) JOIN ({ranked}) USING ({group}, r) GROUP BY ALL)"
+
+
+def temperatures(rows: str, by: str = "qtype") -> str:
+    """by, t: where the mean loss is least, by halving a bracket of inverse temperatures."""
+    w = "exp(mid * (z - list_max(logits)))"
+    slope = f"avg(list_sum(list_transform(logits, lambda z: {w} * z)) / list_sum(list_transform(logits, lambda z: {w})) - logits[gold_index + 1])"
+    return f"""(WITH RECURSIVE s AS (
+      SELECT DISTINCT {by}, 0 AS k, 1e0 / CAST({HOTTEST} AS DOUBLE) AS lo, 1e0 / CAST({COLDEST} AS DOUBLE) AS hi FROM {rows}
+      UNION ALL SELECT {by}, k + 1, CASE WHEN g > 0 THEN lo ELSE mid END, CASE WHEN g > 0 THEN mid ELSE hi END FROM (
+        SELECT {by}, k, lo, hi, mid, {slope} AS g FROM (SELECT *, (lo + hi) / 2 AS mid FROM s WHERE k < 60) JOIN {rows} USING ({by}) GROUP BY ALL))
+    SELECT {by}, 2 / (lo + hi) AS t FROM s WHERE k = 60)"""
+
+
+def bag_of_words(rows: str) -> str:
+    """template_id, n, bow of rows (item_id, template_id, split, gold yes or no, text): the steps of operators/screen.py, unrolled."""
+    words = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> ''))"
+    parts = [
+        f"bow AS MATERIALIZED (SELECT item_id, template_id, split, CAST(gold = 'yes' AS INTEGER) AS y, gold, list_distinct(list_transform({words}, lambda w: {bucket('w')} % {PLACES})) AS x FROM {rows})",
+        "bow_x AS MATERIALIZED (SELECT item_id, template_id, split, unnest(x) AS p, 1e0 / sqrt(len(x)) AS v FROM bow)",
+        "bow_n AS MATERIALIZED (SELECT template_id, count(*) AS n FROM bow WHERE split = 'dev' GROUP BY template_id HAVING count(DISTINCT gold) > 1)",
+        "ahead1 AS (SELECT '' AS template_id, 0 AS p, 0e0 AS w WHERE false)", "w0 AS (SELECT * FROM ahead1)",
+    ]
+
+    def margin(split: str, ahead: str) -> str:
+        dot = f"SELECT x.item_id, x.template_id, sum(v * w) AS s FROM bow_x x JOIN {ahead} a USING (template_id, p) WHERE split = '{split}' GROUP BY ALL"
+        return f"SELECT b.item_id, b.template_id, b.y, n, 2 * (coalesce(s, 0e0) + coalesce(c.w, 0e0)) AS m FROM bow b JOIN bow_n USING (template_id) LEFT JOIN ({dot}) d USING (item_id, template_id) LEFT JOIN {ahead} c ON c.template_id = b.template_id AND c.p = -1 WHERE b.split = '{split}'"
+
+    for k in range(1, STEPS + 1):
+        parts += [
+            f"r{k} AS MATERIALIZED (SELECT item_id, template_id, n, 1e0 / (1e0 + exp(-m)) - y AS r FROM ({margin('dev', f'ahead{k}')}))",
+            f"""w{k} AS MATERIALIZED (SELECT template_id, p, coalesce(w, 0e0) - CAST({RATE} AS DOUBLE) * (g + CASE WHEN p = -1 THEN 0e0 ELSE CAST({PENALTY} AS DOUBLE) * coalesce(w, 0e0) END) AS w FROM (
+              SELECT template_id, p, sum(r * v) / any_value(n) AS g FROM r{k} JOIN bow_x USING (item_id, template_id) GROUP BY ALL UNION ALL SELECT template_id, -1, sum(r) / any_value(n) FROM r{k} GROUP BY template_id)
+              LEFT JOIN ahead{k} USING (template_id, p))""",
+            f"ahead{k + 1} AS MATERIALIZED (SELECT template_id, p, a.w + CAST({(k - 1) / (k + 2)!r} AS DOUBLE) * (a.w - coalesce(b.w, 0e0)) AS w FROM w{k} a LEFT JOIN w{k - 1} b USING (template_id, p))",
+        ]
+    score = f"SELECT template_id, round(avg(CASE WHEN (m > 0) = (y = 1) THEN 1e0 ELSE 0e0 END), 6) AS bow FROM ({margin('test', f'w{STEPS}')}) GROUP BY template_id"
+    return f"(WITH {', '.join(parts)} SELECT t.template_id, t.n, s.bow FROM (SELECT template_id, count(*) AS n FROM bow WHERE split = 'test' GROUP BY template_id) t LEFT JOIN ({score}) s USING (template_id))"

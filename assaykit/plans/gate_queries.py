@@ -6,22 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..functions.text import claim_id
-from ..operators import board, gates, metrics, sampling, screen
+from ..operators import board, bootstrap, gates, metrics, sampling, screen
 from ..operators.checks import unpredicted
+from ..sources import markdown
 from ..sources.adapters import SEED, Tables
+from ..sources.scratch import keeper, scratch_dir
 from . import base_sql as S
 from .registry import query
 
 RUN = RunConfig()
-#: The board's tasks as published: position, id, dependencies (fixed values); which are done is ours, for the query's sake.
-TASKS = [
-    (1, "T0", []), (2, "T1", ["T0"]), (3, "T2", ["T1"]), (4, "T3", ["T2"]), (5, "T5", ["T2"]), (6, "T6", ["T2"]), (7, "T7", ["T3", "T6"]),
-    (8, "T8", ["T5"]), (9, "T4", ["T3", "T6"]), (10, "T9", ["T7", "T8"]), (11, "T10", ["T3", "T5", "T6"]), (12, "T11", ["T8"]), (13, "T12", ["all"]),
-]
-DONE = ("T0", "T1", "T2")
-
-
 @query(
     f"""SELECT s.template_id, count(*) AS n, round({S.share('ok')}, 6) AS accuracy, round(any_value(m.majority), 6) AS majority, round(avg(brier), 6) AS brier, any_value(e.ece) AS ece
     FROM scored s JOIN (SELECT template_id, CAST(max(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS majority FROM (SELECT template_id, gold, count(*) AS n FROM items WHERE split = 'test' GROUP BY ALL) GROUP BY template_id) m USING (template_id)
@@ -36,29 +29,61 @@ def headline(t: Tables) -> DataFrame:
     return metrics.summary(rows, by).join(metrics.majority(t.items.filter("split = 'test'"), by).drop("n"), by)
 
 
-def _board_rows(t: Tables) -> DataFrame:
-    rows = [(pos, i, deps, "DONE" if i in DONE else "PENDING") for pos, i, deps in TASKS]
-    return t.spark.createDataFrame(rows, "pos int, id string, deps array<string>, status string")
+def board_tables(t: Tables) -> DataFrame:
+    """Boards of orders, written as Markdown and read again: an order is a task, 32 keys a board; some name tasks that their board lacks, or each other."""
+    k, other = F.col("o_orderkey"), F.col("o_custkey")
+    task = lambda n: F.concat(F.lit("T"), n.cast("string"))
+    deps = F.when(k % 61 == 0, "all").when(k % 8 == 1, "—").when(k % 97 == 0, task(k + 1)).otherwise(F.concat_ws(", ", task(k - 1 - other % 3), task(k - 2)))
+    status = F.when(F.col("o_orderstatus") == "F", "DONE").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("BLOCKED — waits for parts")
+    line = F.concat(F.lit("| "), task(k), F.lit(" | order \\| "), other.cast("string"), F.lit(" | "), deps, F.lit(" | "), status, F.lit(" |"))
+    boards = t.read("orders").groupBy(F.floor(k / 32).alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))), lambda r: r["line"]), "\n").alias("rows"))
+    text = F.concat(F.lit("## Board "), F.col("b").cast("string"), F.lit("\n\n| id | task | deps | status |\n|---|---|---|---|\n"), "rows", F.lit("\n\nRules: take the first.\n"))
+    root = scratch_dir(t.spark, "boards")
+    boards.select(text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1000).text(root)
+    return markdown.read_tables(t.spark, root)
+
 
+def boards(t: Tables) -> DataFrame:
+    return board.parse_board(board_tables(t))
 
-_BOARD = "(SELECT * FROM (VALUES " + ", ".join(f"({p}, '{i}', {d!r}::VARCHAR[], '{'DONE' if i in DONE else 'PENDING'}')" for p, i, d in TASKS) + ") b(pos, id, deps, status))"
-_READY = f"""SELECT pos, id FROM {_BOARD} b WHERE status = 'PENDING' AND NOT EXISTS (SELECT 1 FROM {_BOARD} d
-  WHERE (list_contains(b.deps, d.id) OR (list_contains(b.deps, 'all') AND d.id <> b.id)) AND d.status <> 'DONE')"""
+
+_BOARD = """(SELECT 'Board ' || (o_orderkey // 32) AS board, row_number() OVER (PARTITION BY o_orderkey // 32 ORDER BY o_orderkey) AS pos, 'T' || o_orderkey AS id,
+  CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'O' THEN 'PENDING' ELSE 'BLOCKED' END AS status, o_orderkey % 61 = 0 AS every,
+  CASE WHEN o_orderkey % 61 = 0 OR o_orderkey % 8 = 1 THEN [] WHEN o_orderkey % 97 = 0 THEN ['T' || (o_orderkey + 1)]
+       ELSE list_distinct(['T' || (o_orderkey - 1 - o_custkey % 3), 'T' || (o_orderkey - 2)]) END AS deps FROM orders)"""
+_NAMED = f"(SELECT b.board, b.id, b.dep, d.status FROM (SELECT board, id, unnest(deps) AS dep FROM {_BOARD}) b LEFT JOIN {_BOARD} d ON d.board = b.board AND d.id = b.dep)"
+_EDGES = f"(SELECT * FROM {_NAMED} UNION SELECT b.board, b.id, d.id, d.status FROM {_BOARD} b JOIN {_BOARD} d ON d.board = b.board AND d.id <> b.id WHERE b.every)"
+_READY = f"SELECT board, pos, id FROM {_BOARD} WHERE status = 'PENDING' AND (board, id) NOT IN (SELECT board, id FROM {_EDGES} WHERE status IS DISTINCT FROM 'DONE')"
 
 
 @query(_READY)
 def j17_eligible_tasks(t: Tables) -> DataFrame:
-    return board.eligible(_board_rows(t))
+    return board.eligible(boards(t)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(
+    f"""WITH RECURSIVE edges AS MATERIALIZED {_EDGES}, reach AS (SELECT board, id, dep FROM edges WHERE status IS NOT NULL
+    UNION SELECT r.board, r.id, e.dep FROM reach r JOIN edges e ON e.board = r.board AND e.id = r.dep WHERE e.status IS NOT NULL)
+    SELECT b.board, b.id, count(r.dep) FILTER (r.dep <> b.id) AS needs, count(r.dep) FILTER (r.dep <> b.id AND d.status <> 'DONE') AS open,
+    coalesce(any_value(u.unknown), '') AS unknown, coalesce(bool_or(r.dep = b.id), false) AS cycle
+    FROM {_BOARD} b LEFT JOIN reach r USING (board, id) LEFT JOIN {_BOARD} d ON d.board = r.board AND d.id = r.dep
+    LEFT JOIN (SELECT board, id, string_agg(dep, ',' ORDER BY dep) AS unknown FROM edges WHERE status IS NULL GROUP BY ALL) u ON u.board = b.board AND u.id = b.id GROUP BY b.board, b.id"""
+)
+def j17_dependency_report(t: Tables) -> DataFrame:
+    """What each task needs directly or not, what of it is open, which ids are unknown, and whether it needs itself."""
+    keep = keeper(t.spark, "dependencies")
+    return board.dependency_report(keep(boards(t)), keep).withColumn("unknown", F.array_join("unknown", ","))
 
 
-@query(f"{_READY} ORDER BY pos LIMIT 1")
+@query(f"SELECT board, min(pos) AS pos, arg_min(id, pos) AS id FROM ({_READY}) GROUP BY board")
 def w12_next_task(t: Tables) -> DataFrame:
-    return board.next_task(_board_rows(t))
+    """The first eligible task of each board."""
+    return board.next_task(boards(t)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(f"SELECT status, count(*) AS n FROM {_BOARD} GROUP BY status")
+@query(f"SELECT board, status, CASE status WHEN 'BLOCKED' THEN 'waits for parts' ELSE '' END AS reason, count(*) AS n FROM {_BOARD} GROUP BY ALL")
 def a32_board_summary(t: Tables) -> DataFrame:
-    return _board_rows(t).groupBy("status").agg(F.count("*").alias("n"))
+    return boards(t).groupBy("board", "status", "reason").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'C' || lpad(CAST(row_number() OVER (ORDER BY template_id) + 7 AS VARCHAR), 3, '0') AS id, template_id AS claim FROM (SELECT DISTINCT template_id FROM items)", "items")
@@ -99,21 +124,32 @@ def j15_audit_with_raw_fields(t: Tables) -> DataFrame:
     return sample.join(raw, "source_record_id").join(verdicts, "item_id", "left").select("item_id", "template_id", "quality", "toxic", "verdict")
 
 
-@query()
+_TEXTS = "(SELECT i.item_id, i.template_id, i.split, i.gold, d.text FROM items i JOIN documents d ON CAST(d.doc_id AS VARCHAR) = i.source_record_id)"
+
+
+@query(f"SELECT template_id, n, bow FROM {S.bag_of_words(_TEXTS)}", "items")
 def a19_bag_of_words(t: Tables) -> DataFrame:
-    """A18 and A20 beside it: the screen of each template."""
-    rows = t.items.select("item_id", "template_id", "split", "gold", F.col("source_record_id").cast("long").alias("doc_id")).join(t.read("documents").select("doc_id", F.col("text").alias("state")), "doc_id")
-    bow = screen.bag_of_words(rows)
-    rule = screen.keyword_rule(F.lower("state"), [(r"\b(idiot|moron|scum)\b", "yes")], "no")
-    regex = rows.filter("split = 'test'").groupBy("template_id").agg(F.round(F.avg((rule == F.col("gold")).cast("double")), 6).alias("regex"))
-    return screen.drop_rule(regex.join(bow, "template_id", "left"))
+    """X11: every template's regression in one fit; the twin unrolls its steps."""
+    docs = t.read("documents").select(F.col("doc_id").cast("string").alias("source_record_id"), F.col("text").alias("state"))
+    return screen.bag_of_words(t.items.join(docs, "source_record_id"))
 
 
-@query("SELECT * FROM (VALUES ('regex', 0.95e0, true), ('bow', 0.96e0, true), ('both', 0.949e0, false), ('none', NULL, false)) v(template_id, best, dropped)")
+_LANGUAGES = "(SELECT i.item_id, d.lang || '|' || i.template_id AS template_id, i.split, i.gold, d.text FROM items i JOIN documents d ON CAST(d.doc_id AS VARCHAR) = i.source_record_id WHERE d.lang IS NOT NULL)"
+_CLEAN = "CASE WHEN ends_with(template_id, 'toxic') THEN 'no' ELSE 'yes' END"
+
+
+@query(
+    f"""SELECT template_id, rule AS regex, bow, greatest(rule, coalesce(bow, -1e0)) >= 0.95e0 AS dropped FROM
+    (SELECT template_id, avg(CASE WHEN gold = {_CLEAN} THEN 1e0 ELSE 0e0 END) AS rule FROM {_LANGUAGES} WHERE split = 'test' GROUP BY template_id) LEFT JOIN {S.bag_of_words(_LANGUAGES)} USING (template_id)""",
+    "items",
+)
 def a20_drop_rule(t: Tables) -> DataFrame:
-    """Dropped at 95 per cent and above."""
-    rows = t.spark.createDataFrame([("regex", 0.95, 0.2), ("bow", None, 0.96), ("both", 0.949, 0.949), ("none", None, None)], "template_id string, regex double, bow double")
-    return screen.drop_rule(rows).select("template_id", F.greatest("regex", "bow").alias("best"), "dropped")
+    """Templates by language: a rule that calls every document good and none toxic, or the bag of words, reaches the threshold."""
+    docs = t.read("documents").filter("lang is not null").select(F.col("doc_id").cast("string").alias("source_record_id"), F.col("text").alias("state"), F.col("lang").alias("l"))
+    rows = t.items.join(docs, "source_record_id").withColumn("template_id", F.concat_ws("|", "l", "template_id"))
+    rule = F.when(F.col("template_id").endswith("toxic"), "no").otherwise("yes")
+    regex = rows.filter("split = 'test'").groupBy("template_id").agg(F.avg((rule == F.col("gold")).cast("double")).alias("regex"))
+    return screen.drop_rule(regex.join(screen.bag_of_words(rows).drop("n"), "template_id", "left"))
 
 
 def _gate_sql(name: str, value: str, threshold: float, op: str, reason: str, source: str) -> str:
@@ -165,8 +201,6 @@ _WON = """(SELECT item_id, unnest(['accuracy', 'brier']) AS metric, unnest([a, b
 )
 def g1_student_beats_baseline(t: Tables) -> DataFrame:
     """Accuracy and Brier differences with intervals that exclude nought."""
-    from ..operators import bootstrap
-
     value = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c).cast("double")))
     rows = t.scored.filter("split = 'test'").groupBy("item_id").agg((value("m-large", "ok") - value("m-small", "ok")).alias("accuracy"), (value("m-small", "brier") - value("m-large", "brier")).alias("brier"))
     long = rows.select("item_id", F.expr("stack(2, 'accuracy', accuracy, 'brier', brier) as (metric, v)"))
@@ -180,12 +214,19 @@ def g3_by_size(t: Tables) -> DataFrame:
     return metrics.accuracy(rows, by).drop("n").join(metrics.mean_of(rows, by, "brier"), by)
 
 
-@query("SELECT 'C00' || i AS id, i <> 2 AS ready FROM range(1, 4) r(i)")
+@query(
+    f"""SELECT 'C' || lpad(CAST(row_number() OVER (ORDER BY model, template_id) AS VARCHAR), 3, '0') AS id, model, template_id, low > 0.5e0 AS ready FROM (
+    SELECT template_id, model, quantile_cont(mean, 0.025) AS low FROM (SELECT split_part(c, '|', 1) AS template_id, split_part(c, '|', 2) AS model, mean FROM
+      {S.exact_means("(SELECT template_id || '|' || model AS c, CASE WHEN ok THEN 1e0 ELSE 0e0 END AS v FROM scored WHERE split = 'dev')", 'c')}) GROUP BY ALL)""",
+    "scored",
+)
 def g4_claim_ready(t: Tables) -> DataFrame:
-    """A claim has a ledger row, an artifact that exists, an interval and a robustness check."""
-    claims = t.spark.range(1, 4).select(claim_id(F.col("id").cast("int")).alias("id"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("artifact"), F.lit(True).alias("interval"), F.lit(True).alias("robust"))
-    there = t.spark.createDataFrame([("a1",), ("a3",)], "artifact string").withColumn("exists", F.lit(True))
-    return claims.join(there, "artifact", "left").select("id", (F.coalesce("exists", F.lit(False)) & F.col("interval") & F.col("robust")).alias("ready"))
+    """Claims are numbered as the ledger numbers them; one is ready whose interval lies above chance."""
+    rows = t.scored.filter("split = 'dev'").select(F.concat_ws("|", "template_id", "model").alias("c"), F.col("ok").cast("double").alias("v"))
+    low = bootstrap.exact_means(rows, "c", "v").groupBy("c").agg(F.percentile("mean", F.lit(0.025)).alias("low"))
+    claims = low.select(F.split("c", r"\|")[0].alias("template_id"), F.split("c", r"\|")[1].alias("model"), (F.col("low") > 0.5).alias("ready"))
+    empty = t.spark.createDataFrame([], "id string")
+    return board.append_claims(empty, claims, "model, template_id").select("id", "model", "template_id", "ready")
 
 
 @query(_gate_sql("GC", "v", 0.0, "<=", "items without predictions", "SELECT count(*) AS v FROM items WHERE item_id NOT IN (SELECT item_id FROM predictions WHERE model = 'm-mid' AND supported)"), "predictions")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..functions import text as X
 from ..functions.hashing import bucket, hash_order
-from ..operators import checks, items, passages, probes, sampling
+from ..operators import checks, items, leaks, passages, probes, sampling
 from ..sources.adapters import SEED, Tables
+from ..sources.scratch import keeper
 from . import base_sql as S
 from .registry import query
 
@@ -67,12 +68,18 @@ def p05_trial_healthy(t: Tables) -> DataFrame:
     return _flat(items.trial_healthy(t.trials, SEED))
 
 
-_RING = f"(SELECT list_concat(l, l[1:4]) FROM (SELECT list(c ORDER BY sha256('{SEED}|' || c)) AS l FROM (SELECT DISTINCT pharm_class AS c FROM drug_labels)))"
-_AT = f"CAST({S.bucket(chr(39) + str(SEED) + chr(39), 'set_id')} % (len({_RING}) - 4) AS BIGINT)"
-_OTHERS = f"list_concat([pharm_class], list_filter({_RING}[{_AT} + 1:{_AT} + 4], lambda c: c <> pharm_class)[1:3])"
+def _others_sql(key: str, gold: str, n: int = 3) -> str:
+    """The gold and up to n others at the places of `ring` (a list in hash order) that a record visits."""
+    place = f"({S.bucket(repr(str(SEED)), repr('start'), key)} % len(ring) + i * (1 + {S.bucket(repr(str(SEED)), repr('step'), key)} % greatest((len(ring) - 1) // {n}, 1))) % len(ring) + 1"
+    return f"list_concat([{gold}], list_distinct(list_filter(list_transform(range({n + 1}), lambda i: ring[{place}]), lambda c: c <> {gold})[1:{n}]))"
 
 
-@query(_item_sql("labels", "drug_labels", "set_id", "label_class", "replace(s_boxed || chr(10) || s_ind || chr(10) || s_route, pharm_class, '')", "pharm_class", _OTHERS), "drug_labels")
+_PLACE = f"CAST('0x' || substr(sha256('{SEED}|' || c), 1, 15) AS BIGINT)"
+_RINGED = f"(SELECT * FROM drug_labels CROSS JOIN (SELECT list(c ORDER BY {_PLACE}) AS ring FROM (SELECT DISTINCT pharm_class AS c FROM drug_labels)))"
+_OTHERS = _others_sql("set_id", "pharm_class")
+
+
+@query(_item_sql("labels", _RINGED, "set_id", "label_class", "replace(s_boxed || chr(10) || s_ind || chr(10) || s_route, pharm_class, '')", "pharm_class", _OTHERS), "drug_labels")
 def p06_label_class(t: Tables) -> DataFrame:
     return _flat(items.label_class(t.labels, SEED))
 
@@ -108,10 +115,11 @@ def p10_paper_humans(t: Tables) -> DataFrame:
     return _flat(items.paper_humans(t.papers, SEED))
 
 
-_TOPICS = f"""list_concat([topic], (SELECT list(c ORDER BY sha256('{SEED}|' || pmid || '|' || c))[1:3] FROM (SELECT DISTINCT topic AS c, level AS l FROM papers) x WHERE c <> topic AND l = level))"""
+_LEVELLED = f"(SELECT * FROM papers JOIN (SELECT level, list(c ORDER BY {_PLACE}) AS ring FROM (SELECT DISTINCT topic AS c, level FROM papers) GROUP BY level) USING (level))"
+_TOPICS = _others_sql("pmid", "topic")
 
 
-@query(_item_sql("pubmed", "papers", "pmid", "paper_topic", "concat_ws(chr(10), title, abstract)", "topic", _TOPICS), "papers")
+@query(_item_sql("pubmed", _LEVELLED, "pmid", "paper_topic", "concat_ws(chr(10), title, abstract)", "topic", _TOPICS), "papers")
 def p11_paper_topic(t: Tables) -> DataFrame:
     return _flat(items.paper_topic(t.papers, SEED))
 
@@ -141,6 +149,18 @@ def p14_answer_leak(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", lang.alias("gold"), F.regexp_replace("url", "/[a-z][a-z]/", "/").alias("url"), F.length(clean).cast("long").alias("n"))
 
 
+@query(
+    r"""SELECT p_partkey, regexp_replace(p_name, '\b(' || (SELECT string_agg(DISTINCT lower(p_type), '|') FROM part) || ')\b', '', 'gi') || ' of size ' || p_size || ' is a , of  and ; twice .' AS state FROM part"""
+)
+def p14_spelled_leaks(t: Tables) -> DataFrame:
+    """Answers in other cases, in the plural and with other marks between their words are taken out, all of two vocabularies at once."""
+    p = t.read("part")
+    size = F.concat(F.lit(" of size "), F.col("p_size").cast("string"), F.lit(" is a "))
+    state = F.concat_ws("", "p_name", size, F.lower("p_brand"), F.lit(", of "), F.regexp_replace("p_brand", "#", " - "), F.lit(" and "), F.concat(F.initcap("p_type"), F.lit("s")), F.lit("; twice "), F.upper("p_type"), F.lit("."))
+    answers = p.select(F.col("p_brand").alias("answer")).unionByName(p.select(F.col("p_type").alias("answer"))).distinct()
+    return leaks.remove_answers(p.select("p_partkey", state.alias("state")), answers, "p_partkey", "state", "answer")
+
+
 @query(
     """SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) || chr(10) || 'A. yes' || chr(10) || 'B. no' AS prompt FROM conversations GROUP BY conv_id"""
 )
@@ -389,6 +409,18 @@ def u02_rebuild(t: Tables) -> DataFrame:
     return checks.rebuild_difference(t.items, again).select("item_id", "only")
 
 
+@query(
+    f"""SELECT item_id, 'first' AS only, gold FROM items WHERE {S.bucket("'changed'", 'item_id')} % 50 = 0
+    UNION ALL SELECT item_id, 'second', CASE gold WHEN 'yes' THEN 'no' ELSE 'yes' END FROM items WHERE {S.bucket("'changed'", 'item_id')} % 50 = 0""",
+    "items",
+)
+def u02_where_builds_differ(t: Tables) -> DataFrame:
+    """A second build in which some golds changed; a tree of hashes leads to their rows."""
+    other = F.when(bucket(F.lit("changed"), "item_id") % 50 == 0, F.when(F.col("gold") == "yes", "no").otherwise("yes")).otherwise(F.col("gold"))
+    again = Tables(t.spark, t.sf_dir).items.withColumn("gold", other).repartition(5, "source")
+    return checks.tree_difference(t.items, again, "item_id", keeper(t.spark, "difference")).select("item_id", "only", "gold")
+
+
 @query("SELECT source_record_id FROM items WHERE split = 'dev' INTERSECT SELECT source_record_id FROM items WHERE split = 'test'", "items")
 def u03_split_overlap(t: Tables) -> DataFrame:
     part = lambda s: t.items.filter(F.col("split") == s).select("source_record_id")
@@ -444,20 +476,26 @@ def a10_candidate_degradation(t: Tables) -> DataFrame:
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"))
 
 
+_SAID = "CAST('0x' || substr(sha256('{salt}|' || item_id), 1, 8) AS BIGINT)"
+
+
 @query(
-    """SELECT round(avg(CASE WHEN h % 3 = 0 THEN 1e0 ELSE 0e0 END), 6) AS detection, 0e0 AS false_rejection, 'm' AS model FROM (SELECT CAST('0x' || substr(sha256('n|' || item_id), 1, 8) AS BIGINT) AS h FROM brands)""",
+    f"""SELECT round(avg(CASE WHEN {_SAID.format(salt='n')} % 3 = 0 THEN 1e0 ELSE 0e0 END), 6) AS detection,
+    round(avg(CASE WHEN {_SAID.format(salt='b')} % 11 = 0 THEN 1e0 ELSE 0e0 END), 6) AS false_rejection, 'm' AS model FROM brands""",
     "brands",
 )
 def a11_abstention(t: Tables) -> DataFrame:
-    base = t.brands.select(F.lit("m").alias("model"), F.col("gold").alias("content"))
-    nota = probes.none_of_the_above(t.brands).select(F.lit("m").alias("model"), F.when(bucket(F.lit("n"), "parent_id") % 3 == 0, "nota").otherwise("other").alias("content"))
+    """A stand-in model that sometimes denies all options, of plain items too."""
+    said = lambda salt, n, id_, other: F.when(bucket(F.lit(salt), id_) % n == 0, "nota").otherwise(other)
+    base = t.brands.select(F.lit("m").alias("model"), said("b", 11, "item_id", F.col("gold")).alias("content"))
+    nota = probes.none_of_the_above(t.brands).select(F.lit("m").alias("model"), said("n", 3, "parent_id", F.lit("other")).alias("content"))
     return probes.abstention(base, nota, ["model"])
 
 
-@query("SELECT template_id, strftime(TIMESTAMP '2024-05-06 07:08:09', '%Y-%m-%dT%H:%M:%SZ') AS stamp, 'C' || lpad(CAST(count(*) AS VARCHAR), 3, '0') AS id FROM items GROUP BY template_id", "items")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, 'C' || lpad(CAST(event_id % 2000 AS VARCHAR), CAST(greatest(3, len(CAST(event_id % 2000 AS VARCHAR))) AS INTEGER), '0') AS id FROM events")
 def x08_stamps_and_ids(t: Tables) -> DataFrame:
-    stamp = X.utc_stamp(F.lit("2024-05-06 07:08:09").cast("timestamp"))
-    return t.items.groupBy("template_id").agg(F.count("*").cast("int").alias("n")).select("template_id", stamp.alias("stamp"), X.claim_id(F.col("n")).alias("id"))
+    """Times of events as stamps; numbers as claim ids."""
+    return t.read("events").select("event_id", X.utc_stamp(F.col("ts").cast("timestamp")).alias("stamp"), X.claim_id((F.col("event_id") % 2000).cast("int")).alias("id"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import probs as P
 from ..functions.text import sentences
+from ..operators import near, tokens
 from ..sources.adapters import Tables
 from . import base_sql as S
 from .registry import query
@@ -19,21 +20,35 @@ def f12_graded_only(t: Tables) -> DataFrame:
     return t.read("orders").withColumn("grade", grade).filter("grade is not null").select("o_orderkey")
 
 
-@query("SELECT * FROM (VALUES ('m1', ' A', true), ('m2', 'A', true), ('m3', NULL, false)) v(model, variant, single)")
+@query()
 def f13_label_tokens(t: Tables) -> DataFrame:
-    """The first recorded variant of the option letters that is one token; a model without one cannot be read."""
-    rows = t.spark.createDataFrame([("m1", " A", 1), ("m1", "A", 1), ("m2", " A", 2), ("m2", "A", 1), ("m3", " A", 2), ("m3", "A", 3)], "model string, variant string, tokens int")
-    best = F.min(F.when(F.col("tokens") == 1, F.struct((F.col("variant") != " A").alias("o"), "variant")))
-    return rows.groupBy("model").agg(best.alias("b")).select("model", F.col("b.variant").alias("variant"), F.col("b").isNotNull().alias("single"))
+    """Letters of as many options as the items have, and their golds: which variant is one token of each installed tokenizer."""
+    import public_tokenizers
 
+    files = {"byte_bpe_50k": ("tokenizers", "byte_bpe_50k.json"), "piece_bpe_32k": ("sentencepiece", "piece_bpe_32k.model"), "word_bpe_49k": ("tokenizers", "word_bpe_49k.json")}
+    letters = t.brands.select(F.explode(F.transform("options", lambda o, i: F.chr(F.lit(65) + i % 26))).alias("label")).distinct()
+    labels = letters.unionByName(t.items.select(F.col("gold").alias("label"))).unionByName(t.brands.select(F.col("gold").alias("label")))
+    return tokens.label_tokens(labels, "label", {n: (kind, public_tokenizers.path(f)) for n, (kind, f) in files.items()})
 
-@query("SELECT lang, count(*) AS n, round(avg(CASE WHEN (quality = 1) = (toxic = 0) THEN 1e0 ELSE 0e0 END), 6) AS agreement FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+
+@query(
+    r"""SELECT lang, count(*) AS n, round(avg(CASE WHEN judged = (quality = 1) THEN 1e0 ELSE 0e0 END), 6) AS agreement,
+    round((avg(CASE WHEN judged = (quality = 1) THEN 1e0 ELSE 0e0 END) - e) / nullif(1 - e, 0), 6) AS kappa FROM (
+    SELECT *, avg(CASE WHEN judged THEN 1e0 ELSE 0e0 END) OVER g * avg(CASE WHEN quality = 1 THEN 1e0 ELSE 0e0 END) OVER g
+      + (1 - avg(CASE WHEN judged THEN 1e0 ELSE 0e0 END) OVER g) * (1 - avg(CASE WHEN quality = 1 THEN 1e0 ELSE 0e0 END) OVER g) AS e FROM (
+      SELECT lang, quality, len(string_split(text, ' ')) >= 20 AND len(regexp_extract_all(text, '[.!?]')) * 40 >= len(string_split(text, ' ')) AS judged FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL AND quality IS NOT NULL)
+    WINDOW g AS (PARTITION BY lang)) GROUP BY lang, e"""
+)
 def j24_judge_agreement(t: Tables) -> DataFrame:
-    """How often one judge's label agrees with the gold of the same pair."""
-    gold, judge = t.read("labels").select("doc_id", "quality"), t.read("labels").select("doc_id", "toxic")
-    rows = gold.join(judge, "doc_id").join(t.read("documents").select("doc_id", "lang"), "doc_id")
-    same = ((F.col("quality") == 1) == (F.col("toxic") == 0)).cast("double")
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(same), 6).alias("agreement"))
+    """A judge that reads the text (enough words, sentences that end) against the gold of the same document, with the agreement that chance gives taken out."""
+    words = F.size(F.split("text", " ", -1))
+    judged = (words >= 20) & (F.regexp_count("text", F.lit("[.!?]")) * 40 >= words)
+    gold = t.read("labels").filter("quality is not null").select("doc_id", (F.col("quality") == 1).alias("good"))
+    rows = gold.join(t.read("documents").filter("text is not null").select("doc_id", "lang", judged.alias("judged")), "doc_id")
+    share = lambda c: F.avg(c.cast("double"))
+    each = rows.groupBy("lang").agg(F.count("*").alias("n"), share(F.col("judged") == F.col("good")).alias("a"), share(F.col("judged")).alias("j"), share(F.col("good")).alias("g"))
+    chance = F.col("j") * F.col("g") + (1 - F.col("j")) * (1 - F.col("g"))
+    return each.select("lang", "n", F.round("a", 6).alias("agreement"), F.round(F.try_divide(F.col("a") - chance, 1 - chance), 6).alias("kappa"))
 
 
 @query(
@@ -73,8 +88,9 @@ def a34_accuracy_by_near_options(t: Tables) -> DataFrame:
     """Accuracy of a stand-in model by how many options lie one edit from the gold."""
     from ..functions.hashing import bucket
 
-    near = F.filter("options", lambda o: (o["key"] != F.col("gold")) & (F.levenshtein(o["key"], F.col("gold")) <= 1))
-    rows = t.brands.withColumn("k", F.size(near).cast("long"))
+    pairs = near.near_pairs(t.brands.select("gold"), "gold")
+    counts = pairs.select(F.explode(F.array("a", "b")).alias("gold")).groupBy("gold").agg(F.count("*").alias("near"))
+    rows = t.brands.join(counts, "gold", "left").withColumn("k", F.coalesce("near", F.lit(0)).cast("long"))
     right = (bucket(F.lit("near"), "item_id", F.col("k").cast("string")) % 3 != 0).cast("double")
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"))
 

@@ -24,42 +24,49 @@ GROUP = ["source", "split", "qtype", "template_id"]
 WORDS = r"\b(idiot|moron|scum)\b"
 
 
-def regex_screen(t: Tables) -> DataFrame:
-    """template_id, regex, bow, dropped: what the keyword rule answers on the test items."""
-    docs = t.read("documents").select(F.col("doc_id").cast("string").alias("source_record_id"), F.lower("text").alias("state"))
-    rows = t.items.filter("split = 'test'").join(docs, "source_record_id")
-    right = (screen.keyword_rule("state", [(WORDS, "yes")], "no") == F.col("gold")).cast("double")
-    each = rows.groupBy("template_id").agg(F.avg(right).alias("regex"))
-    return screen.drop_rule(each.withColumn("bow", F.lit(None).cast("double")), RUN.drop_at)
+def screened_texts(t: Tables) -> DataFrame:
+    docs = t.read("documents").select(F.col("doc_id").cast("string").alias("source_record_id"), F.col("text").alias("state"))
+    return t.items.select("item_id", "template_id", "split", "gold", "source_record_id").join(docs, "source_record_id")
 
 
-_RIGHT = f"CASE WHEN (CASE WHEN regexp_matches(lower(d.text), '{WORDS}') THEN 'yes' ELSE 'no' END) = i.gold THEN 1e0 ELSE 0e0 END"
-_SCREEN = f"(SELECT i.template_id, avg({_RIGHT}) AS regex FROM items i JOIN documents d ON CAST(d.doc_id AS VARCHAR) = i.source_record_id WHERE i.split = 'test' GROUP BY i.template_id)"
+def template_screen(t: Tables) -> DataFrame:
+    """template_id, n, regex, bow, dropped: what the keyword rule and the bag of words answer on the test items."""
+    rows = screened_texts(t)
+    right = (screen.keyword_rule(F.lower("state"), [(WORDS, "yes")], "no") == F.col("gold")).cast("double")
+    each = rows.filter("split = 'test'").groupBy("template_id").agg(F.round(F.avg(right), 6).alias("regex"))
+    return screen.drop_rule(each.join(screen.bag_of_words(rows), "template_id", "left"), RUN.drop_at)
 
 
-@query(f"SELECT template_id, round(regex, 6) AS regex, regex >= {RUN.drop_at}e0 AS dropped FROM {_SCREEN}", "items")
+_TEXTS = "(SELECT i.item_id, i.template_id, i.split, i.gold, d.text FROM items i JOIN documents d ON CAST(d.doc_id AS VARCHAR) = i.source_record_id)"
+_RIGHT = f"CASE WHEN (CASE WHEN regexp_matches(lower(text), '{WORDS}') THEN 'yes' ELSE 'no' END) = gold THEN 1e0 ELSE 0e0 END"
+_SCREEN = f"""(SELECT template_id, b.n, regex, bow, greatest(regex, coalesce(bow, -1e0)) >= {RUN.drop_at}e0 AS dropped FROM (
+  SELECT template_id, round(avg({_RIGHT}), 6) AS regex FROM {_TEXTS} WHERE split = 'test' GROUP BY template_id) LEFT JOIN {S.bag_of_words(_TEXTS)} b USING (template_id))"""
+
+
+@query(f"SELECT template_id, n, regex, bow, dropped FROM {_SCREEN}", "items")
 def g0b_template_screen(t: Tables) -> DataFrame:
-    return regex_screen(t).select("template_id", F.round("regex", 6).alias("regex"), "dropped")
+    """Dropped if the keyword rule or the bag of words reaches the threshold."""
+    return template_screen(t).select("template_id", "n", "regex", "bow", "dropped")
 
 
-@query(f"SELECT i.item_id, template_id, regex >= {RUN.drop_at}e0 AS dropped FROM items i LEFT JOIN {_SCREEN} USING (template_id)", "items")
+@query(f"SELECT i.item_id, template_id, dropped FROM items i LEFT JOIN {_SCREEN} USING (template_id)", "items")
 def j22_screened_items(t: Tables) -> DataFrame:
     """Items beside what the screen said of their template."""
-    marks = regex_screen(t).select("template_id", "dropped")
+    marks = template_screen(t).select("template_id", "dropped")
     return t.items.join(F.broadcast(marks), "template_id", "left").select("item_id", "template_id", "dropped")  # one row per template
 
 
 def manifest(t: Tables) -> DataFrame:
     """n and content hash of each group, with the screen's mark."""
     counts = t.items.groupBy(*GROUP).agg(F.count("*").alias("n")).join(checks.content_hash(t.items, GROUP, "item_id"), GROUP)
-    return counts.join(F.broadcast(regex_screen(t).select("template_id", "dropped")), "template_id", "left").select(*GROUP, "n", "sha256", "dropped")
+    return counts.join(F.broadcast(template_screen(t).select("template_id", "dropped")), "template_id", "left").select(*GROUP, "n", "sha256", "dropped")
 
 
 _HASHED = """(SELECT source, split, qtype, template_id, sha256(string_agg(h, '' ORDER BY p)) AS sha256, CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT source, split, qtype, template_id, substr(sha256(item_id), 1, 2) AS p, count(*) AS n, sha256(string_agg(sha256(item_id), '' ORDER BY sha256(item_id))) AS h FROM items GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query(f"SELECT h.*, regex >= {RUN.drop_at}e0 AS dropped FROM {_HASHED} h LEFT JOIN {_SCREEN} USING (template_id)", "items")
+@query(f"SELECT h.*, dropped FROM {_HASHED} h LEFT JOIN (SELECT template_id, dropped FROM {_SCREEN}) USING (template_id)", "items")
 def s19_manifest_hashes(t: Tables) -> DataFrame:
     return manifest(t)
 
@@ -88,21 +95,18 @@ def g0d_audit_and_manifest(t: Tables) -> DataFrame:
 
 _SM = "list_transform(logits, lambda z: exp((z - list_max(logits)) / t) / list_sum(list_transform(logits, lambda y: exp((y - list_max(logits)) / t))))"
 _HALF = S.bucket("'half'", "item_id")
-_LOSS = f"SELECT qtype, t, round(avg(-ln(greatest({_SM}[gold_index + 1], 1e-12))), 9) AS loss FROM (SELECT l.*, g.i * 0.25e0 AS t FROM logits l CROSS JOIN range(1, 21) g(i) WHERE {_HALF} % 2 = 0) GROUP BY ALL"
-
-
 @query(
     f"""SELECT qtype, n, ece, ece <= {RUN.teacher_ece}e0 AND n >= {RUN.stratified_dev} AS pass,
     CASE WHEN n < {RUN.stratified_dev} THEN 'too few items' WHEN ece > {RUN.teacher_ece}e0 THEN 'teacher is not calibrated' ELSE '' END AS reason FROM (
     SELECT qtype, CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(acc - c)) / sum(n), 6) AS ece FROM (
     SELECT qtype, least(14, CAST(floor(list_max(probs) * 15e0) AS INTEGER)) AS bin, count(*) AS n, avg(list_max(probs)) AS c, {S.share('list_position(probs, list_max(probs)) - 1 = gold_index')} AS acc
-    FROM (SELECT l.*, {_SM} AS probs FROM logits l JOIN (SELECT qtype, arg_min(t, (loss, t)) AS t FROM ({_LOSS}) GROUP BY qtype) b USING (qtype) WHERE {_HALF} % 2 = 1)
+    FROM (SELECT l.*, {_SM} AS probs FROM logits l JOIN {S.temperatures(f'(SELECT * FROM logits WHERE {_HALF} % 2 = 0)')} b USING (qtype) WHERE {_HALF} % 2 = 1)
     GROUP BY ALL) GROUP BY qtype)""",
     "logits",
 )
 def g0c_after_temperature(t: Tables) -> DataFrame:
     """Calibration error on one half under the temperature fitted on the other; too few items pass nothing."""
-    best = calibration.best_temperature(t.logits.filter(half("item_id") == 0), ["qtype"])
+    best = calibration.fit_temperatures(t.logits.filter(half("item_id") == 0), ["qtype"])
     rows = calibration.apply_temperature(t.logits.filter(half("item_id") == 1), best, ["qtype"])
     ece = metrics.ece(rows.withColumn("ok", P.argmax("probs") == F.col("gold_index")).withColumn("conf", F.array_max("probs")), ["qtype"])
     few, off = F.col("n") < RUN.stratified_dev, F.col("ece") > RUN.teacher_ece
@@ -211,12 +215,16 @@ def j21_missing_artifacts(t: Tables) -> DataFrame:
 
 
 _ONE = "(SELECT template_id, model, item_id, CASE WHEN ok THEN 1e0 ELSE 0e0 END AS v FROM scored WHERE split = 'test')"
+_CLAIMS = "(SELECT template_id || '|' || model AS claim, v FROM " + _ONE + ")"
+#: The widest interval that a claim may stand on.
+WIDEST = 0.1
 _AGREES = "(SELECT template_id, abs(avg(CASE WHEN model = 'm-mid' THEN CASE WHEN ok THEN 1e0 ELSE 0e0 END END) - avg(CASE WHEN model = 'm-small' THEN CASE WHEN ok THEN 1e0 ELSE 0e0 END END)) * 100 <= 2 AS robust FROM scored GROUP BY template_id)"
 
 
 @query(
-    f"""SELECT i.template_id, m.model, m.model <> 'm-small' AS artifact, true AS interval, robust, m.model <> 'm-small' AND robust AS ready
-    FROM (SELECT DISTINCT template_id FROM {_ONE}) i CROSS JOIN (SELECT DISTINCT model FROM {_ONE}) m JOIN {_AGREES} USING (template_id)""",
+    f"""SELECT i.template_id, m.model, m.model <> 'm-small' AS artifact, h - l <= {WIDEST}e0 AS interval, robust, m.model <> 'm-small' AND h - l <= {WIDEST}e0 AND robust AS ready
+    FROM (SELECT DISTINCT template_id FROM {_ONE}) i CROSS JOIN (SELECT DISTINCT model FROM {_ONE}) m JOIN {_AGREES} USING (template_id)
+    JOIN (SELECT claim, quantile_cont(mean, 0.025) AS l, quantile_cont(mean, 0.975) AS h FROM {S.exact_means(_CLAIMS, 'claim')} GROUP BY claim) b ON b.claim = i.template_id || '|' || m.model""",
     "scored",
 )
 def g4_claims_from_results(t: Tables) -> DataFrame:
@@ -224,7 +232,9 @@ def g4_claims_from_results(t: Tables) -> DataFrame:
     rows = t.scored.filter("split = 'test'").withColumn("claim", F.concat_ws("|", "template_id", "model")).withColumn("v", F.col("ok").cast("double"))
     names = rows.select("claim", "template_id", "model", F.concat("model", F.lit(".json")).alias("artifact")).distinct()
     there = _artifacts(t).withColumn("exists", F.lit(True))
-    interval = _bounds(rows, "claim").select("claim", (F.col("l") <= F.col("h")).alias("interval"))
+    # An interval supports a claim if it is narrow enough to tell results apart.
+    means = bootstrap.exact_means(rows, "claim", "v").groupBy("claim").agg(F.percentile("mean", F.lit(0.025)).alias("l"), F.percentile("mean", F.lit(0.975)).alias("h"))
+    interval = means.select("claim", (F.col("h") - F.col("l") <= WIDEST).alias("interval"))
     out = names.join(F.broadcast(there), "artifact", "left").join(interval, "claim", "left").join(a31_harness_agreement(t).select("template_id", F.col("agrees").alias("robust")), "template_id", "left")
     marks = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("interval", "robust")} | {"artifact": F.coalesce("exists", F.lit(False))}
     return out.withColumns(marks).select("template_id", "model", "artifact", "interval", "robust", (F.col("artifact") & F.col("interval") & F.col("robust")).alias("ready"))

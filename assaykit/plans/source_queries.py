@@ -10,9 +10,10 @@ from ..functions.hashing import bucket
 from ..operators import build as B
 from ..operators import checks, items, metrics, sampling
 from ..schema import faults
-from ..sources import loaders, readers, sinks
+from ..sources import loaders, paged, readers, sinks
 from ..sources.adapters import SEED, Tables
 from ..sources.scratch import scratch_dir
+from ..streaming import living
 from . import base_sql as S
 from .registry import query
 
@@ -20,9 +21,10 @@ LEVELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 def _lines(rows: DataFrame, path: str, broken: Column | None = None) -> str:
-    """One JSON line for each row; where broken holds, one that ends early."""
+    """One JSON line for each row; where broken holds, one that ends early, behind the record's id if it begins with one."""
     text = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != "_k"]))
-    cut = F.substring(text, 1, 12)
+    begin = F.regexp_extract(text, r'^\{"protocolSection":\{"identificationModule":\{"nctId":"[^"]*"', 0)
+    cut = F.when(begin != "", begin).otherwise(F.substring(text, 1, 12))
     rows.select((text if broken is None else F.when(broken, cut).otherwise(text)).alias("value")).write.mode("overwrite").text(path)
     return path
 
@@ -189,10 +191,48 @@ def s10_trial_records(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT count(*) AS n, 12 AS longest FROM orders WHERE o_orderkey % 50 = 0")
+@query("""SELECT count(*) AS n, count(DISTINCT o_orderkey) AS records, max(len('{"protocolSection":{"identificationModule":{"nctId":"NCT' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || '"')) AS longest FROM orders WHERE o_orderkey % 50 = 0""")
 def s10_trial_quarantine(t: Tables) -> DataFrame:
+    """Lines that end early are set aside whole, so that their records can be asked for again."""
     _, bad = readers.scan_trials(t.spark, _study_lines(t))
-    return bad.agg(F.count("*").alias("n"), F.max(F.length("_corrupt_record")).alias("longest"))
+    record = F.regexp_extract("_corrupt_record", '"nctId":"(NCT[0-9]+)"', 1)
+    return bad.agg(F.count("*").alias("n"), F.count_distinct(F.when(record != "", record)).alias("records"), F.max(F.length("_corrupt_record")).alias("longest"))
+
+
+#: Records of a captured page; one page in LOST was never captured.
+PAGE, LOST = 100, 40
+
+
+def _pages(t: Tables) -> str:
+    """Trials as an interface hands them out, PAGE of them with each token; every LOST-th page is missing."""
+    k = F.substring("nct_id", 4, 20).cast("long")
+    page = F.floor(k / PAGE)
+    rows = t.trials.select("nct_id", "phase", F.col("first_posted").cast("string").alias("first_posted"), page.alias("page"))
+    last = rows.agg(F.max("page").alias("last"))  # one row
+    each = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("nct_id", "phase", "first_posted"))).alias("records"))  # PAGE records
+    token = lambda n: F.when(n == 0, "").otherwise(F.concat(F.lit("t"), F.lpad(n.cast("string"), 9, "0")))
+    onward = F.when(F.col("page") < F.col("last"), token(F.col("page") + 1))
+    body = F.to_json(F.struct("records", onward.alias("nextPageToken")))
+    whole = each.crossJoin(F.broadcast(last)).filter((F.col("page") % LOST != LOST - 1) | (F.col("page") == F.col("last")))
+    files = whole.select(F.concat(F.lit("page-"), token(F.col("page")), F.lit(".json")).alias("file"), body.alias("body"))
+    return sinks.write_files(files, scratch_dir(t.spark, "pages"))
+
+
+_PAGED = f"(SELECT *, CAST(substr(nct_id, 4) AS BIGINT) // {PAGE} AS page, max(CAST(substr(nct_id, 4) AS BIGINT) // {PAGE}) OVER () AS last FROM trials)"
+_TOKEN = "CASE WHEN page = 0 THEN '' ELSE 't' || lpad(CAST(page AS VARCHAR), 9, '0') END"
+
+
+@query(
+    f"""SELECT {_TOKEN} AS token, nct_id, phase, CAST(first_posted AS VARCHAR) AS first_posted, false AS missing FROM {_PAGED} WHERE page % {LOST} <> {LOST - 1} OR page = last
+    UNION ALL SELECT DISTINCT {_TOKEN}, NULL, NULL, NULL, true FROM {_PAGED} WHERE page % {LOST} = {LOST - 1} AND page <> last""",
+    "trials",
+)
+def s10_paged_records(t: Tables) -> DataFrame:
+    """Captured pages, read along their tokens; the read goes on behind a missing page and names it."""
+    t.spark.dataSource.register(paged.PagedSource)
+    rows = t.spark.read.format("pages").option("path", _pages(t)).load()
+    record = F.from_json("record", "nct_id string, phase string, first_posted string")
+    return rows.select("token", record["nct_id"].alias("nct_id"), record["phase"].alias("phase"), record["first_posted"].alias("first_posted"), "missing")
 
 
 @query("SELECT set_id, CAST(effective_date AS VARCHAR) AS effective_date, pharm_class, boxed_warning, route, s_ind AS indications, CASE WHEN boxed_warning IS NULL THEN 1 ELSE 2 END AS sections FROM drug_labels", "drug_labels")
@@ -255,6 +295,51 @@ def s13_rebuild_hash(t: Tables) -> DataFrame:
     return first.join(again, "template_id", "full").select("template_id", "sha256", F.coalesce(F.col("sha256") == F.col("again"), F.lit(False)).alias("same"))
 
 
+@query(f"SELECT template_id, sha256(string_agg(h, '' ORDER BY p)) AS sha256 FROM {_PREFIXED} GROUP BY template_id", "trials")
+def s13_living_build(t: Tables) -> DataFrame:
+    """Two landings of records, the later dates first, a landing that repeats some of them, and a batch that is run again: the items are those of one build."""
+    root = scratch_dir(t.spark, "living")
+    k = F.substring("nct_id", 4, 20).cast("long")
+    landing, store = f"{root}/landing", f"{root}/store"
+    for number, part in enumerate((k % 2 == 1, (k % 2 == 0) | (k % 10 == 1), k % 7 == 0)):
+        t.trials.filter(part).write.json(f"{landing}/{number}")
+        living.land(t.spark, f"{landing}/*", readers.TRIALS, store, f"{root}/progress").awaitTermination()
+    # A checkpoint that is lost: everything lands again, under numbers that are taken.
+    living.land(t.spark, f"{landing}/*", readers.TRIALS, store, f"{root}/again").awaitTermination()
+    items_ = living.rebuild(t.spark, store, readers.TRIALS, lambda r: B.build(r, "trials", *_WINDOW, SEED, _MAKERS))
+    return checks.content_hash(items_, ["template_id"], "item_id")
+
+
+_LABEL_MAKERS = B.templates("labels", routes=("ECONOMY", "STANDARD", "PROMO"))
+_LABEL_WINDOW = ("2023-06-01", "2024-05-31")
+
+
+@query(
+    f"""SELECT sha256('labels|' || set_id || '|' || template_id || '|{SEED}') AS item_id, template_id, gold, CAST(effective_date AS VARCHAR) AS record_date FROM (
+    SELECT set_id, effective_date, unnest(['label_class', 'label_boxed', 'label_route']) AS template_id, unnest([pharm_class, CASE WHEN boxed_warning IS NULL THEN 'no' ELSE 'yes' END, route]) AS gold
+    FROM drug_labels WHERE effective_date BETWEEN DATE '{_LABEL_WINDOW[0]}' AND DATE '{_LABEL_WINDOW[1]}') WHERE gold IS NOT NULL""",
+    "drug_labels",
+)
+def s13_build_labels(t: Tables) -> DataFrame:
+    out = B.build(t.labels, "labels", *_LABEL_WINDOW, SEED, _LABEL_MAKERS)
+    return out.select("item_id", "template_id", "gold", F.col("record_date").cast("string").alias("record_date"))
+
+
+_PAPER_WINDOW = ("2024-03-01", "2024-08-31")
+
+
+@query(
+    f"""SELECT sha256('pubmed|' || pmid || '|' || template_id || '|{SEED}') AS item_id, template_id, gold, CAST(entry_date AS VARCHAR) AS record_date FROM (
+    SELECT pmid, entry_date, unnest(['paper_type', 'paper_humans', 'paper_topic']) AS template_id,
+      unnest([CASE pub WHEN 0 THEN 'case report' WHEN 1 THEN 'randomized controlled trial' WHEN 2 THEN 'meta-analysis' ELSE 'other' END, CASE tag WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END, topic]) AS gold
+    FROM papers WHERE entry_date BETWEEN DATE '{_PAPER_WINDOW[0]}' AND DATE '{_PAPER_WINDOW[1]}') WHERE gold IS NOT NULL""",
+    "papers",
+)
+def s13_build_papers(t: Tables) -> DataFrame:
+    out = B.build(t.papers, "pubmed", *_PAPER_WINDOW, SEED, B.templates("pubmed"))
+    return out.select("item_id", "template_id", "gold", F.col("record_date").cast("string").alias("record_date"))
+
+
 _RECORD = "CAST(substr(nct_id, 4) AS BIGINT)"
 _PHASES = f"(SELECT sha256('trials|' || nct_id || '|trial_phase|{SEED}') AS item_id, {_RECORD} % 20 AS k, phase AS gold FROM trials WHERE phase IS NOT NULL)"
 
@@ -276,6 +361,24 @@ def s15_write_items(t: Tables) -> DataFrame:
     return readers.read_items(t.spark, root)[0].select("item_id", "gold")
 
 
+@query(
+    """SELECT 'source=' || source || '/part=' || p AS file, sum(len(item_id) + 1)::BIGINT AS bytes, sha256(string_agg(item_id || chr(10), '' ORDER BY item_id)) AS sha256, p = '7' AS changed
+    FROM (SELECT source, item_id, substr(item_id, 1, 1) AS p FROM items) GROUP BY ALL""",
+    "items",
+)
+def a13_file_hashes(t: Tables) -> DataFrame:
+    """Size and SHA-256 of each file that a sink wrote; files that changed since the manifest are named."""
+    root = scratch_dir(t.spark, "files")
+    rows = t.items.select("item_id", "source", F.substring("item_id", 1, 1).alias("part"))
+    write = lambda some, at: some.repartition("source", "part").sortWithinPartitions("source", "part", "item_id").write.partitionBy("source", "part").mode("overwrite").text(at)
+    write(rows, f"{root}/first")
+    write(rows.withColumn("item_id", F.when(F.col("part") == "7", F.upper("item_id")).otherwise(F.col("item_id"))), f"{root}/second")
+    folder = lambda at: checks.file_manifest(t.spark, at).withColumn("file", F.regexp_replace("file", "/[^/]*$", ""))
+    told = folder(f"{root}/first")
+    changed = checks.changed_files(told, folder(f"{root}/second")).select("file", F.lit(True).alias("changed"))
+    return told.join(changed, "file", "left").select("file", "bytes", "sha256", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
 @query("SELECT model, source, count(*) AS n, round(avg(CASE WHEN gold_index = 0 THEN p ELSE 1e0 - p END), 6) AS mean FROM scored GROUP BY ALL", "scored")
 def s16_write_predictions(t: Tables) -> DataFrame:
     """Predictions by model and source, read again."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket, stable_id, unit
 from ..functions.probs import argmax, softmax
+from .shipping import ship
 
 SEED = 7
 MODELS = {"m-small": 0.2, "m-mid": 0.3, "m-large": 0.4}
@@ -19,6 +20,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ship(spark)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

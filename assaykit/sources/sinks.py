@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import or_not_measured
+from .shipping import ship
 
 
 def write_items(items: DataFrame, path: str) -> None:
@@ -29,6 +33,25 @@ def write_audit(sample: DataFrame, path: str) -> None:
     sample.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_files(rows: DataFrame, path: str) -> str:
+    """One file for each row (file, body), written by the tasks; a file that a task run again writes is the same. Returns the folder."""
+    spark = rows.sparkSession
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        for batch in batches:
+            for name, body in zip(batch.column("file").to_pylist(), batch.column("body").to_pylist()):
+                with files.open_output_stream(f"{root}/{name}") as f:
+                    f.write((body or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column("file")], names=["file"])
+
+    ship(spark)
+    rows.select("file", "body").mapInArrow(put, "file string").write.format("noop").mode("overwrite").save()
+    return path
+
+
 def to_markdown(rows: DataFrame, reason: str = "no value", most: int = 10_000) -> str:
     """A Markdown table of a summary; nulls become a marker."""
     cells = rows.select(*[or_not_measured(F.col(c), reason).alias(c) for c in rows.columns]).limit(most + 1).collect()
