@@ -102,7 +102,7 @@ def best_threshold(rows: DataFrame, by: list[str]) -> DataFrame:
     """
     told = rows.filter("conf is not null and ok is not null")
     values = told.groupBy(*by, "conf").agg(F.sum(F.col("ok").cast("long")).alias("_good"), F.sum((~F.col("ok")).cast("long")).alias("_bad"))
-    every = values.groupBy(*by).agg(F.sum("_good").alias("_goods"), F.sum("_bad").alias("_bads"))
+    every = values.groupBy(*by).agg(F.sum("_good").alias("_goods"), F.sum("_bad").alias("_bads")).filter("_goods is not null")
     cut = same(running_totals(values, by, "conf", {"_good_before": "_good", "_bad_before": "_bad"}), every, by)
     tried = cut.select(*by, F.col("conf").alias("t"), (F.col("_goods") - F.col("_good_before") + F.col("_bad_before")).alias("_right"))
     none = every.select(*by, F.lit(float("inf")).alias("t"), F.col("_bads").alias("_right"))

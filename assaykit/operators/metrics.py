@@ -79,8 +79,8 @@ def quantiles(rows: DataFrame, by: list[str], column: str, at: dict[str, float])
 
 
 def coverage(items: DataFrame, predictions: DataFrame, by: list[str]) -> DataFrame:
-    """How many of the items have a prediction."""
-    rows = items.join(predictions.select("item_id", F.lit(1).alias("_hit")), "item_id", "left")
+    """How many of the items have a prediction; an item predicted more than once counts once."""
+    rows = items.join(predictions.select("item_id").distinct().withColumn("_hit", F.lit(1)), "item_id", "left")
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.count("_hit").alias("predicted"), F.round(F.count("_hit").cast("double") / F.count("*").cast("double"), 6).alias("coverage")
     )
