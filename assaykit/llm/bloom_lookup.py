@@ -1,9 +1,11 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame operations only.
 
-A text's paragraphs are its lines, and parts of lines: a part ends where a word ends in one of the
-letters PART_ENDS, wherever the line began, so that an insertion changes the parts that it touches
-and no others. A part longer than LONG_PART code points is cut there, at white space where it has
-any. Each paragraph's digest, with the number of times that the
+A text's paragraphs are its lines, and parts of lines. A line is read as units: words with the blanks
+before them, and the single code points of words longer than LONG_WORD, so that scripts without blanks
+and long runs of digits have units too. A part ends after a unit where a hash of it and the WINDOW - 1
+units before it is divisible by EVERY, wherever the line began and in any script, so that an insertion
+changes the parts that it touches and no others. There is no other limit: a stretch without such a place
+is one part. Each paragraph's digest, with the number of times that the
 text has it, is a key. A sketch deals every key to three cells; a cell holds a count, the keys'
 exclusive or, and that of their checksums. Two versions' sketches subtract cell by cell: what
 they share cancels. A cell that is left with one key gives that key away; taking it out of its
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 
 from ._common import Workspace, row_keys
 
-#: About one word in eight of European prose ends in one of these.
-PART_ENDS, LONG_PART = "dlm", 256
-PARAGRAPHS = rf"[^\n]{{1,{LONG_PART}}}?(?:[{PART_ENDS}](?=[ \t\r])|(?![^\n]))|[^\n]{{1,{LONG_PART}}}(?=[ \t\r])|[^\n]{{1,{LONG_PART}}}"
+#: Words of more code points are read as code points; units that a part's end depends on, and one in so many ends one.
+LONG_WORD, WINDOW, EVERY = 24, 3, 8
+UNITS = r"[ \t\r]*[^ \t\r\n]+|\n|[ \t\r]+"
 #: Cells of a first sketch, how many times more a retry has, rounds of peeling for each size, and sizes.
 CELLS, GROWTH, ROUNDS, SIZES = 48, 4, 6, 16
 ID = ["did", "th"]
@@ -70,8 +72,13 @@ def in_order(texts: DataFrame, work: Workspace) -> DataFrame:
 
 def paragraph_hashes(text: str) -> Column:
     """SQL text of a string -> array of 64-bit digests, repeats included."""
-    quoted = PARAGRAPHS.replace("\\", "\\\\")
-    return F.expr(f"transform(filter(transform(regexp_extract_all({text}, '{quoted}', 0), p -> trim(BOTH ' \\t\\r' FROM p)), p -> p <> ''), p -> xxhash64(p))")
+    quoted = UNITS.replace("\\", "\\\\")
+    units = f"flatten(transform(regexp_extract_all({text}, '{quoted}', 0), w -> if(char_length(w) > {LONG_WORD}, split(w, ''), array(w))))"
+    window = ", ".join([*(f"get(f, i - {k})" for k in range(WINDOW - 1, 0, -1)), "u"])
+    marked = f"array_join(transform(f, (u, i) -> if(pmod(xxhash64({window}), {EVERY}) = 0, concat(u, chr(1)), u)), '')"
+    # One array of units, to which the inner function looks back.
+    whole = f"transform(array({units}), f -> {marked})[0]"
+    return F.expr(f"transform(filter(transform(split({whole}, '[\\u0001\\n]'), p -> trim(BOTH ' \\t\\r' FROM p)), p -> p <> ''), p -> xxhash64(p))")
 
 
 def paragraph_keys(docs: DataFrame, work: Workspace) -> DataFrame:
