@@ -2,10 +2,14 @@
 
 A sentence's probability is logistic in the distinct words that it holds, each by itself and by
 its first letters, so that an unseen word counts by the forms that it shares. A document's is the noisy-or
-of its sentences: one minus the product of their complements. Only documents are labelled; the
-gradient of the document's likelihood falls on each sentence by its own probability, so the
-training finds the sentences that explain the label. Weights are fitted to a bounded sample of
-labelled documents. Every feature of the sample is considered; an L1 penalty leaves most at nought.
+of its evident sentences, those that reach EVIDENT by themselves: one minus the product of their
+complements. A document without an evident sentence has the probability of its strongest one. So a
+document reaches EVIDENT if one of its sentences does, and any number of sentences without evidence
+adds nothing. Only documents are labelled; the gradient of the document's likelihood falls on each
+sentence by its own probability, so the training finds the sentences that explain the label. The first
+rounds take the noisy-or of all sentences, as no sentence is evident yet; the others take the score's own
+form. Weights are fitted to a bounded sample of labelled documents. Every feature of the sample is
+considered; an L1 penalty leaves most at nought.
 
 A sentence ends at `.`, `!` or `?` or a line's end. A document without words is one empty
 sentence.
@@ -38,6 +42,8 @@ KNOWN_WORDS = 400_000
 #: Labelled documents of each class that are read to fit the weights, about, and the share of a class needed to act.
 SAMPLE_DOCS, THRESHOLD = 1500, 0.3
 ROUNDS, RATE, PENALTY = 250, 0.3, 3e-4
+#: From which probability on sentences combine, and rounds before they have to reach it.
+EVIDENT, WARM = THRESHOLD, 120
 
 
 def features(word: str) -> list[str]:
@@ -81,12 +87,11 @@ class ToxicityModel:
         """The document's probability and the sentences that reach the threshold by themselves."""
         text = text or ""
         base = logistic(self.bias)
-        if base < threshold and not any(self.values(WORD.findall(text.lower()))):  # no sentence has more than the bias
-            n = max(1, sum(1 for _ in SENTENCE.finditer(text)))
-            return -math.expm1(n * math.log1p(-base)), []
+        if base < min(threshold, EVIDENT) and not any(self.values(WORD.findall(text.lower()))):  # no sentence has more than the bias
+            return base, []
         found = self.sentences(text) or [(0, len(text), base)]
-        log_none = sum(math.log1p(-min(p, 1 - 1e-12)) for *_, p in found)
-        return -math.expm1(log_none), [s for s in found if s[2] >= threshold]
+        log_none = sum(math.log1p(-min(p, 1 - 1e-12)) for *_, p in found if p >= EVIDENT)
+        return -math.expm1(log_none) if log_none else max(p for *_, p in found), [s for s in found if s[2] >= threshold]
 
 
 def fit(texts: list[str], labels: list[int], rows_each: list[float], rounds: int = ROUNDS) -> ToxicityModel:
@@ -111,14 +116,12 @@ def fit(texts: list[str], labels: list[int], rows_each: list[float], rounds: int
     rate = float((share * y).sum())
     bias = np.log(max(rate, 1e-4)) - np.log(max(len(doc_of) / n, 1.0)) - 2.0
     w, sq_w, sq_b = np.zeros(len(words)), np.full(len(words), 1e-8), 1e-8
-    for _ in range(rounds):
-        of_word = np.bincount(of, weights=w[col], minlength=len(kinds))
-        z = bias + np.bincount(row, weights=of_word[word], minlength=len(doc_of))
-        p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
-        none = np.bincount(doc_of, weights=np.log1p(-p), minlength=n)
-        doc = np.clip(-np.expm1(none), 1e-9, 1 - 1e-12)
-        # d(-log likelihood)/dz of a sentence: p for a clean document, -p (1 - P) / P for a toxic one.
-        g = (share * np.where(y == 1, -(1 - doc) / doc, 1.0))[doc_of] * p
+    first = np.cumsum(sentences_of) - sentences_of
+    for k in range(rounds):
+        if k == WARM:
+            sq_b = 1e-8  # the bias of one sentence among all is another than that of evident ones
+        p = sentence_probabilities(bias, w, (of, col, len(kinds)), (row, word, len(doc_of)))
+        g = share[doc_of] * sentence_gradient(p, y, doc_of, first, k >= WARM)
         each_word = np.bincount(word, weights=g[row], minlength=len(kinds))
         gw, gb = np.bincount(col, weights=each_word[of], minlength=len(words)), g.sum()
         sq_w, sq_b = sq_w + gw**2, sq_b + gb**2
@@ -129,6 +132,33 @@ def fit(texts: list[str], labels: list[int], rows_each: list[float], rounds: int
     return ToxicityModel(float(bias), {words[i]: float(w[i]) for i in np.flatnonzero(w)})
 
 
+def sentence_probabilities(bias: float, w: np.ndarray, features_of: tuple, words_of: tuple) -> np.ndarray:
+    """features_of: words and their features, and how many words; words_of: sentences and their words, and how many sentences."""
+    (of, col, n_words), (row, word, n_rows) = features_of, words_of
+    of_word = np.bincount(of, weights=w[col], minlength=n_words)
+    z = bias + np.bincount(row, weights=of_word[word], minlength=n_rows)
+    return np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
+
+
+def document_parts(p: np.ndarray, doc_of: np.ndarray, first: np.ndarray, gated: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's probability, and which sentences take part in it: all, or the evident ones, or the first of the strongest."""
+    part = np.ones(len(p), dtype=bool)
+    if gated:
+        top = np.maximum.reduceat(p, first)
+        at = np.flatnonzero(p == top[doc_of])
+        strongest = np.zeros(len(p), dtype=bool)
+        strongest[at[np.unique(doc_of[at], return_index=True)[1]]] = True
+        part = np.where((top >= EVIDENT)[doc_of], p >= EVIDENT, strongest)
+    none = np.bincount(doc_of, weights=np.where(part, np.log1p(-p), 0.0), minlength=len(first))
+    return np.clip(-np.expm1(none), 1e-9, 1 - 1e-12), part
+
+
+def sentence_gradient(p: np.ndarray, y: np.ndarray, doc_of: np.ndarray, first: np.ndarray, gated: bool) -> np.ndarray:
+    """d(-log likelihood of its document)/d(logit) of each sentence: p for a clean document, -p (1 - P) / P for a toxic one, 0 for sentences that take no part."""
+    doc, part = document_parts(p, doc_of, first, gated)
+    return np.where(part, np.where(y == 1, -(1 - doc) / doc, 1.0)[doc_of] * p, 0.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
     """Fits on about sample_docs labelled documents of each class outside the held-out fold."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != HELD_OUT))
