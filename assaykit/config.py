@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
+
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -23,3 +26,36 @@ class RunConfig:
     teacher_ece: float = 0.05
     agreement_points: float = 2.0
     candidate_counts: tuple[int, ...] = field(default=(2, 4, 8, 16))
+
+
+def load_config(spark: SparkSession, path: str) -> RunConfig:
+    """Parameters from a file that Spark can read: a JSON object, or lines of `name: value` whose values are JSON.
+
+    Names that the file lacks keep their defaults. An unknown name, a value of another type and a file
+    that is neither are refused; so is a folder of several files. Lines that begin with # are comments.
+    """
+    texts = [r.value for r in spark.read.text(path, wholetext=True).limit(2).collect()]
+    if len(texts) != 1:
+        raise ValueError("a run has one file of parameters")
+    text = texts[0].strip()
+    try:
+        if text.startswith("{"):
+            given = json.loads(text)
+        else:
+            lines = [line.partition(":") for line in text.splitlines() if line.strip() and not line.lstrip().startswith("#")]
+            given = {name.strip(): json.loads(value) for name, _, value in lines}
+    except json.JSONDecodeError as e:
+        raise ValueError(f"no parameters: {e}") from None
+    defaults, out = {f.name: getattr(RunConfig(), f.name) for f in fields(RunConfig)}, {}
+    for name, value in given.items():
+        if name not in defaults:
+            raise ValueError(f"{name} is no parameter")
+        default = defaults[name]
+        if isinstance(default, tuple) and isinstance(value, list) and all(type(v) is int for v in value):
+            value = tuple(value)
+        elif isinstance(default, float) and type(value) is int:
+            value = float(value)
+        if type(value) is not type(default):
+            raise ValueError(f"{name} is a {type(default).__name__}")
+        out[name] = value
+    return RunConfig(**out)

@@ -2,7 +2,7 @@
 
 An approximate pass brackets each percentile; a second pass counts what lies below the bracket and
 the distinct values inside it, about 4 in ACCURACY of a group's rows, and finds the exact ranks
-there. Groups of ACCURACY rows or fewer are bracketed by their least and greatest value.
+there by running totals over ranges of them. Groups of ACCURACY rows or fewer are bracketed by their least and greatest value.
 
 Null values and NaN do not count; a group without values has null percentiles; null group keys are
 a group of their own; an empty table gives no rows.
@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_totals
+
 ACCURACY = 10_000
 
 
@@ -40,8 +42,9 @@ def exact_quantiles(rows: DataFrame, by: list[str], column: str, at: dict[str, f
     brackets = bounds.select(*keys, "_n", F.array(*each).alias("_each"))
     near = data.filter("_v is not null").join(brackets, _same(by)).select(*keys, "_n", "_v", F.inline("_each")).filter("_v <= _high")
     inside = near.groupBy(*keys, "_i", "_r", "_n", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_x")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = inside.withColumn("_to", upto).withColumn("_k", F.floor("_r"))
+    # What lies below the bracket has a null value and so comes first; the others are ranked range by range.
+    upto = running_totals(inside, [*keys, "_i"], "_x", {"_before": "_c"}, ranges=16)
+    ranked = upto.withColumn("_to", F.col("_before") + F.col("_c")).withColumn("_k", F.floor("_r"))
     at_rank = lambda k: F.max(F.when((k >= F.col("_to") - F.col("_c")) & (k < F.col("_to")), F.col("_x")))
     found = ranked.groupBy(*keys, "_i", "_r", "_k").agg(at_rank(F.col("_k")).alias("_a"), at_rank(F.least(F.col("_k") + 1, F.col("_n") - 1)).alias("_b"))
     missed = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import RunConfig
-from ..operators import board, bootstrap, gates, metrics, sampling, screen
+from ..config import RunConfig, load_config
+from ..operators import board, bootstrap, checks, gates, metrics, sampling, screen
 from ..operators.checks import unpredicted
 from ..sources import markdown
 from ..sources.adapters import SEED, Tables
@@ -248,11 +248,43 @@ def s19_manifest(t: Tables) -> DataFrame:
     return t.items.groupBy("source", "split", "qtype", "template_id").agg(F.count("*").alias("n")).join(F.broadcast(marks), "template_id").select("source", "split", "qtype", "template_id", "n", "dropped")
 
 
-@query("SELECT item_id, 'documents' AS dataset, 'r1' AS revision, coalesce(NULLIF('', ''), 'UNKNOWN') AS license FROM items", "items")
+_LICENSE = r"(?i)(MIT License|Apache License|BSD|GPL|CC[ -]BY(?:-[A-Z]+)*)"
+_REVISIONS = """(SELECT source, sha256(string_agg(h, '' ORDER BY p)) AS revision FROM (
+  SELECT source, substr(sha256(text), 1, 2) AS p, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS h FROM documents WHERE text IS NOT NULL GROUP BY ALL) GROUP BY source)"""
+
+
+@query(
+    f"""SELECT item_id, 'documents/' || i.source AS dataset, coalesce(revision, 'UNKNOWN') AS revision, coalesce(license, 'UNKNOWN') AS license FROM items i
+    LEFT JOIN {_REVISIONS} USING (source) LEFT JOIN (SELECT source, min(regexp_extract(text, '{_LICENSE}', 1)) AS license FROM documents WHERE regexp_matches(text, '{_LICENSE}') GROUP BY source) USING (source)""",
+    "items",
+)
 def s09_provenance(t: Tables) -> DataFrame:
-    from ..sources.loaders import with_provenance
+    """Each source as a data set: its revision is the hash of its texts, its licence the first that they name."""
+    from ..sources.loaders import join_provenance
+
+    docs = t.read("documents")
+    named = F.regexp_extract("text", _LICENSE, 1)
+    licences = docs.filter(named != "").groupBy("source").agg(F.min(named).alias("license"))
+    table = checks.content_hash(docs.filter("text is not null"), ["source"], "text").withColumnRenamed("sha256", "revision").join(licences, "source", "left")
+    out = join_provenance(t.items, table.withColumn("dataset_id", F.concat(F.lit("documents/"), "source")), "source")
+    return out.select("item_id", F.col("dataset_id").alias("dataset"), "revision", F.col("source_license").alias("license"))
 
-    return with_provenance(t.items, "documents", "r1", None).select("item_id", F.col("dataset_id").alias("dataset"), "revision", F.col("source_license").alias("license"))
+
+_SEEDED = "(SELECT max(n_nationkey) AS seed, 10 * count(*) AS cap FROM nation)"
+
+
+@query(
+    f"""SELECT item_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256(seed || '|' || item_id), item_id) AS r FROM items CROSS JOIN {_SEEDED} WHERE split = 'test')
+    WHERE r <= cap""",
+    "items",
+)
+def s21_run_config(t: Tables) -> DataFrame:
+    """Seed and cap of a run come from its file."""
+    root = scratch_dir(t.spark, "config")
+    n = t.read("nation").agg(F.max("n_nationkey").alias("seed"), (10 * F.count("*")).alias("cap"))
+    n.select(F.concat(F.lit("# of this run\nseed: "), F.col("seed").cast("string"), F.lit("\ntest_cap: "), F.col("cap").cast("string")).alias("value")).coalesce(1).write.mode("overwrite").text(root)
+    run = load_config(t.spark, root)
+    return sampling.cap(t.items.filter("split = 'test'"), ["source"], run.test_cap, run.seed).select("item_id", "source")
 
 
 @query(

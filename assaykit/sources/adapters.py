@@ -12,6 +12,8 @@ from ..functions.probs import argmax, softmax
 from .shipping import ship
 
 SEED = 7
+#: Options of one item.
+MOST_OPTIONS = 10_000
 MODELS = {"m-small": 0.2, "m-mid": 0.3, "m-large": 0.4}
 
 
@@ -126,8 +128,10 @@ class Tables:
 
     @cached_property
     def brands(self) -> DataFrame:
-        """Choice items with as many options as there are brands."""
+        """Choice items with as many options as there are brands; each carries them all, so more than MOST_OPTIONS are refused."""
         p = self.read("part")
+        if (n := p.select("p_brand").distinct().count()) > MOST_OPTIONS:
+            raise ValueError(f"{n} brands are no list of options")
         every = p.agg(F.array_sort(F.collect_set("p_brand")).alias("brands"))  # a vocabulary
         option = F.transform("brands", lambda b: F.struct(b.alias("key"), b.alias("label"), F.lit(None).cast("string").alias("description")))
         return p.crossJoin(F.broadcast(every)).select(

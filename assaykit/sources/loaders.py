@@ -14,6 +14,15 @@ def with_provenance(items: DataFrame, dataset_id: str, revision: str, license_:
     return items.withColumns({"dataset_id": F.lit(dataset_id), "revision": F.lit(revision), "source_license": F.coalesce(F.lit(license_).cast("string"), F.lit("UNKNOWN"))})
 
 
+def join_provenance(items: DataFrame, table: DataFrame, by: str) -> DataFrame:
+    """items with dataset_id, revision and source_license of a table with one row for each `by`; what it lacks, or says nothing of, is UNKNOWN."""
+    names = ("dataset_id", "revision", "license")
+    told = table.select(F.col(by).alias("_by"), *(F.col(n).alias(f"_{n}") for n in names))
+    rows = items.drop("dataset_id", "revision", "source_license").join(told, F.col(by).eqNullSafe(F.col("_by")), "left")
+    known = {("source_license" if n == "license" else n): F.coalesce(F.col(f"_{n}"), F.lit("UNKNOWN")) for n in names}
+    return rows.withColumns(known).drop("_by", *(f"_{n}" for n in names))
+
+
 def only_licensed(items: DataFrame) -> DataFrame:
     return items.filter(F.col("source_license") != "UNKNOWN")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.prefix import same
 from ..schema import ITEM, TEACHER, VERDICT, faults
 
 TRIALS = """nct_id string, title string, brief_summary string, detailed_description string, conditions array<string>, phase string,
@@ -130,10 +131,12 @@ def scan_pubmed(spark: SparkSession, path: str, trees: DataFrame | None = None)
     )
     if trees is None:
         return rows
-    # A controlled vocabulary: its size does not follow the number of records.
-    table = trees.agg(F.map_from_entries(F.collect_list(F.struct("name", "tree"))).alias("_trees"))
+    # Records meet the vocabulary by name; of a name's several trees the first in order is taken.
+    first = trees.filter("name is not null").groupBy("name").agg(F.min("tree").alias("tree"))
+    used = rows.select("pmid", F.explode(F.array_distinct(F.transform("mesh", lambda m: m["name"]))).alias("name")).distinct().join(first, "name")
+    maps = used.groupBy("pmid").agg(F.map_from_entries(F.collect_list(F.struct("name", "tree"))).alias("_trees"))  # a record's own names
     named = F.transform("mesh", lambda m: F.struct(m["name"].alias("name"), F.element_at("_trees", m["name"]).alias("tree"), m["major"].alias("major")))
-    return rows.crossJoin(F.broadcast(table)).withColumn("mesh", named).drop("_trees")
+    return same(rows, maps, ["pmid"], "left").withColumn("mesh", named).drop("_trees")
 
 
 def scan_qrels(spark: SparkSession, queries: str, corpus: str, qrels: str) -> DataFrame:

@@ -138,3 +138,24 @@ def test_an_item_predicted_twice_counts_once(spark):
     it = spark.createDataFrame([("a", "s"), ("b", "s")], "item_id string, source string")
     pred = spark.createDataFrame([("a",), ("a",)], "item_id string")
     assert [tuple(r) for r in metrics.coverage(it, pred, ["source"]).collect()] == [("s", 2, 1, 0.5)]
+
+
+def test_parameters_from_a_file(spark, tmp_path):
+    from assaykit.config import RunConfig, load_config
+
+    put = lambda text: (tmp_path / "run.yaml").write_text(text) and str(tmp_path / "run.yaml")
+    assert load_config(spark, put("# a run\nseed: 11\ndrop_at: 1\ncandidate_counts: [2, 3]\n\n")) == RunConfig(seed=11, drop_at=1.0, candidate_counts=(2, 3))
+    assert load_config(spark, put('{"bins": 10}')) == RunConfig(bins=10)
+    for text in ("sed: 1", "seed: x", "seed: 1.5", "seed", 'candidate_counts: ["a"]'):
+        with pytest.raises(ValueError):
+            load_config(spark, put(text))
+
+
+def test_short_passages_meet_by_their_characters(spark):
+    from assaykit.operators import passages
+
+    texts = [(1, "ab cd"), (2, "b c"), (3, "xb cy\nz"), (4, ""), (5, None), (6, "🙂a b"), (6, "🙂a b")]
+    asked = [(1, "b c"), (2, "b"), (3, "y\nz"), (4, ""), (5, None), (6, "🙂a"), (7, "ab"), (8, "zz zz")]
+    frame = passages.holders(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, passage string"))
+    assert sorted(map(tuple, frame.collect())) == sorted((d, i) for d, t in texts for i, p in asked if t is not None and p is not None and p in t)
+    assert "NestedLoop" not in passages.holders(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, "b c")], "item_id long, passage string"))._jdf.queryExecution().executedPlan().toString()
