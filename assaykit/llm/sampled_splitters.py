@@ -98,6 +98,7 @@ def _split(rows: DataFrame, work: Workspace, shards: int, rounds: int = 8) -> tu
     whole = lambda cuts: {(k, s) if k in huge else (k, LOWEST) for k, s in cuts}
     cuts = whole(_quantiles(_sample(rows, OVERSAMPLE * pieces, total, 0), pieces))
     cuts |= {(k, LOWEST) for k in huge} | {(k + 1, LOWEST) for k in huge if k < (1 << 63) - 1}
+    closer = 1
     for r in range(1, rounds + 1):
         dealt = _deal(rows, sorted(cuts))
         sums = dealt.groupBy("bin").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
@@ -112,11 +113,11 @@ def _split(rows: DataFrame, work: Workspace, shards: int, rounds: int = 8) -> tu
         extra = sum(int(b["bytes"] // max(most_bytes, 1)) + 1 for b in full) * 2
         found: dict[int, list] = {}
         at = sorted(cuts)
-        for key, sub, w in _sample(inside, OVERSAMPLE * extra, sum(b["bytes"] for b in full), r):
+        for key, sub, w in _sample(inside, OVERSAMPLE * extra * closer, sum(b["bytes"] for b in full), r):
             found.setdefault(bisect_left(at, (key, sub + 1)), []).append((key, sub, w))
         new = set().union(*(whole(_quantiles(s, 2 * (int(len(s) / OVERSAMPLE) + 1))) for s in found.values())) - cuts
-        if not new:
-            break
+        # A sample that shows no new boundary is drawn more densely in the next round.
+        closer = 1 if new else closer * 8
         cuts |= new
     for b in bins:  # ranges of one group stay together if a shard can hold the group
         b["unit"] = ("group", b["low"]) if b["low"] == b["high"] and huge.get(b["low"], total) <= total / shards else ("range", b["bin"])
