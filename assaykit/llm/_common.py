@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +75,27 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def take_worker(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Said by an operator's tasks as they begin: what other operators' tasks remembered in this worker process is let go.
+
+    Python workers serve one stage after another, so tables of known words would otherwise add up.
+    """
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        _HELD.pop(name)()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: its freed memory stays with the process
+    if forget:
+        _HELD[owner] = forget
+
+
 def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
     """Column names like the wanted ones that clash with none of those taken, whatever their case."""
     used, out = {t.lower() for t in taken}, []

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Workspace
+from ._common import Workspace, take_worker
 from ._vocab import text_ids
 
 CAPACITY, END_ID = 1024, 2
@@ -52,6 +52,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("packing", text_ids.cache_clear)
         encoder, end = text_ids(tokenizer_path), np.array([end_id], dtype=np.uint32)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Workspace, fresh, join_same, row_keys
+from ._common import Workspace, fresh, join_same, row_keys, take_worker
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
@@ -285,6 +285,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: its base spans, and the marked instances that it holds with their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("personal data", _word.cache_clear)
         for batch in batches:
             spans, seen = [], []
             for value in batch.column("text"):
@@ -330,6 +331,7 @@ def count_plain(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """k, n: how many tokens without digits or @ stand in each context of the map, and in those that share its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("personal data", _word.cache_clear)
         for batch in batches:
             n: Counter[int] = Counter()
             for value in batch.column("text"):
@@ -343,6 +345,7 @@ def plain_instances(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """doc_id, th, s, k: tokens without digits or @ in the contexts of the map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("personal data", _word.cache_clear)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for doc_id, th, value in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text")):
@@ -446,6 +449,7 @@ def _cuts(spans: DataFrame) -> DataFrame:
     """Overlapping spans become one of the first one's kind: doc_id, th, cuts in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("personal data", _word.cache_clear)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
             out = []

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import take_worker
 from ._training import HELD_OUT, fold, sample_by
 
 MARK = "▁"
@@ -41,6 +42,8 @@ POOLED, FLOOR = 200.0, 1e-9
 #: Words of a text that count as independent evidence when its score becomes a probability.
 EVIDENCE = 16
 LONG_WORD, KNOWN_WORDS = 48, 400_000
+#: Characters of long words that are scanned side by side.
+LONG_TOGETHER = 1 << 17
 #: A forward value below this has lost digits or all of itself; such a word is scored with scaling.
 LEAST_VALUE = 1e-250
 
@@ -151,6 +154,123 @@ class Lattice:
         return out
 
 
+class LongWords:
+    """Lattices of words of any length, cut into chunks of CHUNK characters that are scanned side by side.
+
+    A forward value depends on the `longest` values before it. From each of these places by itself, all
+    chunks are scanned at once, a character of each at a time; that gives every chunk's effect on the values
+    before it, and a walk over the chunks their true beginnings. Values are scaled as they shrink, with the
+    logarithms of the scales kept beside them.
+    """
+
+    CHUNK, EASE = 128, 4
+
+    def __init__(self, words: list[str], table: PieceTable):
+        self.longest, none, copy = table.longest, len(table.hashes), len(table.hashes) + 1
+        self.sizes = [len(w) for w in words]
+        self.chunks = [-(-n // self.CHUNK) for n in self.sizes]
+        self.begin = np.cumsum([0, *self.chunks])
+        cells = int(self.begin[-1]) * self.CHUNK
+        # The piece of each length that ends at each character; behind a word's end its last value is copied.
+        self.ending = np.full((self.longest + 1, cells), none, dtype=np.int32)
+        self.ending[1] = copy
+        for w, at in zip(words, self.begin * self.CHUNK):
+            codes = np.frombuffer(w.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+            rolled = np.zeros(len(codes), dtype=np.uint64)
+            for k in range(1, min(self.longest, len(codes)) + 1):
+                rolled = codes[: len(codes) - k + 1] * table.powers[k - 1] + (rolled[1:] if k > 1 else rolled)
+                found = table.find(rolled)
+                self.ending[k, at + k - 1 : at + len(codes)] = np.where(found >= 0, found, 0 if k == 1 else none)
+
+    def _backwards(self) -> LongWords:
+        """The same lattices read from the other end."""
+        out = object.__new__(LongWords)
+        out.__dict__ |= self.__dict__
+        out.ending = np.full_like(self.ending, self.ending.max(initial=0))
+        none = int(self.ending[0, 0]) if self.ending.size else 0
+        out.ending[:] = none
+        out.ending[1] = none + 1
+        for n, at in zip(self.sizes, self.begin * self.CHUNK):
+            for k in range(1, min(self.longest, n) + 1):
+                out.ending[k, at + k - 1 : at + n] = self.ending[k, at + k - 1 : at + n][::-1]
+        return out
+
+    def _scan(self, p: np.ndarray, start: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """start: (longest, chunks, ..., languages), the values before each chunk, latest last. The last values, their log scales, and if kept all of both."""
+        m, count = self.longest, int(self.begin[-1])
+        ring, scale = start.copy(), np.zeros((count, p.shape[1]))
+        more = (slice(None),) + (None,) * (start.ndim - 3)
+        cells = self.ending.reshape(m + 1, count, self.CHUNK)
+        values = np.empty((self.CHUNK, *start.shape[1:])) if keep else np.empty(0)
+        scales = np.empty((self.CHUNK, count, p.shape[1])) if keep else np.empty(0)
+        none = len(p) - 2
+        for j in range(self.CHUNK):
+            now = np.zeros(start.shape[1:])
+            for k in range(1, m + 1):
+                which = cells[k, :, j]
+                if (which != none).any():
+                    now += ring[(j - k) % m] * p[which][more]
+            ring[j % m] = now
+            if j % self.EASE == self.EASE - 1:
+                top = ring.max(axis=(0, *range(2, ring.ndim - 1)))
+                ring /= top[more]
+                now = ring[j % m]
+                scale += np.log(top)
+            if keep:
+                values[j], scales[j] = now, scale
+        order = [(self.CHUNK - m + i) % m for i in range(m)]
+        return ring[order], scale, values, scales
+
+    def _starts(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(longest, chunks, languages) values before each chunk, their log scales, and each word's log probability."""
+        m, languages, count = self.longest, p.shape[1], int(self.begin[-1])
+        units = np.zeros((m, count, m, languages))
+        units[np.arange(m), :, np.arange(m)] = 1.0
+        ends, scale, _, _ = self._scan(p, units, False)
+        starts, scales, logs = np.zeros((m, count, languages)), np.zeros((count, languages)), np.zeros((len(self.sizes), languages))
+        for w, (a, b) in enumerate(zip(self.begin, self.begin[1:])):
+            now, log = np.zeros((m, languages)), np.zeros(languages)
+            now[-1] = 1.0
+            for c in range(a, b):
+                starts[:, c], scales[c] = now, log
+                now = np.einsum("oig,ig->og", ends[:, c], now)
+                top = now.max(axis=0)
+                now, log = now / top, log + np.log(top) + scale[c]
+            logs[w] = np.log(now[-1]) + log
+        return starts, scales, logs
+
+    @staticmethod
+    def _extended(p: np.ndarray) -> np.ndarray:
+        """p with a row of noughts, for no piece, and one of ones, for a copy."""
+        return np.concatenate([p, np.zeros((1, p.shape[1])), np.ones((1, p.shape[1]))])
+
+    def logs(self, p: np.ndarray) -> np.ndarray:
+        """(words, languages): log of each word's probability."""
+        return self._starts(self._extended(p))[2]
+
+    def _values(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward value and log scale at each character, and the words' log probabilities."""
+        starts, before, logs = self._starts(p)
+        _, _, values, scales = self._scan(p, starts, True)
+        flat = lambda x: x.transpose(1, 0, 2).reshape(-1, p.shape[1])
+        return flat(values), flat(scales + before), logs
+
+    def add_expected(self, p: np.ndarray, times: np.ndarray, seen: np.ndarray) -> None:
+        """Adds to `seen` how often each piece is expected, the words occurring `times` in each language."""
+        p = self._extended(p)
+        ahead, ahead_log, logs = self._values(p)
+        back, back_log, _ = self._backwards()._values(p)
+        for w, (n, at) in enumerate(zip(self.sizes, self.begin * self.CHUNK)):
+            one = lambda x, edge: np.concatenate([np.full((1, p.shape[1]), edge), x[at : at + n]])  # noqa: B023, E731
+            a, la, b, lb = one(ahead, 1.0), one(ahead_log, 0.0), one(back, 1.0)[::-1], one(back_log, 0.0)[::-1]
+            for k in range(1, min(self.longest, n) + 1):
+                which = self.ending[k, at + k - 1 : at + n]
+                hit = np.flatnonzero(which < len(p) - 2)
+                if len(hit):
+                    share = np.exp(la[hit] + lb[hit + k] - logs[w]) * a[hit] * b[hit + k] * p[which[hit]] * times[w]
+                    np.add.at(seen, which[hit], share)
+
+
 @dataclass
 class SegmentationModel:
     """pieces[i] has probabilities p[i + 1]; row 0 is that of an unknown character."""
@@ -158,18 +278,15 @@ class SegmentationModel:
     languages: list[str]
     pieces: list[str]
     p: np.ndarray
-    index: dict[str, int] = field(init=False)
     table: PieceTable = field(init=False)
 
     def __post_init__(self) -> None:
-        self.index = {piece: i + 1 for i, piece in enumerate(self.pieces)}
         self.table = PieceTable(self.pieces)
-        self.longest = self.table.longest
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """(words, languages): log of each word's probability, over all its segmentations."""
         out = np.zeros((len(words), len(self.languages)))
-        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+        short, long = [i for i, w in enumerate(words) if len(w) <= LONG_WORD], [i for i, w in enumerate(words) if len(w) > LONG_WORD]
         for at in range(0, len(short), 4096):
             some = sorted(short[at : at + 4096], key=lambda i: len(words[i]))
             lattice = Lattice([words[i] for i in some], self.table)
@@ -177,57 +294,11 @@ class SegmentationModel:
             exact = value.min(axis=1, initial=1.0) >= LEAST_VALUE
             rows = np.array(some, dtype=np.int64)
             out[rows[exact]] = np.log(value[exact])
-            for i in rows[~exact]:
-                out[i] = self._log_long(words[i])
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self._log_long(w)
+            long += rows[~exact].tolist()
+        for some in _together(long, words):
+            out[some] = LongWords([words[i] for i in some], self.table).logs(self.p)
         return out
 
-    def _log_long(self, word: str) -> np.ndarray:
-        """As above with each language's forward values scaled at each character, for a word of any length."""
-        recent, scale = [np.ones(len(self.languages))], np.zeros(len(self.languages))
-        for j in range(1, len(word) + 1):
-            now = np.zeros(len(self.languages))
-            for k in range(1, min(j, self.longest) + 1):
-                i = self.index.get(word[j - k : j], 0 if k == 1 else None)
-                if i is not None:
-                    now += recent[-k] * self.p[i]
-            scale += np.log(now)
-            recent = [r / now for r in recent[-self.longest :]] + [np.ones_like(now)]
-        return scale
-
-    def add_expected(self, word: str, p: np.ndarray, times: np.ndarray, seen: np.ndarray) -> None:
-        """Adds to `seen` how often each piece is expected in a word of any length, values scaled at each character from both ends.
-
-        What is held at a time is one scaled value for each character and language.
-        """
-        n, known = len(word), self.index.get
-        ahead, scale = np.ones((n + 1, p.shape[1])), np.ones((n + 1, p.shape[1]))
-        fits = [[(k, i) for k in range(1, min(j, self.longest) + 1) if (i := known(word[j - k : j], 0 if k == 1 else None)) is not None] for j in range(n + 1)]
-        for j in range(1, n + 1):
-            # Values at earlier characters are in units of their own scales.
-            now, unit = np.zeros(p.shape[1]), np.ones(p.shape[1])
-            at = j - 1
-            for k, i in fits[j]:
-                while at > j - k:
-                    unit = unit / scale[at]
-                    at -= 1
-                now += ahead[j - k] * unit * p[i]
-            scale[j] = np.maximum(now, 1e-300)
-            ahead[j] = now / scale[j]
-        back = np.zeros((n + 1, p.shape[1]))
-        back[n] = 1.0
-        for j in range(n, 0, -1):
-            unit, at = 1.0 / scale[j], j - 1
-            for k, i in fits[j]:
-                while at > j - k:
-                    unit = unit / scale[at]
-                    at -= 1
-                share = p[i] * back[j] * unit
-                seen[i] += times * ahead[j - k] * share
-                back[j - k] += share
-
     def score(self, words: list[str], logs: np.ndarray) -> tuple[str, float]:
         total = logs.sum(axis=0)
         eased = (total - total.max()) * min(1.0, EVIDENCE / max(1, len(words)))
@@ -235,6 +306,19 @@ class SegmentationModel:
         return self.languages[best], float(1.0 / np.exp(eased).sum())
 
 
+def _together(which: Iterable[int], words: list[str]) -> Iterator[list[int]]:
+    """Numbers of words, in groups of about LONG_TOGETHER characters."""
+    group, size = [], 0
+    for i in which:
+        group.append(i)
+        size += len(words[i])
+        if size > LONG_TOGETHER:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = EM_ROUNDS) -> SegmentationModel:
     """counts: for each language, how often each word (with its mark) occurs."""
     languages = sorted(counts)
@@ -244,12 +328,13 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = EM_R
     short = sum(len(w) <= LONG_WORD for w in every)
     words, times = every[:short], each[:short]
     lattices = [(Lattice(words[a : a + 8192], model.table), times[a : a + 8192]) for a in range(0, len(words), 8192)]
+    long = [(LongWords([every[i] for i in some], model.table), each[some]) for some in _together(range(short, len(every)), every)]
     p = np.full_like(model.p, 1.0 / max(1, len(pieces)))
     for _ in range(rounds):
         p[0] = FLOOR
         seen = sum((lattice.expected(p, t) for lattice, t in lattices), np.zeros_like(p))
-        for word, t in zip(every[short:], each[short:]):
-            model.add_expected(word, p, t, seen)
+        for lattice, t in long:
+            lattice.add_expected(p, t, seen)
         seen[0] = 0
         pooled = seen.sum(axis=1, keepdims=True) / max(seen.sum(), 1e-300)
         p = np.maximum((seen + POOLED * pooled) / (seen.sum(axis=0) + POOLED), FLOOR)
@@ -313,6 +398,7 @@ _SCORER: dict[str, Scorer] = {}
 
 def _scorer(name: str, parts: tuple) -> Scorer:
     """One for each worker process; its words serve all of that worker's tasks."""
+    take_worker("language", _SCORER.clear)
     if name not in _SCORER:
         _SCORER.clear()
         _SCORER[name] = Scorer(SegmentationModel(*parts))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simhash_pivots
-from ._common import Workspace, fresh, join_same, row_keys
+from ._common import Workspace, fresh, join_same, row_keys, take_worker
 from .components import connected_components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 5
@@ -62,6 +62,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     """doc_id, th, fp, bands in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("shingles")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -78,6 +79,7 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     """vid, s."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("shingles")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)

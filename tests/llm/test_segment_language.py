@@ -1,10 +1,12 @@
 import math
+import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 
-from assaykit.llm.segment_language import Lattice, PieceTable, Scorer, SegmentationModel, fit, identify_languages, keep_languages, vocabulary
+from assaykit.llm.segment_language import Lattice, LongWords, PieceTable, Scorer, SegmentationModel, fit, identify_languages, keep_languages, vocabulary
 
 from .conftest import table
 
@@ -13,13 +15,31 @@ PIECES = ["▁", "a", "b", "ab", "▁a", "ba", "bb", "▁ab", "abb"]
 WORDS = {"x": {"▁abba": 3, "▁ab": 2, "▁z": 1}, "y": {"▁bbb": 4, "▁baba": 1}}
 
 
+def index(model):
+    return {piece: i for i, piece in enumerate(model.pieces, 1)}
+
+
+def log_by_character(model, word):
+    """The plain forward pass, a character after another, scaled at each."""
+    at, recent, scale = index(model), [np.ones(len(model.languages))], np.zeros(len(model.languages))
+    for j in range(1, len(word) + 1):
+        now = np.zeros(len(model.languages))
+        for k in range(1, min(j, model.table.longest) + 1):
+            i = at.get(word[j - k : j], 0 if k == 1 else None)
+            if i is not None:
+                now += recent[-k] * model.p[i]
+        scale += np.log(now)
+        recent = [r / now for r in recent[-model.table.longest :]] + [np.ones_like(now)]
+    return scale
+
+
 def every_segmentation(model, word, lang):
     """Sum over all ways to cut a word, each enumerated."""
     if not word:
         return 1.0
     total = 0.0
     for k in range(1, len(word) + 1):
-        i = model.index.get(word[:k], 0 if k == 1 else None)
+        i = index(model).get(word[:k], 0 if k == 1 else None)
         if i is not None:
             total += model.p[i, lang] * every_segmentation(model, word[k:], lang)
     return total
@@ -31,7 +51,7 @@ def test_words_are_scored_over_all_segmentations():
     for word, row in zip(words, model.log_words(words)):
         for lang in range(2):
             assert math.isclose(row[lang], math.log(every_segmentation(model, word, lang)), rel_tol=1e-9)
-        assert np.allclose(row, model._log_long(word))
+        assert np.allclose(row, log_by_character(model, word)) and np.allclose(row, LongWords([word], model.table).logs(model.p)[0])
 
 
 def test_each_round_of_fitting_raises_the_likelihood():
@@ -98,7 +118,7 @@ def test_runs_of_unknown_characters_keep_finite_scores():
     words = ["▁" + "☃" * n for n in range(20, 61)]
     logs = model.log_words(words)
     assert np.isfinite(logs).all()
-    assert np.allclose(logs, [model._log_long(w) for w in words])
+    assert np.allclose(logs, [log_by_character(model, w) for w in words])
     for n in range(30, 61):
         (lang,), (score,) = Scorer(model).many(["the dog " * 20 + "☃" * n])
         plain = Scorer(model).many(["the dog " * 20])
@@ -111,8 +131,46 @@ def test_long_words_take_part_in_the_fit():
     for word in ("▁abba", "▁zabq", "▁bbababab", "▁"):
         times = np.array([2.0, 3.0])
         scaled = np.zeros_like(model.p)
-        model.add_expected(word, model.p, times, scaled)
+        LongWords([word], model.table).add_expected(model.p, times[None, :], scaled)
         assert np.allclose(scaled, Lattice([word], model.table).expected(model.p, times[None, :]), rtol=1e-9)
     long = {"x": {**WORDS["x"], "▁" + "ab" * 3000: 5}, "y": WORDS["y"]}
     moved = fit(long, PIECES)
-    assert np.isfinite(moved.p).all() and moved.p[moved.index["ab"], 0] > model.p[model.index["ab"], 0]
+    assert np.isfinite(moved.p).all() and moved.p[index(moved)["ab"], 0] > model.p[index(model)["ab"], 0]
+
+
+def test_chunks_give_what_characters_give(monkeypatch):
+    rng = random.Random(4)
+    model = fit(WORDS, PIECES)
+    words = ["▁" + "".join(rng.choices("abz☃", weights=(6, 6, 1, 1), k=rng.randrange(1, 400))) for _ in range(40)] + ["▁" + "☃" * 300, "▁", "▁" + "ab" * 64, "▁" + "a" * 127]
+    plain = [log_by_character(model, w) for w in words]
+    times = np.array([[rng.randrange(4), 1.0] for _ in words])
+    for chunk in (8, 128):
+        monkeypatch.setattr(LongWords, "CHUNK", chunk)
+        many = LongWords(words, model.table)
+        assert np.allclose(many.logs(model.p), plain, rtol=1e-10)
+        together, apart = np.zeros_like(model.p), np.zeros_like(model.p)
+        many.add_expected(model.p, times, together)
+        for w, t in zip(words, times):
+            LongWords([w], model.table).add_expected(model.p, t[None, :], apart)
+        assert np.allclose(together, apart, rtol=1e-9)
+        short = [i for i, w in enumerate(words) if 0 < len(w) < 60]
+        want = np.zeros_like(model.p)
+        for i in short:
+            want += Lattice([words[i]], model.table).expected(model.p, times[i : i + 1])
+        got = np.zeros_like(model.p)
+        LongWords([words[i] for i in short], model.table).add_expected(model.p, times[short], got)
+        assert np.allclose(got, want, rtol=1e-8)
+
+
+def test_a_word_of_300000_characters_takes_seconds():
+    pieces = vocabulary(PATH)
+    rng = random.Random(5)
+    model = fit({g: {"▁" + w: 1 for w in ("der", "hund", "dog", "the", "le", "chien", g)} for g in ("de", "en", "es", "fr")}, pieces)
+    word = "▁" + "".join(rng.choices("etaoinshrdlu", k=300_000))
+    began = time.perf_counter()
+    assert np.isfinite(model.log_words([word])).all()
+    scored = time.perf_counter()
+    LongWords([word], model.table).add_expected(model.p, np.ones((1, 4)), np.zeros_like(model.p))
+    fitted = time.perf_counter()
+    assert scored - began < 10 and fitted - scored < 20
+    print(scored - began, fitted - scored)
