@@ -164,6 +164,8 @@ class LongWords:
     """
 
     CHUNK, EASE = 128, 4
+    #: The code of places that no word has; no piece holds it.
+    OUTSIDE = np.uint64(0xD6E8FEB86659FD93)
 
     def __init__(self, words: list[str], table: PieceTable):
         self.longest, none, copy = table.longest, len(table.hashes), len(table.hashes) + 1
@@ -171,16 +173,17 @@ class LongWords:
         self.chunks = [-(-n // self.CHUNK) for n in self.sizes]
         self.begin = np.cumsum([0, *self.chunks])
         cells = int(self.begin[-1]) * self.CHUNK
+        codes, place = np.full(cells, self.OUTSIDE, dtype=np.uint64), np.zeros(cells, dtype=np.int64)
+        for w, n, at in zip(words, self.sizes, self.begin * self.CHUNK):
+            codes[at : at + n] = np.frombuffer(w.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+            place[at : at + n] = np.arange(1, n + 1)
         # The piece of each length that ends at each character; behind a word's end its last value is copied.
         self.ending = np.full((self.longest + 1, cells), none, dtype=np.int32)
-        self.ending[1] = copy
-        for w, at in zip(words, self.begin * self.CHUNK):
-            codes = np.frombuffer(w.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-            rolled = np.zeros(len(codes), dtype=np.uint64)
-            for k in range(1, min(self.longest, len(codes)) + 1):
-                rolled = codes[: len(codes) - k + 1] * table.powers[k - 1] + (rolled[1:] if k > 1 else rolled)
-                found = table.find(rolled)
-                self.ending[k, at + k - 1 : at + len(codes)] = np.where(found >= 0, found, 0 if k == 1 else none)
+        rolled = np.zeros(cells, dtype=np.uint64)
+        for k in range(1, min(self.longest, cells) + 1):
+            rolled = codes[: cells - k + 1] * table.powers[k - 1] + (rolled[1:] if k > 1 else rolled)
+            found = table.find(rolled)
+            self.ending[k, k - 1 :] = np.where(place[k - 1 :] >= k, np.where(found >= 0, found, 0 if k == 1 else none), copy if k == 1 else none)
 
     def _backwards(self) -> LongWords:
         """The same lattices read from the other end."""
@@ -195,12 +198,12 @@ class LongWords:
                 out.ending[k, at + k - 1 : at + n] = self.ending[k, at + k - 1 : at + n][::-1]
         return out
 
-    def _scan(self, p: np.ndarray, start: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """start: (longest, chunks, ..., languages), the values before each chunk, latest last. The last values, their log scales, and if kept all of both."""
-        m, count = self.longest, int(self.begin[-1])
+    def _scan(self, p: np.ndarray, start: np.ndarray, chunks: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """start: (longest, chunks, ..., languages), the values before each of these chunks, latest last. The last values, their log scales, and if kept all of both."""
+        m, count = self.longest, len(chunks)
         ring, scale = start.copy(), np.zeros((count, p.shape[1]))
         more = (slice(None),) + (None,) * (start.ndim - 3)
-        cells = self.ending.reshape(m + 1, count, self.CHUNK)
+        cells = self.ending.reshape(m + 1, -1, self.CHUNK)[:, chunks]
         values = np.empty((self.CHUNK, *start.shape[1:])) if keep else np.empty(0)
         scales = np.empty((self.CHUNK, count, p.shape[1])) if keep else np.empty(0)
         none = len(p) - 2
@@ -224,18 +227,23 @@ class LongWords:
     def _starts(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(longest, chunks, languages) values before each chunk, their log scales, and each word's log probability."""
         m, languages, count = self.longest, p.shape[1], int(self.begin[-1])
-        units = np.zeros((m, count, m, languages))
-        units[np.arange(m), :, np.arange(m)] = 1.0
-        ends, scale, _, _ = self._scan(p, units, False)
         starts, scales, logs = np.zeros((m, count, languages)), np.zeros((count, languages)), np.zeros((len(self.sizes), languages))
+        # A word's first chunk begins with a value that is known; only the others need their effect on any.
+        first = self.begin[:-1]
+        starts[-1, first] = 1.0
+        after, after_scale, _, _ = self._scan(p, starts[:, first], first)
+        later = np.setdiff1d(np.arange(count), first)
+        place = np.searchsorted(later, np.arange(count))
+        units = np.zeros((m, len(later), m, languages))
+        units[np.arange(m), :, np.arange(m)] = 1.0
+        ends, scale, _, _ = self._scan(p, units, later) if len(later) else (units, np.zeros((0, languages)), None, None)
         for w, (a, b) in enumerate(zip(self.begin, self.begin[1:])):
-            now, log = np.zeros((m, languages)), np.zeros(languages)
-            now[-1] = 1.0
-            for c in range(a, b):
-                starts[:, c], scales[c] = now, log
-                now = np.einsum("oig,ig->og", ends[:, c], now)
+            now, log = after[:, w], after_scale[w]
+            for c in range(a + 1, b):
                 top = now.max(axis=0)
-                now, log = now / top, log + np.log(top) + scale[c]
+                now, log = now / top, log + np.log(top)
+                starts[:, c], scales[c] = now, log
+                now, log = np.einsum("oig,ig->og", ends[:, place[c]], now), log + scale[place[c]]
             logs[w] = np.log(now[-1]) + log
         return starts, scales, logs
 
@@ -251,7 +259,7 @@ class LongWords:
     def _values(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward value and log scale at each character, and the words' log probabilities."""
         starts, before, logs = self._starts(p)
-        _, _, values, scales = self._scan(p, starts, True)
+        _, _, values, scales = self._scan(p, starts, np.arange(int(self.begin[-1])), True)
         flat = lambda x: x.transpose(1, 0, 2).reshape(-1, p.shape[1])
         return flat(values), flat(scales + before), logs
 
