@@ -11,7 +11,8 @@ exclusive or, and that of their checksums. Two versions' sketches subtract cell
 they share cancels. A cell that is left with one key gives that key away; taking it out of its
 other cells lays more of them bare. If this peeling empties the sketch, the keys that it gave
 are the differing paragraphs, and which version has each. If cells are left over, the pair is
-tried anew with a sketch of four times as many cells, until it succeeds.
+tried anew with a sketch of four times as many cells, until it succeeds. How many keys differ is guessed
+from one key in SAMPLED, so that few pairs fail.
 
 Everything of one pair stays in one partition: all rounds of peeling follow a single exchange
 of keys, and the text itself is exchanged once, by document, with its neighbour's beginning.
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 from ._common import Workspace, row_keys
 
 #: Words of more code points are read as code points; units that a part's end depends on, and one in so many ends one.
-LONG_WORD, WINDOW, EVERY = 24, 3, 8
+LONG_WORD, WINDOW, EVERY = 24, 3, 12
 UNITS = r"[ \t\r]*[^ \t\r\n]+|\n|[ \t\r]+"
-#: Cells of a first sketch, how many times more a retry has, rounds of peeling for each size, and sizes.
+#: Cells of the least sketch, how many times more the next size has, rounds of peeling for each size, and sizes.
 CELLS, GROWTH, ROUNDS, SIZES = 48, 4, 6, 16
+#: One key in so many is compared to guess how many differ; cells of a first sketch for each of these.
+SAMPLED, ROOM = 4, 2
 ID = ["did", "th"]
 PAIR = [*ID, "which"]
 LOWEST = -(1 << 63)
@@ -140,22 +143,37 @@ def differing(pairs: DataFrame, m: int, rounds: int = ROUNDS) -> DataFrame:
     return state
 
 
-def recover(pairs: DataFrame, work: Workspace, partitions: int, cells: int = CELLS, name: str = "") -> DataFrame:
-    """PAIR, plus, minus of the pairs that differ: how many keys only the one, only the other has. Pairs are dealt by ID, so that no round moves them."""
-    done, m = [], cells
+def first_size(one: str, other: str) -> Column:
+    """Which size a pair's first sketch has, from 0: one with room for the keys that differ by a guess from one key in SAMPLED."""
+    some = lambda a: F.filter(a, lambda k: F.pmod(k, F.lit(SAMPLED)) == 0)
+    differ = SAMPLED * (F.size(F.array_except(some(one), some(other))) + F.size(F.array_except(some(other), some(one))))
+    size = F.lit(0)
+    for k in range(SIZES - 1):
+        size = size + (differ * ROOM > CELLS * GROWTH**k).cast("int")
+    return size
+
+
+def recover(pairs: DataFrame, work: Workspace, partitions: int, name: str = "") -> DataFrame:
+    """PAIR, plus, minus of the pairs that differ: how many keys only the one, only the other has. Pairs are dealt by ID, so that no round moves them.
+
+    A pair is first tried with a sketch of its first size; what does not peel is tried with the next one.
+    """
+    sized, done, failed = pairs.withColumn("size", first_size("one", "other")), [], None
+    last = sized.agg(F.max("size")).first()[0] or 0
     for size in range(SIZES):
-        state = differing(pairs, m)
-        sums = state.groupBy(*PAIR).agg(
+        now = sized.filter(F.col("size") == size).drop("size").repartition(partitions, *ID)
+        if failed is not None:
+            now = now.unionByName(failed)
+        sums = differing(now, CELLS * GROWTH**size).groupBy(*PAIR).agg(
             *[F.sum(F.when((F.col("cell") < 0) & (F.col("c") == s), 1).otherwise(0)).alias(n) for n, s in (("plus", 1), ("minus", -1))],
             F.sum(F.when(F.col("cell") >= 0, 1).otherwise(0)).alias("left"),
         )
         sums = work.table(sums, f"peeled{name}{size}")
         done.append(sums.filter("left = 0").drop("left"))
-        failed = sums.filter("left > 0").select(*PAIR)
-        if failed.isEmpty():
+        again = sums.filter("left > 0").select(*PAIR)
+        failed = None if again.isEmpty() else work.table(now.join(again, PAIR, "left_semi"), f"retry{name}{size}").repartition(partitions, *ID)
+        if failed is None and size >= last:
             break
-        pairs = work.table(pairs.join(failed, PAIR, "left_semi"), f"retry{name}{size}").repartition(partitions, *ID)
-        m *= GROWTH
     else:
         raise RuntimeError("peeling did not end")
     out = done[0]
@@ -182,13 +200,11 @@ def compare_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = paragraph_keys(docs, work)
     of_next = keys.select(F.col("did").alias("nid"), F.col("th").alias("nth"), F.col("own").alias("other"))
-    others = work.table(keys.select(*ID, "nid", "nth").join(of_next, ["nid", "nth"]).select(*ID, "other"), "others")
+    following = keys.select(*ID, F.lit(1).alias("which"), F.col("own").alias("one"), "nid", "nth").join(of_next, ["nid", "nth"])
+    following = work.table(following.select(*PAIR, "one", "other"), "following")
     edits = keys.select(*ID, F.lit(0).alias("which"), F.col("own").alias("one"), F.col("edited").alias("other"))
-    # Neighbours share little as a rule, so their sketches start one size larger.
-    own = keys.select(*ID, F.lit(1).alias("which"), F.col("own").alias("one")).repartition(partitions, *ID)
-    following = own.join(others.repartition(partitions, *ID), ID).select(*PAIR, "one", "other")
-    found = recover(edits.repartition(partitions, *ID), work, partitions, name="edits").unionByName(recover(following, work, partitions, CELLS * GROWTH, "next"))
-    sizes = keys.select(*ID, F.size("own").alias("a"), F.size("edited").alias("b0")).join(others.select(*ID, F.size("other").alias("b1")), ID)
+    found = recover(edits, work, partitions, "edits").unionByName(recover(following, work, partitions, "next"))
+    sizes = keys.select(*ID, F.size("own").alias("a"), F.size("edited").alias("b0")).join(following.select(*ID, F.size("other").alias("b1")), ID)
     differ = found.groupBy(*ID).agg(*[F.sum(F.when(F.col("which") == w, F.col("plus") + F.col("minus"))).alias(f"d{w}") for w in (0, 1)])
     near = sizes.join(differ, ID, "left")
     likeness = [_likeness(F.col("a"), F.col(f"b{w}"), F.coalesce(F.col(f"d{w}"), F.lit(0))).alias(n) for w, n in ((0, "near_edited"), (1, "near_next"))]
