@@ -4,8 +4,8 @@ A task has a board, an id, a pos on its board, a status and deps, ids of the sam
 stands for every other task of it.
 
 Defined results: an id that stands on a board more than once is its first row's; a dep that the board
-does not have is unknown, and its task never ready; a task on a cycle is never ready either; a null
-board is a board; a task without an id is no task; an empty board gives no rows.
+does not have is unknown, and its task never ready; a task is ready by its own deps alone, so one on a
+cycle waits until another of the cycle is DONE; a null board is a board; a task without an id is no task; an empty board gives no rows.
 """
 
 from __future__ import annotations

@@ -3,6 +3,11 @@
 `scored` has, for each item and model: ok (the prediction is the gold), conf (top probability),
 brier, nll, and whatever it is grouped by. All metrics are partial aggregates: what is shuffled
 is one row per group and task.
+
+Defined results: a null ok, conf or brier counts in n and in no mean; rows without a confidence have a
+bin of their own, null, which adds nothing to the calibration error; predictions that repeat an item are
+rows of their own in means and one in coverage; a null group is a group; of equal probabilities the first
+is the prediction; no rows give no groups, and one row of nulls where nothing is grouped by.
 """
 
 from __future__ import annotations

@@ -1,4 +1,9 @@
-"""Seeded samples by hash order: the same rows on any partitioning and in any engine."""
+"""Seeded samples by hash order: the same rows on any partitioning and in any engine.
+
+Defined results: rows stand by the hash of their id, then by the id; rows that share an id are rows of
+their own, in no defined order among each other; a null id has the hash of the seed alone; a null group
+is a group; a group with fewer rows than asked for is taken whole; no rows give none.
+"""
 
 from __future__ import annotations
 
