@@ -106,6 +106,8 @@ def _split(rows: DataFrame, work: Workspace, shards: int, rounds: int = 8) -> tu
         full = [b for b in bins if (b["bytes"] > most_bytes or b["rows"] > most_rows) and (b["low"] != b["high"] or b["low"] in huge) and b["rows"] > 1]
         if not full:
             break
+        if r == rounds and closer > 1:
+            break  # even dense samples show no boundary in what is left, such as rows larger than a range
         if r == rounds:
             raise RuntimeError(f"{len(full)} ranges are still overfull")
         # One row for each full range, of which there are as many as ranges at most.
@@ -117,7 +119,7 @@ def _split(rows: DataFrame, work: Workspace, shards: int, rounds: int = 8) -> tu
             found.setdefault(bisect_left(at, (key, sub + 1)), []).append((key, sub, w))
         new = set().union(*(whole(_quantiles(s, 2 * (int(len(s) / OVERSAMPLE) + 1))) for s in found.values())) - cuts
         # A sample that shows no new boundary is drawn more densely in the next round.
-        closer = 1 if new else closer * 8
+        closer = 1 if new else min(closer * 8, 512)
         cuts |= new
     for b in bins:  # ranges of one group stay together if a shard can hold the group
         b["unit"] = ("group", b["low"]) if b["low"] == b["high"] and huge.get(b["low"], total) <= total / shards else ("range", b["bin"])
