@@ -10,13 +10,17 @@ cycle waits until another of the cycle is DONE; a null board is a board; a task
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import same
 
+#: Tasks of a board that is followed as a whole; larger boards are joined.
+MOST_TOGETHER = 256
+
 
 def parse_board(tables: DataFrame, board: str = "section") -> DataFrame:
     """board, pos, id, deps, status, reason of the rows of Markdown tables with the columns id, deps and status."""
@@ -67,8 +71,57 @@ def closure(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], rounds: in
     raise RuntimeError("dependencies did not settle")
 
 
-def dependency_report(board: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """board, id, needs (tasks that it needs, directly or not, itself left out), open (of these not DONE), unknown (ids the board lacks, its own deps only), cycle (it needs itself)."""
+def board_report(ids: list[str], deps: list[list[str] | None], done: list[bool]) -> list[tuple[int, int, list[str], bool]]:
+    """needs, open, unknown, cycle of each task of one board; what a task reaches is a number with a bit for each task."""
+    at, every = {i: k for k, i in enumerate(ids)}, (1 << len(ids)) - 1
+    reach, unknown = [], []
+    for k, named in enumerate(deps):
+        some = {d for d in named or [] if d is not None and d != "all"}
+        bits = every & ~(1 << k) if "all" in (named or []) else 0
+        for d in some & at.keys():
+            bits |= 1 << at[d]
+        reach.append(bits)
+        unknown.append(sorted(some - at.keys()))
+    for k in range(len(ids)):
+        beyond = reach[k]
+        if beyond:
+            reach = [r | beyond if r >> k & 1 else r for r in reach]
+    waiting = sum(1 << k for k, d in enumerate(done) if not d)
+    return [((r & ~(1 << k)).bit_count(), (r & waiting & ~(1 << k)).bit_count(), unknown[k], bool(r >> k & 1)) for k, r in enumerate(reach)]
+
+
+def _followed(tasks: DataFrame) -> DataFrame:
+    """The report of boards of at most MOST_TOGETHER tasks; tasks are shuffled, pairs of them are not."""
+    whole = tasks.groupBy("board").agg(F.collect_list(F.struct("id", "deps", (F.coalesce("status", F.lit("")) == "DONE").alias("done"))).alias("t"))
+    names = ["board", "id", "needs", "open", "unknown", "cycle"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field("board").type, pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_()]
+            out: list[tuple] = []
+            for k in range(batch.num_rows):
+                name, rows = batch.column("board")[k].as_py(), batch.column("t")[k].as_py()
+                ids = [r["id"] for r in rows]
+                out += [(name, i, *r) for i, r in zip(ids, board_report(ids, [r["deps"] for r in rows], [r["done"] for r in rows]))]
+                if out and (len(out) >= 10_000 or k == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    out = []
+
+    return whole.mapInArrow(run, f"board {tasks.schema['board'].dataType.simpleString()}, id string, needs long, open long, unknown array<string>, cycle boolean")
+
+
+def dependency_report(board: DataFrame, keep: Callable[[DataFrame], DataFrame], most: int = MOST_TOGETHER) -> DataFrame:
+    """board, id, needs (tasks that it needs, directly or not, itself left out), open (of these not DONE), unknown (ids the board lacks, its own deps only), cycle (it needs itself).
+
+    Boards of at most `most` tasks are followed each in one pass; those of more by joins of pairs.
+    """
+    large = keep(_tasks(board).groupBy("board").count().filter(F.col("count") > most).select("board"))
+    if large.isEmpty():
+        return _followed(_tasks(board))
+    return _followed(_tasks(same(board, large, ["board"], "left_anti"))).unionByName(_joined_report(same(board, large, ["board"], "left_semi"), keep))
+
+
+def _joined_report(board: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     edges = keep(dependencies(board))
     tasks = _tasks(board)
     unknown = edges.filter("dep_status is null").groupBy("board", "id").agg(F.array_sort(F.collect_set("dep")).alias("unknown"))

@@ -101,3 +101,22 @@ def test_a_long_chain_and_an_empty_board(spark):
     assert {r.needs for r in report.collect()} == set(range(200))
     empty = spark.createDataFrame([], schema)
     assert board.dependency_report(empty, keeper(spark, "t")).count() == board.eligible(empty).count() == 0
+
+
+def test_small_boards_shuffle_no_pairs_and_large_ones_are_joined(spark):
+    rng = random.Random(9)
+    tasks = [
+        (b, k, f"T{k}", None if k == 3 else rng.sample([f"T{j}" for j in range(n + 2)], rng.randrange(3)) + (["all", None] if k == 7 else []), rng.choice(["DONE", "PENDING", None]))
+        for b, n in (("small", 9), (None, 12), ("large", 30)) for k in range(n)
+    ]
+    df = spark.createDataFrame(tasks, "board string, pos int, id string, deps array<string>, status string")
+    want = brute_report([(b, k, i, [d for d in deps or [] if d is not None], s) for b, k, i, deps, s in tasks if b]) | {
+        (None, i): r for (_, i), r in brute_report([("", k, i, [d for d in deps or [] if d is not None], s) for b, k, i, deps, s in tasks if b is None]).items()
+    }
+    written = []
+    for most, frames in ((12, 3), (100, 1), (0, 3)):
+        keep, written[:] = keeper(spark, "t"), []
+        out = board.dependency_report(df, lambda f: written.append(keep(f)) or written[-1], most)
+        assert {(r.board, r.id): (r.needs, r.open, r.unknown, r.cycle) for r in out.collect()} == want
+        # Boards that are followed whole write no pairs.
+        assert len(written) == 1 if frames == 1 else len(written) >= frames
