@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators.bootstrap import POISSON_STEPS
 from ..operators.calibration import COLDEST, HOTTEST
+from ..operators.checks import MOST_LISTED
 from ..operators.screen import PENALTY, PLACES, RATE, STEPS
 
 
@@ -24,6 +25,11 @@ def poisson_means(rows: str, group: str, n: int = 1000) -> str:
     return f"(SELECT {group}, b, sum(w * v) / nullif(sum(w), 0) AS mean FROM (SELECT {group}, v, b, {steps} AS w FROM ({word})) GROUP BY ALL)"
 
 
+def prefix(digest: str, rows: str) -> str:
+    """The digits under which content_hash folds a digest: two up to a million rows, one more for each 16 times as many."""
+    return f"substr({digest}, 1, (SELECT min(k) FROM range(2, 16) r(k) WHERE (SELECT count(*) FROM {rows}) <= {MOST_LISTED} * CAST(power(16, k) AS HUGEINT)))"
+
+
 def share(cond: str) -> str:
     return f"avg(CASE WHEN {cond} THEN 1e0 ELSE 0e0 END)"
 

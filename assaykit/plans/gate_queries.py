@@ -249,8 +249,8 @@ def s19_manifest(t: Tables) -> DataFrame:
 
 
 _LICENSE = r"(?i)(MIT License|Apache License|BSD|GPL|CC[ -]BY(?:-[A-Z]+)*)"
-_REVISIONS = """(SELECT source, sha256(string_agg(h, '' ORDER BY p)) AS revision FROM (
-  SELECT source, substr(sha256(text), 1, 2) AS p, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS h FROM documents WHERE text IS NOT NULL GROUP BY ALL) GROUP BY source)"""
+_REVISIONS = f"""(SELECT source, sha256(string_agg(h, '' ORDER BY p)) AS revision FROM (
+  SELECT source, {S.prefix('sha256(text)', '(SELECT * FROM documents WHERE text IS NOT NULL)')} AS p, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS h FROM documents WHERE text IS NOT NULL GROUP BY ALL) GROUP BY source)"""
 
 
 @query(

@@ -104,8 +104,8 @@ def a12_manifest_counts(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT source, sha256(string_agg(h, '' ORDER BY p)) AS sha256 FROM (
-    SELECT source, substr(sha256(item_id), 1, 2) AS p, sha256(string_agg(sha256(item_id), '' ORDER BY sha256(item_id))) AS h FROM items GROUP BY ALL) GROUP BY source""",
+    f"""SELECT source, sha256(string_agg(h, '' ORDER BY p)) AS sha256 FROM (
+    SELECT source, {S.prefix('sha256(item_id)', 'items')} AS p, sha256(string_agg(sha256(item_id), '' ORDER BY sha256(item_id))) AS h FROM items GROUP BY ALL) GROUP BY source""",
     "items",
 )
 def a13_content_hash(t: Tables) -> DataFrame:

@@ -62,8 +62,8 @@ def manifest(t: Tables) -> DataFrame:
     return counts.join(F.broadcast(template_screen(t).select("template_id", "dropped")), "template_id", "left").select(*GROUP, "n", "sha256", "dropped")
 
 
-_HASHED = """(SELECT source, split, qtype, template_id, sha256(string_agg(h, '' ORDER BY p)) AS sha256, CAST(sum(n) AS BIGINT) AS n FROM (
-  SELECT source, split, qtype, template_id, substr(sha256(item_id), 1, 2) AS p, count(*) AS n, sha256(string_agg(sha256(item_id), '' ORDER BY sha256(item_id))) AS h FROM items GROUP BY ALL) GROUP BY ALL)"""
+_HASHED = f"""(SELECT source, split, qtype, template_id, sha256(string_agg(h, '' ORDER BY p)) AS sha256, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT source, split, qtype, template_id, {S.prefix('sha256(item_id)', 'items')} AS p, count(*) AS n, sha256(string_agg(sha256(item_id), '' ORDER BY sha256(item_id))) AS h FROM items GROUP BY ALL) GROUP BY ALL)"""
 
 
 @query(f"SELECT h.*, dropped FROM {_HASHED} h LEFT JOIN (SELECT template_id, dropped FROM {_SCREEN}) USING (template_id)", "items")

@@ -284,7 +284,7 @@ def s13_build(t: Tables) -> DataFrame:
     return out.select("item_id", "template_id", "gold", F.col("record_date").cast("string").alias("record_date"))
 
 
-_PREFIXED = f"(SELECT template_id, substr(sha256(item_id), 1, 2) AS p, sha256(string_agg(sha256(item_id), '' ORDER BY sha256(item_id))) AS h FROM {_BUILT} GROUP BY ALL)"
+_PREFIXED = f"(SELECT template_id, {S.prefix('sha256(item_id)', _BUILT)} AS p, sha256(string_agg(sha256(item_id), '' ORDER BY sha256(item_id))) AS h FROM {_BUILT} GROUP BY ALL)"
 
 
 @query(f"SELECT template_id, sha256(string_agg(h, '' ORDER BY p)) AS sha256, true AS same FROM {_PREFIXED} GROUP BY template_id", "trials")

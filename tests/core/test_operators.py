@@ -132,3 +132,20 @@ def test_templates_hide_the_answer_and_drop_unanswerable_records(spark):
     assert [r.gold for r in I.trial_allocation(df, 1).collect()] == ["yes"]
     assert [r.source_record_id for r in I.trial_intervention(df, 1, ("DRUG", "DEVICE")).collect()] == ["n1"]
     assert I.trial_phase(df, 1).first().item_id != I.trial_phase(df, 2).first().item_id
+
+
+def test_content_hash_equals_its_sql_at_every_length_of_prefix(spark, monkeypatch):
+    import duckdb
+
+    from assaykit.plans import base_sql
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("string").alias("v"))
+    for listed, digits in ((4096, 2), (1, 3), (11, 3), (12, 2)):
+        monkeypatch.setattr(checks, "MOST_LISTED", listed)
+        monkeypatch.setattr(base_sql, "MOST_LISTED", listed)
+        con = duckdb.connect()
+        con.sql("CREATE VIEW t AS SELECT i % 3 AS g, CAST(i AS VARCHAR) AS v FROM range(3000) r(i)")
+        parts = f"SELECT g, {base_sql.prefix('sha256(v)', 't')} AS p, sha256(string_agg(sha256(v), '' ORDER BY sha256(v))) AS h FROM t GROUP BY ALL"
+        assert con.sql(f"SELECT max(len(p)) FROM ({parts})").fetchall() == [(digits,)]
+        want = dict(con.sql(f"SELECT g, sha256(string_agg(h, '' ORDER BY p)) FROM ({parts}) GROUP BY g").fetchall())
+        assert {r.g: r.sha256 for r in checks.content_hash(df, ["g"], "v").collect()} == want
