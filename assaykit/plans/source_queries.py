@@ -229,8 +229,7 @@ _TOKEN = "CASE WHEN page = 0 THEN '' ELSE 't' || lpad(CAST(page AS VARCHAR), 9,
 )
 def s10_paged_records(t: Tables) -> DataFrame:
     """Captured pages, read along their tokens; the read goes on behind a missing page and names it."""
-    t.spark.dataSource.register(paged.PagedSource)
-    rows = t.spark.read.format("pages").option("path", _pages(t)).load()
+    rows = paged.read_pages(t.spark, _pages(t))
     record = F.from_json("record", "nct_id string, phase string, first_posted string")
     return rows.select("token", record["nct_id"].alias("nct_id"), record["phase"].alias("phase"), record["first_posted"].alias("first_posted"), "missing")
 

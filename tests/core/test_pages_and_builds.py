@@ -32,6 +32,25 @@ def test_pages_are_read_along_their_tokens(spark, tmp_path):
     assert pages(spark, tmp_path)[-1] == (4, "c", "{broken", False, True)
 
 
+def test_pages_of_one_partition_and_the_chain_left_out(spark, tmp_path):
+    put = lambda token, body: (tmp_path / f"page-{token}.json").write_text(body if isinstance(body, str) else json.dumps(body))
+    assert [tuple(r) for r in paged.read_pages(spark, str(tmp_path)).collect()] == [("", None, True, False)]
+    tokens = ["", *(f"t{k:04}" for k in range(1, 3 * paged.FILES))]
+    for token, onward in zip(tokens, [*tokens[1:], "lost"]):
+        put(token, {"records": [{"i": token}, {"i": token}], "nextPageToken": onward})
+    put("t0007", {"records": [{"i": 1}], "nextPageToken": "gone"})
+    put("z", "{broken")
+    put("zz", {"records": None, "nextPageToken": "gone"})
+    rows = paged.read_pages(spark, str(tmp_path))
+    assert rows.select("token", "record", "missing", "broken").exceptAll(spark.read.format("pages").option("path", str(tmp_path)).load().drop("place")).count() == 0
+    assert sorted(r.token for r in rows.filter("missing").collect()) == ["gone", "lost"] and rows.count() == 2 * len(tokens) - 1 + 1 + 2
+    # Pages share partitions, and planning opens none of them.
+    reader, opened = paged.PagedReader(str(tmp_path), "captured"), []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(paged, "_text", lambda *a: opened.append(a))
+        assert len(reader.partitions()) == 4 and not opened
+
+
 def test_chains_that_loop_or_have_no_beginning():
     assert paged.chain({"": "a", "a": "b", "b": "a"}) == [("", False), ("a", False), ("b", False)]
     assert paged.chain({}) == [("", True)]
