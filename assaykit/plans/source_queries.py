@@ -247,6 +247,10 @@ def s11_label_records(t: Tables) -> DataFrame:
     )
 
 
+#: Records of a file, as in the public update files.
+ARTICLES = 30_000
+
+
 @query(
     f"""SELECT CAST(c_custkey AS VARCHAR) AS pmid, CAST(CAST(DATE '2024-01-01' + CAST(c_custkey % 366 AS INTEGER) AS DATE) AS VARCHAR) AS entry_date, c_name AS title, c_mktsegment || ' Nation ' || c_nationkey AS abstract,
     {S.pick(['case report', 'meta-analysis', 'letter'], 'c_custkey')} AS pub_types, 'Humans:false,' || c_mktsegment || ':A.' || c_mktsegment || ':true' AS mesh FROM customer"""
@@ -262,7 +266,8 @@ def s12_literature_records(t: Tables) -> DataFrame:
     seen = F.struct(F.lit("entrez").alias("_PubStatus"), F.year(day).alias("Year"), F.month(day).alias("Month"), F.day(day).alias("Day"))
     root = scratch_dir(t.spark, "articles")
     rows = t.read("customer").select(cite.alias("MedlineCitation"), F.struct(F.struct(F.array(seen).alias("PubMedPubDate")).alias("History")).alias("PubmedData"))
-    rows.write.mode("overwrite").format("xml").option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(root)
+    files = -(-t.read("customer").count() // ARTICLES) or 1
+    rows.repartition(files).write.mode("overwrite").format("xml").option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(root)
     trees = t.read("customer").select(F.col("c_mktsegment").alias("name"), F.concat(F.lit("A."), F.col("c_mktsegment")).alias("tree")).distinct()
     got = readers.scan_pubmed(t.spark, root, trees)
     heads = F.transform("mesh", lambda m: F.concat_ws(":", m["name"], m["tree"], m["major"].cast("string")))

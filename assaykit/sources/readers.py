@@ -118,8 +118,14 @@ ARTICLE = """MedlineCitation struct<PMID:string, DateCompleted:struct<Year:strin
 
 
 def scan_pubmed(spark: SparkSession, path: str, trees: DataFrame | None = None) -> DataFrame:
-    """Records in the normalised schema. trees: name, tree; a vocabulary that the files do not carry."""
-    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE).load(path)
+    """Records in the normalised schema. trees: name, tree; a vocabulary that the files do not carry.
+
+    Files are UTF-8. They are cut behind each record, so one large file is read by many tasks.
+    """
+    texts = spark.read.option("lineSep", "</PubmedArticle>").text(path)
+    # What follows the last record of a file has no beginning of one.
+    begun = texts.withColumn("value", F.regexp_extract("value", r"(?s)<PubmedArticle(?:\s[^>]*)?>.*", 0)).filter("value <> ''")
+    raw = begun.select(F.from_xml(F.concat("value", F.lit("</PubmedArticle>")), ARTICLE, {"rowTag": "PubmedArticle"}).alias("r")).select("r.*")
     entry = F.get(F.filter("PubmedData.History.PubMedPubDate", lambda d: d["_PubStatus"] == "entrez"), F.lit(0))
     cite = "MedlineCitation"
     heads = F.coalesce(F.col(f"{cite}.MeshHeadingList.MeshHeading.DescriptorName"), F.array())

@@ -85,3 +85,17 @@ def test_incremental_build_takes_each_file_once(spark, tmp_path):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps({"id": i}) for i in ids))
         build_incrementally(spark, landing, "id string", template, out, state).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_one_large_xml_file_is_read_by_many_tasks(spark, tmp_path):
+    one = "<PubmedArticle Status='x'><MedlineCitation><PMID>{}</PMID><Article><ArticleTitle>A &amp; <![CDATA[b < c]]> {}</ArticleTitle></Article></MedlineCitation></PubmedArticle>"
+    (tmp_path / "a.xml").write_text('<?xml version="1.0" encoding="UTF-8"?>\n<PubmedArticleSet>\n' + "\n".join(one.format(k, "é" * 2000) for k in range(3000)) + "\n</PubmedArticleSet>\n")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        rows = readers.scan_pubmed(spark, str(tmp_path / "a.xml"))
+        tasks = [r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(tasks) > 4 and sum(tasks) == 3000
+        assert {(r.pmid, r.title) for r in rows.collect()} == {(str(k), f"A & b < c {'é' * 2000}") for k in range(3000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
