@@ -9,8 +9,9 @@ from running totals of the values' counts; no group is ranked in one task and no
 result depends on the values alone, never on partitions.
 
 `poisson_means` weights each row of each replicate by a Poisson(1) number from the row's own hash. It
-needs no ranks: each task sums its rows by group and replicate, and only those sums are shuffled. A
-resample's size varies. One digest serves eight replicates. A replicate whose weights are all nought,
+needs no ranks: each task sums its rows by group and replicate, and only those sums are shuffled; weights
+are drawn for a slice of rows at once, once for each id in it. A resample's size varies. One digest
+serves eight replicates. A replicate whose weights are all nought,
 which happens in groups of a few rows, has no mean and is left out of the interval.
 
 Null values count in neither's means; a group of null values only has no row; an empty table gives no
@@ -20,6 +21,7 @@ rows; rows that share an id get the same Poisson weights, and are rows of their
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +37,8 @@ REPLICATES = 1000
 LEAF = 4096
 #: 32-bit numbers in a digest.
 WORDS = 8
+#: Rows whose weights stand in memory at once, and groups whose sums do.
+SLICE, MOST_GROUPS = 1000, 1000
 #: Cumulative Poisson(1) probabilities at 0, 1, ..., 7.
 POISSON_STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
@@ -108,13 +112,42 @@ def interval(means: DataFrame, by: list[str]) -> DataFrame:
     return means.groupBy(*by).agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
 
 
+def poisson_weights(ids: list[str | None], n: int) -> np.ndarray:
+    """Ids by n replicates; eight replicates take one digest."""
+    tails = ["" if i is None else f"|{i}" for i in ids]
+    digests = b"".join(hashlib.sha256(f"poisson|{k}{tail}".encode()).digest() for tail in tails for k in range(-(-n // WORDS)))
+    words = np.frombuffer(digests, dtype=">u4").astype(np.uint32).reshape(len(ids), -1)[:, :n]
+    # Multiples of 2^-32 and steps are compared exactly.
+    return np.searchsorted(np.array([math.ceil(step * 4294967296) for step in POISSON_STEPS], dtype=np.uint32), words, side="right").astype(np.int8)
+
+
 def poisson_means(scored: DataFrame, group: str, value: str, id_: str = "item_id", n: int = REPLICATES) -> DataFrame:
     """group, b, mean under Poisson(1) weights; mean is null where all weights are nought."""
-    rows = scored.select(group, F.col(id_).cast("string").alias("_id"), F.col(value).cast("double").alias("v")).filter("v is not null")
-    blocks = rows.select(group, "_id", "v", F.explode(F.sequence(F.lit(0), F.lit(-(-n // WORDS) - 1))).alias("_block"))
-    digest = blocks.select(group, "v", "_block", F.sha2(F.concat_ws("|", F.lit("poisson"), F.col("_block").cast("string"), "_id"), 256).alias("_h"))
-    each = digest.select(group, "v", "_block", "_h", F.explode(F.array(*[F.lit(j) for j in range(WORDS)])).alias("_j"))
-    u = F.conv(F.substring("_h", F.col("_j") * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
-    each = each.select(group, "v", (F.col("_block") * WORDS + F.col("_j")).cast("long").alias("b"), u.alias("_u")).filter(F.col("b") < n)
-    weight = sum(((F.col("_u") >= F.lit(step)).cast("int") for step in POISSON_STEPS), F.lit(0))
-    return each.groupBy(group, "b").agg(F.sum(weight * F.col("v")).alias("_s"), F.sum(weight).alias("_w")).select(group, "b", F.try_divide("_s", F.col("_w")).alias("mean"))
+    rows = scored.select(F.col(group).alias("g"), F.col(id_).cast("string").alias("id"), F.col(value).cast("double").alias("v")).filter("v is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, np.ndarray] = {}
+
+        def told(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for g, (s, w) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([g] * n, kind), pa.array(np.arange(n)), pa.array(s), pa.array(w.astype(np.int64))], names=["g", "b", "s", "w"])
+            sums.clear()
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                ids, groups = (part.column(c).dictionary_encode("encode") for c in ("id", "g"))
+                weights, of = poisson_weights(ids.dictionary.to_pylist(), n), np.asarray(ids.indices)
+                v, place = part.column("v").to_numpy(zero_copy_only=False), np.asarray(groups.indices)
+                for k, g in enumerate(groups.dictionary.to_pylist()):
+                    here = place == k
+                    w = weights[of[here]].astype(np.float64)
+                    more = np.stack([v[here] @ w, w.sum(axis=0)])
+                    sums[g] = sums[g] + more if g in sums else more
+                if len(sums) > MOST_GROUPS:
+                    yield from told(part.schema.field("g").type)
+        if sums:
+            yield from told(batch.schema.field("g").type)
+
+    each = rows.mapInArrow(run, f"g {rows.schema['g'].dataType.simpleString()}, b long, s double, w long")
+    return each.groupBy("g", "b").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("mean")).select(F.col("g").alias(group), "b", "mean")

@@ -71,3 +71,20 @@ def test_running_totals_equal_a_window(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     plan = running_totals(df, ["g"], "x", {"before": "n"})._jdf.queryExecution().toString()
     assert "_range" in plan.split("Window")[1]
+
+
+def test_poisson_rows_are_summed_in_the_tasks(spark, monkeypatch):
+    rows = [(None if k % 7 == 0 else k % 3, None if k == 11 else f"i{k // 4}", None if k % 13 == 0 else k / 8) for k in range(2500)]
+    df = spark.createDataFrame(rows, "g int, item_id string, v double")
+    want = {}
+    for g, i, v in rows:
+        if v is not None:
+            for b in range(20):
+                h = hashlib.sha256(("poisson|%d" % (b // 8) + ("" if i is None else f"|{i}")).encode()).hexdigest()
+                w = sum(int(h[b % 8 * 8 :][:8], 16) / 2**32 >= step for step in bootstrap.POISSON_STEPS)
+                s = want.setdefault((g, b), [0.0, 0])
+                s[0], s[1] = s[0] + w * v, s[1] + w
+    means = bootstrap.poisson_means(df, "g", "v", n=20)
+    assert {(r.g, r.b): round(r["mean"], 9) for r in means.collect()} == {k: round(s / w, 9) for k, (s, w) in want.items()}
+    # No row is multiplied by replicates on its way.
+    assert "explode" not in means._jdf.queryExecution().optimizedPlan().toString().lower()
