@@ -13,10 +13,12 @@ no row; a null text has no words; ties go to the first label in order; an empty
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ DROP_AT = 0.95
 PLACES, STEPS, RATE, PENALTY = 4096, 20, 1.0, 1e-3
 #: Templates that are fitted in one pass.
 TOGETHER = 64
+#: Rows whose words are hashed together.
+SLICE = 1000
 
 
 def keyword_rule(text: Column | str, rules: list[tuple[str, str]], otherwise: str) -> Column:
@@ -38,18 +42,44 @@ def keyword_rule(text: Column | str, rules: list[tuple[str, str]], otherwise: st
     return out
 
 
+def distinct_words(text: str) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
 def hashed_words(text: str, places: int = PLACES) -> Column:
     """Places of the distinct words, in order."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: (bucket(w) % places).cast("int"))))
+    return F.array_sort(F.array_distinct(F.transform(distinct_words(text), lambda w: (bucket(w) % places).cast("int"))))
+
+
+def hash_together(rows: DataFrame, words: str, places: int = PLACES) -> DataFrame:
+    """rows with x, what hashed_words gives, instead of the words; a slice of rows hashes each word once."""
+    others = [c for c in rows.columns if c != words]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                told = part.column(words).flatten().dictionary_encode()
+                place = np.array([int.from_bytes(hashlib.sha256(w.encode()).digest()[:4], "big") % places for w in told.dictionary.to_pylist()], dtype=np.int64)
+                row = np.repeat(np.arange(part.num_rows), _sizes(part.column(words)))
+                both = np.unique(row * places + place[np.asarray(told.indices)])
+                ends = np.searchsorted(both, np.arange(part.num_rows + 1) * places)
+                x = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(both % places, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), x], names=[*others, "x"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others) + ", x array<int>")
+
+
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return np.asarray(pc.list_value_length(lists), dtype=np.int64)
 
 
 class Rows:
     """A batch's features of one template, as one list of places and where each row begins."""
 
-    def __init__(self, lists: list[list[int]]):
-        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        self.at = np.fromiter((p for x in lists for p in x), dtype=np.int64, count=int(sizes.sum()))
+    def __init__(self, lists: pa.ListArray):
+        sizes = _sizes(lists)
+        self.at = np.asarray(lists.flatten(), dtype=np.int64)
         self.row, self.n = np.repeat(np.arange(len(lists)), sizes), len(lists)
         self.scale = (1 / np.sqrt(np.maximum(sizes, 1)))[self.row]
 
@@ -69,13 +99,11 @@ class Rows:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], Rows]]:
     """template, labels, features: the rows of one template of each batch."""
     for batch in batches:
-        got: dict[str, tuple[list, list]] = {}
-        for template, label, x in zip(*(batch.column(c).to_pylist() for c in ("template_id", "label", "x"))):
-            labels, lists = got.setdefault(template, ([], []))
-            labels.append(label)
-            lists.append(x)
-        for template, (labels, lists) in got.items():
-            yield template, labels, Rows(lists)
+        templates = batch.column("template_id").dictionary_encode("encode")
+        of = np.asarray(templates.indices)
+        for k, template in enumerate(templates.dictionary.to_pylist()):
+            here = pa.array(np.flatnonzero(of == k))
+            yield template, batch.column("label").take(here).to_pylist(), Rows(batch.column("x").take(here))
 
 
 def _gradients(dev: DataFrame, labels: dict[str, list[str]], weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -127,8 +155,9 @@ def fit(dev: DataFrame, places: int = PLACES, steps: int = STEPS) -> tuple[dict[
 
 def bag_of_words(items: DataFrame, text: str = "state", label: str = "gold", places: int = PLACES, steps: int = STEPS) -> DataFrame:
     """template_id, n, bow: accuracy on the n test items of a regression fitted on each template's dev items."""
-    rows = items.select("template_id", "split", F.col(label).alias("label"), hashed_words(text, places).alias("x")).filter("label is not null")
-    dev = rows.filter("split = 'dev'").select("template_id", "label", "x").persist()
+    rows = items.select("template_id", "split", F.col(label).alias("label"), distinct_words(text).alias("words")).filter("label is not null")
+    hashed = lambda split: hash_together(rows.filter(F.col("split") == split).select("template_id", "label", "words"), "words", places)
+    dev = hashed("dev").persist()
     labels, weights = fit(dev, places, steps)
     dev.unpersist()
     held = items.sparkSession.sparkContext.broadcast((labels, weights))
@@ -140,7 +169,7 @@ def bag_of_words(items: DataFrame, text: str = "state", label: str = "gold", pla
             right = [None if s is None else float(s == t) for s, t in zip(said, told)]
             yield pa.RecordBatch.from_arrays([pa.array([template] * len(told), pa.string()), pa.array(right, pa.float64())], names=["template_id", "right"])
 
-    told = rows.filter("split = 'test'").select("template_id", "label", "x").mapInArrow(run, "template_id string, right double")
+    told = hashed("test").mapInArrow(run, "template_id string, right double")
     return told.groupBy("template_id").agg(F.count("*").alias("n"), F.round(F.avg("right"), 6).alias("bow"))
 
 

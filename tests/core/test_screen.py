@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assaykit.operators import screen
@@ -76,3 +77,13 @@ def test_a_word_that_tells_all_is_dropped(spark):
     bow = screen.bag_of_words(spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA))
     dropped = {r.template_id: r.dropped for r in screen.drop_rule(bow.selectExpr("template_id", "double(null) as regex", "bow")).collect()}
     assert dropped == {"leak": True, "fair": False}
+
+
+def test_words_hashed_together_have_the_places_of_the_column(spark):
+    rows = [(k, t) for k, t in enumerate(["b a b", None, "", "Ünï 漢字 x1, y-z", *(" ".join(f"w{k * j % 97}" for j in range(60)) for k in range(2300))])]
+    df = spark.createDataFrame(rows, "k int, state string")
+    got = screen.hash_together(df.select("k", screen.distinct_words("state").alias("words")), "words", 64)
+    assert got.exceptAll(df.select("k", screen.hashed_words("state", 64).alias("x"))).count() == 0 and got.count() == len(rows)
+    # Features of a slice of a batch.
+    lists = pa.array([[9], [1, 2], [], [3]], pa.list_(pa.int32())).slice(1)
+    assert screen.Rows(lists).at.tolist() == [1, 2, 3] and screen.Rows(lists).row.tolist() == [0, 0, 2]
