@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from assaykit.llm._common import Workspace
-from assaykit.llm.bloom_lookup import CELLS, EVERY, LONG_WORD, WINDOW, compare_with_edits, paragraph_hashes, recover
+from assaykit.llm.bloom_lookup import CELLS, EVERY, LONG_WORD, LOWEST, WINDOW, compare_with_edits, paragraph_hashes, recover, with_next
 
 from .conftest import table
 
@@ -127,3 +127,36 @@ def test_a_long_word_takes_linear_time(spark):
     began = time.perf_counter()
     assert df.select(F.size(paragraph_hashes("a"))).first()[0] > 20_000
     assert time.perf_counter() - began < 20
+
+
+def shuffled(spark):
+    """Bytes of all shuffles written so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_shuffles_stay_near_the_size_of_the_texts(spark, sf):
+    """Texts move once, neighbours' beginnings not at all, and keys once for both comparisons."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffled(spark)
+    compare_with_edits(spark, docs).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < 1.45 * size
+
+
+@pytest.mark.parametrize("n, partitions", [(1, 3), (2, 1), (50, 2), (700, 1), (700, 3)])
+def test_every_document_stands_with_its_next(spark, n, partitions):
+    """Stretches of any number, ids out of order, shared by different texts or repeated whole, and a null id."""
+    r = random.Random(n)
+    ids = [None, *(r.randrange(-(10**12), 10**12) for _ in range(n - 1))]
+    rows = [(i, f"text {k} of {i}") for i in ids for k in range(1 + (r.random() < 0.1))]
+    again = [row for row in rows if r.random() < 0.1]
+    df = table(spark, rows + again).repartition(4)
+    th = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - ((h >> 63) << 64)
+    order = sorted(((LOWEST if i is None else i), th(t), t) for i, t in rows)
+    expected = {(i, h): (t, order[(k + 1) % len(order)][2], 1 + again.count((None if i == LOWEST else i, t))) for k, (i, h, t) in enumerate(order)}
+    got = with_next(df, partitions).collect()
+    assert len(got) == len(expected)
+    assert {(g.did, g.th): (g.text, g.next_text, g.copies) for g in got} == expected
